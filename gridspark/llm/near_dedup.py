@@ -186,6 +186,9 @@ def near_classes(docs: DataFrame, k: int = WORDS, least: float = SIMILARITY, ban
     buckets = members.groupBy("key").agg(F.min("doc_id").alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n")
     members = cut(members.join(buckets, "key"))
     votes = cut(members.where("doc_id != centre").groupBy("doc_id", "centre").agg(F.count("*").alias("n")))
+    # only texts that share a bucket with another are read again, and shuffled whole but once
+    wanted = votes.select("doc_id").unionByName(votes.select(F.col("centre").alias("doc_id"))).distinct().join(texts.select(F.col("first.doc_id").alias("doc_id"), "text_key"), "doc_id")
+    docs = cut(docs.withColumn("text_key", F.md5("text")).join(wanted, ["doc_id", "text_key"], "left_semi").select("doc_id", "text"))
     # first the centre with which a document shares most buckets, then its other centres where the class still differs
     nearest = votes.groupBy("doc_id").agg(F.min(F.struct(-F.col("n"), F.col("centre"))).alias("best")).select(F.col("doc_id").alias("u"), F.col("best.centre").alias("v"))
     found = cut(similar_pairs(docs, nearest, k, least, bag).distinct())
