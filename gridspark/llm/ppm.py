@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from gridspark.llm.bytetext import byte_view, groups, lower, word_hashes, words
 from gridspark.plans.lineage import cut
 
-ORDER = 6
+ORDER = 5
 """Bytes of context."""
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 24 << 20
 """Text in a block, about."""
 STEP_BYTES = 1 << 20
 """Text that a task takes at a time within a block."""
