@@ -4,10 +4,11 @@ Each text is a set (or bag) of shingles of five words. Darts with hashed places
 rank; those inside a text's element regions are its darts, and the earliest dart of each coordinate is the signature
 there. Two texts agree in a coordinate with probability equal to their (weighted) Jaccard similarity.
 
-Equal texts are folded first. Each bucket of a band names its smallest document as centre. Documents are checked
-against centres; then, within each bucket, documents whose class is still another one are checked against each other.
-So each pair that shares a bucket ends in one class or is compared exactly, while a group of copies costs a pass over
-its members and not all its pairs. With 28 bands of 4 a pair at similarity 0.8 shares no bucket in 4e-7 of cases.
+Equal texts are folded first. Each bucket of a band names as centre the document that meets most others in all its
+buckets: in a group of copies that is the text from which the others were made, if it is there. Documents are checked
+against centres; then, within each bucket, documents whose class is still another one are held against each other by
+their signatures, in chunks of bounded size, and pairs whose signatures agree in 64 % are checked exactly. So each pair
+that shares a bucket ends in one class or is compared, while a group of copies costs a pass over its members. With 28 bands of 4 a pair at similarity 0.8 shares no bucket in 4e-7 of cases.
 """
 
 from __future__ import annotations
@@ -29,6 +30,10 @@ BANDS = 28
 ROWS = 4
 _SMALL = np.array([0, 1 / 16, 1 / 8, 1 / 4, 1 / 2, 1.0])
 """Bounds of the rank cells below 1; above, each cell is of width 1."""
+CHUNK = 1024
+"""Documents of a bucket that are held against as many others in one task at a time."""
+AGREE = 0.64
+"""Least share of equal signature coordinates; at similarity 0.8 a pair falls below it in 1e-5 of cases."""
 _UNIT = 2.0**-53
 
 
@@ -114,25 +119,27 @@ def shingle_groups(column: pa.Array, k: int) -> Iterator[list[np.ndarray]]:
 
 
 def signatures(docs: DataFrame, k: int = WORDS, bands: int = BANDS, rows: int = ROWS, bag: bool = False) -> DataFrame:
-    """``(doc_id, text_key, keys)``: md5 of the text and the band keys. Texts without a word have no keys. ``bag`` weighs shingles by their number."""
+    """``(doc_id, text_key, keys, sig)``: md5 of the text, the band keys, and a byte of each signature coordinate. Texts without a word have no keys. ``bag`` weighs shingles by their number."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes = [], []
+            keys, sizes, sigs = [], [], []
             for group in shingle_groups(batch.column(2), k):
                 for at in range(0, len(group), 64):
                     sets = [np.unique(x, return_counts=True) for x in group[at : at + 64]]
                     bounds = np.concatenate(([0], np.cumsum([len(x) for x, _ in sets])))
                     elements, counts = (np.concatenate(x) for x in zip(*sets))
-                    own = band_keys(dart_signatures(elements, bounds, counts if bag else None, bands * rows), bands, rows)
+                    signed = dart_signatures(elements, bounds, counts if bag else None, bands * rows)
+                    own = band_keys(signed, bands, rows)
+                    sigs += [x.tobytes() for x in signed.astype(np.uint8)]
                     full = np.diff(bounds) > 0
                     keys.append(own[full].ravel())
                     sizes.append(full * bands)
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             ends = np.concatenate(([0], np.cumsum(np.concatenate(sizes)))) if sizes else np.zeros(1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["doc_id", "text_key", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), pa.array(sigs, pa.binary())], names=["doc_id", "text_key", "keys", "sig"])
 
-    return docs.select("doc_id", F.md5("text").alias("text_key"), "text").mapInArrow(apply, "doc_id long, text_key string, keys array<long>")
+    return docs.select("doc_id", F.md5("text").alias("text_key"), "text").mapInArrow(apply, "doc_id long, text_key string, keys array<long>, sig binary")
 
 
 def jaccard(a: np.ndarray, b: np.ndarray, bag: bool = False) -> float:
@@ -171,6 +178,37 @@ def _label(rows: DataFrame, name: str, labels: DataFrame, out: str) -> DataFrame
     return rows.join(labels.select(F.col("node").alias(name), F.col("component").alias(out)), name, "left").withColumn(out, F.coalesce(out, name))
 
 
+def _apart(members: DataFrame, texts: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs ``(u, v)`` of documents in one bucket and different classes whose signatures agree in AGREE of their bytes.
+
+    In each bucket the documents outside the centre's class are held against all others but the centre. Both sides are
+    dealt into chunks, and each pair of chunks is a group of at most 2 * CHUNK rows, about, so no bucket meets in one task.
+    """
+    classed = cut(_label(_label(members, "doc_id", labels, "cls"), "centre", labels, "centre_cls").withColumn("apart", F.col("cls") != F.col("centre_cls")))
+    per_bucket = classed.groupBy("key").agg(F.ceil(F.count_if(F.col("apart")) / CHUNK).alias("n_apart"), F.ceil(F.count("*") / CHUNK).alias("n_all")).where("n_apart > 0")
+    signed = texts.select(F.col("first.doc_id").alias("doc_id"), F.col("first.sig").alias("sig"))
+    rows = classed.where("doc_id != centre").join(per_bucket, "key").join(signed, "doc_id")
+    spot = F.xxhash64("doc_id")
+    left = rows.where("apart").withColumn("a", F.pmod(spot, F.col("n_apart"))).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_all") - 1)))
+    right = rows.withColumn("b", F.pmod(spot, F.col("n_all"))).withColumn("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_apart") - 1)))
+    both = left.withColumn("asks", F.lit(True)).unionByName(right.withColumn("asks", F.lit(False))).select("key", "a", "b", "asks", "doc_id", "cls", "sig")
+
+    def compare(table: pa.Table) -> pa.Table:
+        asks = np.asarray(table["asks"].to_pylist(), bool)
+        ids, cls = table["doc_id"].to_numpy(), table["cls"].to_numpy()
+        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(table.num_rows, -1)
+        us, vs = [], []
+        other = np.flatnonzero(~asks)
+        for i in np.flatnonzero(asks):
+            near = other[((sig[other] == sig[i]).mean(1) >= AGREE) & (cls[other] != cls[i])]
+            us.append(np.maximum(ids[near], ids[i]))
+            vs.append(np.minimum(ids[near], ids[i]))
+        join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+        return pa.table({"u": join(us), "v": join(vs)})
+
+    return both.groupBy("key", "a", "b").applyInArrow(compare, "u long, v long").distinct()
+
+
 def near_classes(docs: DataFrame, k: int = WORDS, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, bag: bool = False) -> DataFrame:
     """``(doc_id, class_id, class_size)`` for each row of ``docs(doc_id, text)``: classes linked by similarity ``least`` or equal text.
 
@@ -179,12 +217,15 @@ def near_classes(docs: DataFrame, k: int = WORDS, least: float = SIMILARITY, ban
     otherwise link the classes of their texts. Rows with null doc_id are left out.
     """
     docs = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    signed = signatures(docs, k, bands, rows, bag)
+    keyed = docs.select("doc_id", F.md5("text").alias("text_key"))
     # one row for each text, with its smallest id; summed up within each task before the shuffle
-    texts = cut(signed.groupBy("text_key").agg(F.min(F.struct("doc_id", "keys")).alias("first"), F.count("*").alias("n")))
+    texts = cut(signatures(docs, k, bands, rows, bag).groupBy("text_key").agg(F.min(F.struct("doc_id", "keys", "sig")).alias("first")))
     members = texts.where("size(first.keys) > 0").select(F.col("first.doc_id").alias("doc_id"), F.explode("first.keys").alias("key"))
-    buckets = members.groupBy("key").agg(F.min("doc_id").alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n")
+    buckets = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = cut(members.join(buckets, "key"))
+    met = members.groupBy("doc_id").agg(F.sum("n").alias("met"))
+    centres = members.join(met, "doc_id").groupBy("key").agg(F.max(F.struct("met", (-F.col("doc_id")).alias("low"))).alias("c")).select("key", (-F.col("c.low")).alias("centre"))
+    members = cut(members.join(centres, "key").select("doc_id", "key", "centre"))
     votes = cut(members.where("doc_id != centre").groupBy("doc_id", "centre").agg(F.count("*").alias("n")))
     # only texts that share a bucket with another are read again, and shuffled whole but once
     wanted = votes.select("doc_id").unionByName(votes.select(F.col("centre").alias("doc_id"))).distinct().join(texts.select(F.col("first.doc_id").alias("doc_id"), "text_key"), "doc_id")
@@ -197,14 +238,10 @@ def near_classes(docs: DataFrame, k: int = WORDS, least: float = SIMILARITY, ban
     rest = open_votes.where("cu != cv").select("u", "v").join(nearest, ["u", "v"], "left_anti")
     found = cut(found.unionByName(similar_pairs(docs, rest, k, least, bag).distinct()))
     labels = _labels(found)
-    # last, all pairs of a bucket that neither share a class nor have been compared
-    classed = _label(_label(members, "doc_id", labels, "cls"), "centre", labels, "centre_cls")
-    apart = classed.where("cls != centre_cls").select(F.col("key"), F.col("doc_id").alias("u"), F.col("cls").alias("cu"))
-    others = classed.where("doc_id != centre").select(F.col("key"), F.col("doc_id").alias("v"), F.col("cls").alias("cv"))
-    last = apart.join(others, "key").where("cu != cv and u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    found = found.unionByName(similar_pairs(docs, last.join(votes.select(F.col("doc_id").alias("u"), F.col("centre").alias("v")), ["u", "v"], "left_anti"), k, least, bag).distinct())
+    # last, the pairs of a bucket that neither share a class nor have been compared
+    found = found.unionByName(similar_pairs(docs, _apart(members, texts, labels), k, least, bag).distinct())
     # a doc_id with several texts links them
-    ids = signed.select("doc_id", "text_key").distinct().join(texts.select("text_key", F.col("first.doc_id").alias("leader")), "text_key").select("doc_id", "leader")
+    ids = keyed.distinct().join(texts.select("text_key", F.col("first.doc_id").alias("leader")), "text_key").select("doc_id", "leader")
     ids = cut(ids)
     found = found.unionByName(ids.where("doc_id != leader").groupBy("doc_id").agg(F.min("leader").alias("lo"), F.max("leader").alias("hi")).where("lo != hi").select(F.col("hi").alias("u"), F.col("lo").alias("v")))
     labels = _labels(found)
