@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridspark.plans.lineage import cut
+
 THRESHOLD = 0.5
 """Least cosine."""
 MAX_DEPTH = 32
@@ -56,15 +58,17 @@ def header_licences(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     lines = files.where("path is not null and text is not null").where(F.lower("text").rlike(_SPEAKS) | named)
     spoken = F.filter(F.split("text", "\n"), lambda x: F.lower(x).rlike(_SPEAKS))
     lines = lines.select("path", F.explode(F.concat(spoken, F.when(named, F.array("text")).otherwise(F.array().cast("array<string>")))).alias("line"))
+    # all texts are read once; what follows works on the few lines that speak of licences
+    lines = cut(lines.select("path", F.array_join(_terms(F.col("line")), " ").alias("header")))
     # equal lines are one header: of the many files that carry a notice only the distinct text of it is weighed
-    headers = lines.groupBy(F.array_join(_terms(F.col("line")), " ").alias("header")).agg(F.count("*").alias("n_lines")).where("header <> ''")
+    headers = cut(lines.where("header <> ''").groupBy("header").agg(F.count("*").alias("n_lines")))
     templates = _templates(spark).select("template", "licence", F.array_join(_terms(F.col("text")), " ").alias("header"))
     counted = lambda df, *keys: df.select(*keys, "header", F.explode(F.split("header", " ")).alias("term")).groupBy(*keys, "header", "term").agg(F.count("*").alias("tf"))
     own, model = counted(headers, "n_lines"), counted(templates, "template", "licence")
     # document frequencies: lines by number, and each template once; only terms of templates have weight beyond norms
     df = own.select("term", F.col("n_lines").alias("n")).unionByName(model.select("term", F.lit(1).cast("long").alias("n"))).groupBy("term").agg(F.sum("n").alias("df"))
     total = headers.agg((F.coalesce(F.sum("n_lines"), F.lit(0)) + len(TEMPLATES)).alias("total"))
-    idf = df.crossJoin(F.broadcast(total)).select("term", (F.log((1 + F.col("total")) / (1 + F.col("df"))) + 1).alias("idf"))
+    idf = cut(df.crossJoin(F.broadcast(total)).select("term", (F.log((1 + F.col("total")) / (1 + F.col("df"))) + 1).alias("idf")))  # one row
     weigh = lambda x, *keys: x.join(idf, "term").select(*keys, "header", "term", (F.col("tf") * F.col("idf")).alias("w"))
     own, model = weigh(own), weigh(model, "template", "licence")
     own_norm = own.groupBy("header").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("own_norm"))
@@ -74,8 +78,7 @@ def header_licences(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     dots = own.join(F.broadcast(model), "term").groupBy("header", "template", "licence").agg(F.sum(F.col("w") * F.col("mw")).alias("dot")).join(own_norm, "header")
     scores = dots.select("header", "licence", F.round(F.col("dot") / F.col("own_norm"), 6).alias("score"))
     best = scores.groupBy("header").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("b")).select("header", F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("score")).where(F.col("score") >= threshold)
-    stated = lines.select("path", F.array_join(_terms(F.col("line")), " ").alias("header")).distinct()
-    return stated.join(best, "header").groupBy("path").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("b")).select("path", F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("score"))
+    return lines.distinct().join(cut(best), "header").groupBy("path").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("b")).select("path", F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("score"))
 
 
 def _above(directory: F.Column) -> F.Column:
@@ -92,9 +95,10 @@ def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     the best score counts, then the first licence by name. Rows with null path are left out; null or empty text states
     nothing. Directories are resolved once each, so a directory of any number of files is one row in the path join.
     """
-    own = header_licences(files, threshold)
+    own = cut(header_licences(files, threshold))
     directory = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
     paths = files.where("path is not null").select("path").distinct().withColumn("dir", directory)
+    paths = cut(paths)
     governing = own.where(F.lower("path").rlike(_LICENCE_FILE)).groupBy(directory.alias("above")).agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("b")).select("above", F.col("b.licence").alias("dir_licence"), (-F.col("b.s")).alias("dir_score"))
     ancestors = paths.select("dir").distinct().select("dir", F.explode(_above(F.col("dir"))).alias("a")).select("dir", "a.*")
     inherited = ancestors.join(governing, "above").groupBy("dir").agg(F.min_by(F.struct("dir_licence", "dir_score", "above"), "distance").alias("i")).select("dir", "i.*")
