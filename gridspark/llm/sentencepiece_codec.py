@@ -23,6 +23,7 @@ KEPT_WORDS = 400_000
 KEPT_CHARS = 64
 """Longer words are not kept."""
 MARK = "\u2581"
+_MARKED = re.compile(f"{MARK}+[^{MARK}]*")
 
 
 class Codec:
@@ -48,6 +49,8 @@ class Codec:
                 ids[piece], self.rank[piece] = i, -model.get_score(i)
         self.unknown = model.unk_id()
         self.byte_of = {i: b for b, i in self.byte_ids.items()}
+        # by decimal id: the text of what stands for itself, a piece or a byte of ASCII (but for a blank, which is not taken off in front)
+        self.plain = {str(i): self.pieces[i].replace(MARK, " ") for i in ids.values()} | {str(i): chr(b) for b, i in self.byte_ids.items() if b < 128 and b != 32}
         # a piece of several characters is made by one last merge, of these two
         self.halves: dict[str, tuple[str, str] | None] = {}
         self.ids = {}
@@ -152,10 +155,12 @@ class Codec:
         if not text:
             return "", 0
         marked = MARK + text.replace(" ", MARK)
-        words, kept, out, total = re.findall(f"{MARK}+[^{MARK}]*", marked) if self.by_mark else [marked], self.words, [], 0
-        for word in words:
-            got = kept.get(word)
-            if got is None:
+        words, kept, out, total = _MARKED.findall(marked) if self.by_mark else [marked], self.words, [], 0
+        found = list(map(kept.get, words))
+        if None not in found:
+            return ",".join([x[0] for x in found]), sum([x[1] for x in found])
+        for word, got in zip(words, found):
+            if got is None and (got := kept.get(word)) is None:
                 ids = self._word(word)
                 got = ",".join(map(str, ids)), len(ids)
                 if len(word) <= KEPT_CHARS:
@@ -166,6 +171,16 @@ class Codec:
             total += got[1]
         return ",".join(out), total
 
+    def decode_joined(self, joined: str) -> str:
+        """``decode`` of ids as decimal numbers joined by commas; by table lookups alone where all ids stand for themselves."""
+        if not joined:
+            return ""
+        try:
+            text = "".join(map(self.plain.__getitem__, joined.split(",")))
+        except KeyError:
+            return self.decode([int(i) for i in joined.split(",")])
+        return text[1:] if text.startswith(" ") else text
+
     def decode(self, ids: list[int]) -> str:
         """The text of ids: marks become spaces but for one in front, runs of byte pieces are read as UTF-8."""
         out: list[str] = []
@@ -261,7 +276,7 @@ def digests(docs: DataFrame, model: str | None = None) -> DataFrame:
             rows = []
             for x in batch.column(1):
                 joined, n = c.encode_joined(x.as_py())
-                rows.append((n, sha(joined), sha(c.decode([int(i) for i in joined.split(",")]) if joined else "")))
+                rows.append((n, sha(joined), sha(c.decode_joined(joined))))
             n, ids, text = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
