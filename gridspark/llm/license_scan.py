@@ -59,11 +59,13 @@ def header_licences(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     spoken = F.filter(F.split("text", "\n"), lambda x: F.lower(x).rlike(_SPEAKS))
     lines = lines.select("path", F.explode(F.concat(spoken, F.when(named, F.array("text")).otherwise(F.array().cast("array<string>")))).alias("line"))
     # all texts are read once; what follows works on the few lines that speak of licences
-    lines = cut(lines.select("path", F.array_join(_terms(F.col("line")), " ").alias("header")))
+    lines = lines.select("path", F.array_join(_terms(F.col("line")), " ").alias("text")).where("text <> ''")
+    # a header goes by its digest: its text, which may be long, must not be repeated for each of its terms
+    lines = cut(lines.select("path", F.sha2("text", 256).alias("header"), "text"))
     # equal lines are one header: of the many files that carry a notice only the distinct text of it is weighed
-    headers = cut(lines.where("header <> ''").groupBy("header").agg(F.count("*").alias("n_lines")))
-    templates = _templates(spark).select("template", "licence", F.array_join(_terms(F.col("text")), " ").alias("header"))
-    counted = lambda df, *keys: df.select(*keys, "header", F.explode(F.split("header", " ")).alias("term")).groupBy(*keys, "header", "term").agg(F.count("*").alias("tf"))
+    headers = cut(lines.groupBy("header", "text").agg(F.count("*").alias("n_lines")))
+    templates = _templates(spark).select("template", "licence", F.array_join(_terms(F.col("text")), " ").alias("text")).withColumn("header", F.sha2("text", 256))
+    counted = lambda df, *keys: df.select(*keys, "header", F.explode(F.split("text", " ")).alias("term")).groupBy(*keys, "header", "term").agg(F.count("*").alias("tf"))
     own, model = counted(headers, "n_lines"), counted(templates, "template", "licence")
     # document frequencies: lines by number, and each template once; only terms of templates have weight beyond norms
     df = own.select("term", F.col("n_lines").alias("n")).unionByName(model.select("term", F.lit(1).cast("long").alias("n"))).groupBy("term").agg(F.sum("n").alias("df"))
@@ -78,7 +80,7 @@ def header_licences(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     dots = own.join(F.broadcast(model), "term").groupBy("header", "template", "licence").agg(F.sum(F.col("w") * F.col("mw")).alias("dot")).join(own_norm, "header")
     scores = dots.select("header", "licence", F.round(F.col("dot") / F.col("own_norm"), 6).alias("score"))
     best = scores.groupBy("header").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("b")).select("header", F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("score")).where(F.col("score") >= threshold)
-    return lines.distinct().join(cut(best), "header").groupBy("path").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("b")).select("path", F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("score"))
+    return lines.select("path", "header").distinct().join(cut(best), "header").groupBy("path").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("b")).select("path", F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("score"))
 
 
 def _above(directory: F.Column) -> F.Column:
