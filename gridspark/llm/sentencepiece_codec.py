@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 MODEL = "piece_bpe_32k.model"
 KEPT_WORDS = 400_000
 """Words kept by a worker; beyond that the dictionary is emptied. It changes the speed only."""
+KEPT_JOINS = 2_000_000
+"""Pairs of tokens kept likewise."""
 KEPT_CHARS = 64
 """Longer words are not kept."""
 MARK = "\u2581"
@@ -61,9 +63,11 @@ class Codec:
         self.by_mark = not any(MARK in p.lstrip(MARK) for p in self.ids)
         self.automaton = ahocorasick.Automaton()
         for piece in self.ids:
-            self.automaton.add_word(piece, piece)
+            self.automaton.add_word(piece, (self.ids[piece], len(piece)))
         self.automaton.make_automaton()
-        self.joins: dict[tuple[str, str], bool] = {}
+        self.known = frozenset(p for p in self.ids if len(p) == 1)
+        # by left id * number of pieces + right id: may they stand side by side?
+        self.joins: dict[int, bool] = {}
         self.words: dict[str, tuple[str, int]] = {}
 
     def _merge(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
@@ -84,9 +88,6 @@ class Codec:
         Undo the later of the two tokens' last merges, half by half, as long as a merge across the border would have
         come first; if one would, the pair can't stand. Of equal ranks the left one comes first.
         """
-        key = left, right
-        if (known := self.joins.get(key)) is not None:
-            return known
         a, b, result = left, right, True
         limit: tuple[float, int] = (float("inf"), 0)
         while True:
@@ -103,9 +104,6 @@ class Codec:
                 limit, a = (made_a, 0), self.halves[a][1]
             else:
                 limit, b = (made_b, 1), self.halves[b][0]
-        if len(self.joins) > 2_000_000:
-            self.joins.clear()
-        self.joins[key] = result
         return result
 
     @staticmethod
@@ -115,35 +113,41 @@ class Codec:
 
     def _table(self, text: str) -> list[int]:
         """Ids of a text of known characters, through the table of each prefix's last token."""
-        last: list[str | None] = [None] * len(text)
-        for end, piece in self.automaton.iter(text):
-            if last[end] is not None:
+        last, lengths = [-1] * len(text), [0] * len(text)
+        joins, size = self.joins, len(self.pieces)
+        for end, (piece, length) in self.automaton.iter(text):
+            if last[end] >= 0:
                 continue
-            start = end - len(piece)
-            if start < 0 or (last[start] is not None and self.compatible(last[start], piece)):
-                last[end] = piece
+            start = end - length
+            if start >= 0:
+                key = last[start] * size + piece
+                stands = joins.get(key)
+                if stands is None:
+                    if len(joins) >= KEPT_JOINS:
+                        joins.clear()
+                    stands = joins[key] = last[start] >= 0 and self.compatible(self.pieces[last[start]], self.pieces[piece])
+                if not stands:
+                    continue
+            last[end], lengths[end] = piece, length
         out, at = [], len(text) - 1
         while at >= 0:
-            out.append(self.ids[last[at]])
-            at -= len(last[at])
+            out.append(last[at])
+            at -= lengths[at]
         return out[::-1]
 
     def _word(self, word: str) -> list[int]:
         """Ids of a word; characters that are no piece become their bytes and part what stands around them."""
-        if all(c in self.ids for c in word):
+        if self.known.issuperset(word):
             return self._table(word)
         out: list[int] = []
-        for known, other in re.findall(f"([{self._known(word)}]+)|(.)", word, re.S) if self._known(word) else (("", c) for c in word):
-            if known:
-                out += self._table(known)
-            elif self.byte_ids:
-                out += [self.byte_ids[b] for b in other.encode()]
-            else:
-                out.append(self.unknown)
-        return out
-
-    def _known(self, word: str) -> str:
-        return "".join(re.escape(c) for c in sorted(set(word)) if c in self.ids)
+        begin = 0
+        for at, char in enumerate(word):
+            if char not in self.known:
+                if begin < at:
+                    out += self._table(word[begin:at])
+                out += [self.byte_ids[b] for b in char.encode()] if self.byte_ids else [self.unknown]
+                begin = at + 1
+        return out + self._table(word[begin:]) if begin < len(word) else out
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of a whole text; null and empty have none."""
