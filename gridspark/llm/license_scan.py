@@ -69,8 +69,8 @@ def header_licences(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     own, model = counted(headers, "n_lines"), counted(templates, "template", "licence")
     # document frequencies: lines by number, and each template once; only terms of templates have weight beyond norms
     df = own.select("term", F.col("n_lines").alias("n")).unionByName(model.select("term", F.lit(1).cast("long").alias("n"))).groupBy("term").agg(F.sum("n").alias("df"))
-    total = headers.agg((F.coalesce(F.sum("n_lines"), F.lit(0)) + len(TEMPLATES)).alias("total"))
-    idf = cut(df.crossJoin(F.broadcast(total)).select("term", (F.log((1 + F.col("total")) / (1 + F.col("df"))) + 1).alias("idf")))  # one row
+    total = (headers.agg(F.sum("n_lines")).first()[0] or 0) + len(TEMPLATES)  # one number
+    idf = cut(df.select("term", (F.log((1 + F.lit(total)) / (1 + F.col("df"))) + 1).alias("idf")))
     weigh = lambda x, *keys: x.join(idf, "term").select(*keys, "header", "term", (F.col("tf") * F.col("idf")).alias("w"))
     own, model = weigh(own), weigh(model, "template", "licence")
     own_norm = own.groupBy("header").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("own_norm"))
@@ -128,3 +128,46 @@ def op6_license_scan(spark, sf_dir: str) -> DataFrame:
     files = document_paths(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     found = scan(files)
     return files.select("doc_id", "path").distinct().join(found, "path").select("doc_id", "path", "licence", "score", "origin", "licence_dir")
+
+
+def oracle(threshold: float = THRESHOLD) -> str:
+    """The same in DuckDB's SQL."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    values = ", ".join(f"({i}, {quoted(k)}, {quoted(v)})" for i, (k, v) in enumerate(TEMPLATES))
+    terms = lambda x: f"array_to_string([w for w in string_split_regex(lower({x}), '[^a-z0-9]+') if w <> ''], ' ')"
+    return f"""
+WITH f AS (
+  SELECT DISTINCT doc_id, text, concat(coalesce(source, 'none'), '/', doc_id // 4096, '/', doc_id // 256, '/',
+    CASE WHEN regexp_matches(lower(string_split(rtrim(text, ' '), chr(10))[-1]), 'licen[sc]e') THEN 'LICENSE-' ELSE 'doc-' END, doc_id) AS path
+  FROM documents WHERE doc_id IS NOT NULL),
+n AS (SELECT path, text, regexp_matches(lower(path), {quoted(_LICENCE_FILE)}) AS named FROM f WHERE text IS NOT NULL),
+l AS (
+  SELECT path, unnest([x for x in string_split(text, chr(10)) if regexp_matches(lower(x), {quoted(_SPEAKS)})]) AS line FROM n
+  UNION ALL SELECT path, text FROM n WHERE named),
+t AS (SELECT path, md5(header) AS header, header AS body FROM (SELECT path, {terms("line")} AS header FROM l) WHERE header <> ''),
+h AS (SELECT header, any_value(body) AS body, count(*) AS n_lines FROM t GROUP BY header),
+m AS (SELECT template, licence, {terms("words")} AS body FROM (VALUES {values}) v(template, licence, words)),
+own AS (SELECT header, n_lines, term, count(*) AS tf FROM (SELECT header, n_lines, unnest(string_split(body, ' ')) AS term FROM h) GROUP BY ALL),
+model AS (SELECT template, licence, term, count(*) AS tf FROM (SELECT template, licence, unnest(string_split(body, ' ')) AS term FROM m) GROUP BY ALL),
+df AS (SELECT term, sum(n) AS df FROM (SELECT term, n_lines AS n FROM own UNION ALL SELECT term, 1 FROM model) GROUP BY term),
+idf AS (SELECT term, ln((1 + total) / (1.0::DOUBLE + df)) + 1 AS idf FROM df, (SELECT coalesce(sum(n_lines), 0)::DOUBLE + {len(TEMPLATES)} AS total FROM h)),
+own_w AS (SELECT header, term, tf * idf AS w FROM own JOIN idf USING (term)),
+model_w AS (SELECT template, licence, term, tf * idf AS w FROM model JOIN idf USING (term)),
+own_n AS (SELECT header, sqrt(sum(w * w)) AS norm FROM own_w GROUP BY header),
+model_n AS (SELECT template, sqrt(sum(w * w)) AS norm FROM model_w GROUP BY template),
+dots AS (SELECT o.header, k.template, k.licence, sum(o.w * k.w) AS dot FROM own_w o JOIN model_w k USING (term) GROUP BY ALL),
+scores AS (SELECT header, licence, round(dot / model_n.norm / own_n.norm, 6) AS score FROM dots JOIN own_n USING (header) JOIN model_n USING (template)),
+stated AS (SELECT path, licence, score FROM t JOIN scores USING (header) WHERE score >= {threshold}
+  QUALIFY row_number() OVER (PARTITION BY path ORDER BY score DESC, licence) = 1),
+d AS (SELECT DISTINCT path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM f),
+g AS (SELECT dir AS above, licence AS dir_licence, score AS dir_score FROM stated JOIN d USING (path) WHERE regexp_matches(lower(path), {quoted(_LICENCE_FILE)})
+  QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, licence) = 1),
+up AS (SELECT dir, i AS distance, array_to_string(string_split(dir, '/')[1 : len(string_split(dir, '/')) - i], '/') AS above
+  FROM (SELECT dir, unnest(range(0, least(len(string_split(dir, '/')), {MAX_DEPTH}) + 1)) AS i FROM (SELECT DISTINCT dir FROM d))),
+near AS (SELECT dir, above, dir_licence, dir_score FROM up JOIN g USING (above) QUALIFY row_number() OVER (PARTITION BY dir ORDER BY distance) = 1)
+SELECT f.doc_id, f.path, coalesce(s.licence, dir_licence) AS licence, coalesce(s.score, dir_score) AS score,
+  CASE WHEN s.licence IS NOT NULL AND regexp_matches(lower(f.path), {quoted(_LICENCE_FILE)}) THEN 'file' WHEN s.licence IS NOT NULL THEN 'header'
+    WHEN dir_licence IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+  CASE WHEN s.licence IS NULL AND dir_licence IS NOT NULL THEN above END AS licence_dir
+FROM (SELECT DISTINCT doc_id, path FROM f) f JOIN d USING (path) LEFT JOIN stated s ON s.path = f.path LEFT JOIN near USING (dir)
+"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from gridspark.llm import license_scan
 from gridspark.llm.fingerprints import op9_fingerprints
 from gridspark.llm.hilbert_search import op8_hilbert_search
 from gridspark.llm.language_id import op1_language_id
@@ -26,4 +27,4 @@ QUERIES = {
     "op10_ppm": op10_ppm,
 }
 
-ORACLES = {"op4_mixing": oracle()}
+ORACLES = {"op4_mixing": oracle(), "op6_license_scan": license_scan.oracle()}

@@ -142,6 +142,22 @@ def test_licences(spark):
     assert got == {"a/LICENSE": ("MIT", "file", None), "a/b/x.py": ("MIT", "inherited", "a"), "a/b/c/y.py": ("Apache-2.0", "header", None), "d/z.py": (None, "none", None), "e/w.py": (None, "none", None)}
 
 
+def test_licences_equal_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    want = sorted(con.sql(license_scan.oracle()).fetchall(), key=repr)
+    assert sorted((tuple(r) for r in license_scan.op6_license_scan(spark, SF).collect()), key=repr) == want
+
+
+def test_licences_long_header(spark):
+    """A licence file of many words gives each word once, not its whole text."""
+    text = "\n".join(f"w{i} licensed under the MIT license" for i in range(20_000))
+    files = spark.createDataFrame([("a/LICENSE", text), ("a/b/x", "none"), ("c", None), (None, "MIT license"), ("a/b/x", "none")], "path string, text string")
+    got = {r.path: (r.licence, r.origin) for r in license_scan.scan(files).collect()}
+    assert got == {"a/LICENSE": ("MIT", "file"), "a/b/x": ("MIT", "inherited"), "c": (None, "none")}
+    assert license_scan.scan(files.limit(0)).count() == 0
+
+
 def test_pages(spark):
     node = page_text.tree()
     x, y = page_text.labelled()
