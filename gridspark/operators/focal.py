@@ -40,6 +40,30 @@ def step_height(px: DataFrame, z: str = "z") -> DataFrame:
     return _extreme(_extreme(px, z, "hi", F.max, 1, 1), z, "lo", F.min, 1, 1).withColumn("step", F.col("hi") - F.col("lo")).drop("hi", "lo")
 
 
+def _edge_sum(px: DataFrame, column: str, along: str, reach: int) -> F.Column:
+    """Sum of ``2 * reach + 1`` pixels of a line; beyond its ends the last pixel repeats."""
+    line = _lines(along)
+    whole = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    at = F.row_number().over(line)
+    before, after = F.greatest(reach + 1 - at, F.lit(0)), F.greatest(reach - F.count(F.lit(1)).over(whole) + at, F.lit(0))
+    return F.sum(column).over(line.rowsBetween(-reach, reach)) + before * F.first(column).over(whole) + after * F.last(column).over(whole)
+
+
+def roughness(px: DataFrame, z: str = "z", reach: int = 2) -> DataFrame:
+    """Standard deviation of the square window, 5 x 5 by default, with the border repeated; heights must be finite."""
+    out, n = px.withColumn("m1", F.col(z)).withColumn("m2", F.col(z) * F.col(z)), (2 * reach + 1) ** 2
+    for along in ("col", "row"):
+        out = out.withColumns({m: _edge_sum(out, m, along, reach) for m in ("m1", "m2")})
+    mean = F.col("m1") / n
+    return out.withColumn("rough", F.sqrt(F.greatest(F.col("m2") / n - mean * mean, F.lit(0.0)))).drop("m1", "m2")
+
+
+def local_maxima(px: DataFrame, z: str = "z", reach: int = 12, least: float | None = None) -> DataFrame:
+    """Pixels that are the largest of the square window around them and at least ``least``; equal ones all stay."""
+    top = _extreme(px, z, "top", F.max, reach, reach).where(F.col(z) == F.col("top")).drop("top")
+    return top if least is None else top.where(F.col(z) >= least)
+
+
 def dilate(mask: DataFrame, rounds: int = 1) -> DataFrame:
     """3 x 3 dilation, outside counts as empty."""
     return _extreme(mask, "m", "m", F.max, rounds, rounds)

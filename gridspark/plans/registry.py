@@ -423,6 +423,18 @@ def e02_step_height(spark, d):
     return focal.step_height(_smooth(spark, d)).select("scene_id", "row", "col", "step")
 
 
+@query(f"""WITH {_CL}, o AS (SELECT a.s, a.r, a.c, greatest(0, least({fx.HEIGHT - 1}, a.r + y.d)) AS nr, greatest(0, least({fx.WIDTH - 1}, a.c + x.d)) AS nc FROM k a, (SELECT unnest(range(-2, 3)) AS d) y, (SELECT unnest(range(-2, 3)) AS d) x)
+SELECT o.s AS scene_id, o.r AS "row", o.c AS col, round(stddev_pop(b.z), 6) AS rough FROM o JOIN k b ON b.s = o.s AND b.r = o.nr AND b.c = o.nc GROUP BY ALL""")
+def e03_roughness(spark, d):
+    return focal.roughness(_smooth(spark, d)).select("scene_id", "row", "col", "rough")
+
+
+@query(f"""WITH {_CL}, m AS (SELECT a.s, a.r, a.c, a.z, max(b.z) AS top FROM k a JOIN k b ON a.s = b.s AND abs(a.r - b.r) <= 12 AND abs(a.c - b.c) <= 12 GROUP BY ALL)
+SELECT s AS scene_id, r AS "row", c AS col, round(z, 6) AS z FROM m WHERE z = top""")
+def e23_local_maxima(spark, d):
+    return focal.local_maxima(_smooth(spark, d)).select("scene_id", "row", "col", "z")
+
+
 @query(f"WITH {EV}, k AS (SELECT s, r, c, z FROM ev), v AS (SELECT a.s, a.r, a.c, list(b.z) FILTER (NOT isnan(b.z)) AS zs {_NEAR}), m AS (SELECT *, list_median(zs) AS md FROM v) SELECT s AS scene_id, r AS \"row\", c AS col, round(md, 6) AS median, round(list_median(list_transform(zs, lambda x: abs(x - md))), 6) AS mad FROM m")
 def e08_median_mad(spark, d):
     return focal.median_mad(fx.pixels(spark, d).select("scene_id", "row", "col", "z")).select("scene_id", "row", "col", "median", "mad")
