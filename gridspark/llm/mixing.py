@@ -19,6 +19,8 @@ WEIGHTS = {"src0": 20, "src1": 6, "src2": 6, "src3": 6, "src4": 6, "src5": 6, "s
 OTHER = 26
 MAX_PARTS = 10_000
 """Most parts, and so slots of a period."""
+PLACE = ("stratum", "block_index", "mix_pos")
+"""Columns that mixing adds."""
 
 
 def _strata(weights: dict[str, int], other: int) -> list[tuple[str | None, int]]:
@@ -66,8 +68,7 @@ def mixed(docs: DataFrame, weights: dict[str, int] = WEIGHTS, other: int = OTHER
     total = sum(q for _, q in strata)
     names = F.array(*(F.lit(n) for n, _ in strata[:-1])) if len(strata) > 1 else F.array().cast("array<string>")
     place = F.coalesce(F.array_position(names, F.col(f"`{source}`").cast("string")), F.lit(0)).cast("int")
-    added = ("stratum", "block_index", "mix_pos")
-    rows = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in added))
+    rows = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in PLACE))
     columns = rows.columns
     spot = F.md5(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")))
     dealt = rows.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.when(place > 0, place - 1).otherwise(len(strata) - 1).alias("stratum"), spot.alias("spot"))
@@ -111,8 +112,8 @@ def op4_mixing(spark, sf_dir: str) -> DataFrame:
 
 
 def in_mixed_order(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents in the order of the mix, range-partitioned, so that files read one after another hold it."""
-    return mixed(docs).orderBy("mix_pos").select(*docs.columns)
+    """Pipeline stage: the documents in ranges of the mix, with their place in it. Files are not read in the order of rows, so the place stays with the row."""
+    return mixed(docs).orderBy("mix_pos")
 
 
 def oracle(weights: dict[str, int] = WEIGHTS, other: int = OTHER, block: int = BLOCK) -> str:

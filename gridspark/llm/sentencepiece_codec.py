@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridspark.llm.mixing import PLACE
+
 MODEL = "piece_bpe_32k.model"
 KEPT_WORDS = 400_000
 """Words kept by a worker; beyond that the dictionary is emptied. It changes the speed only."""
@@ -240,8 +242,8 @@ def model_path(model: str | None = None) -> str:
     return model or public_tokenizers.path(MODEL)
 
 
-def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
-    """``(doc_id, ids, n_tokens)`` of each whole text; null and empty texts have no ids, repeated rows stay."""
+def encode(docs: DataFrame, model: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, ids, n_tokens)`` of each whole text, and the columns ``keep`` as they are; null and empty texts have no ids, repeated rows stay."""
     path = model_path(model)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,9 +252,11 @@ def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
                 ids = [c.encode(x.as_py()) for x in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int64())], names=["doc_id", "ids", "n_tokens"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int64()), *part.columns[2:]], names=["doc_id", "ids", "n_tokens", *keep])
 
-    return docs.select("doc_id", "text").mapInArrow(apply, "doc_id long, ids array<int>, n_tokens long")
+    rows = docs.select("doc_id", "text", *keep)
+    kept = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[2:])
+    return rows.mapInArrow(apply, f"doc_id long, ids array<int>, n_tokens long{kept}")
 
 
 def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
@@ -293,5 +297,5 @@ def op3_sentencepiece(spark, sf_dir: str) -> DataFrame:
 
 
 def tokenise(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the ids of each document."""
-    return encode(docs)
+    """Pipeline stage: the ids of each document, and its place in the mix where a stage before has given one."""
+    return encode(docs, keep=tuple(c for c in PLACE if c in docs.columns))

@@ -225,3 +225,29 @@ def test_pipeline(spark, documents):
     classes = brute_classes([(d, t) for d, t, _, _ in documents])
     library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(sentencepiece_codec.MODEL))
     assert got == {d: len(library.encode(t)) for d, t, _, _ in documents if classes[d] == d}
+
+
+def test_pipeline_keeps_the_mix(spark, documents):
+    """The place of every kept document is that of a schedule made slot by slot."""
+    import corpus_pipeline
+
+    got = {r.doc_id: (r.stratum, r.block_index, r.mix_pos) for r in corpus_pipeline.run(spark, SF).collect()}
+    classes = brute_classes([(d, t) for d, t, _, _ in documents])
+    strata = [*sorted(mixing.WEIGHTS.items()), ("*", mixing.OTHER)]
+    queues = {name: [] for name, _ in strata}
+    for d, _, _, source in documents:
+        if classes[d] == d:
+            queues[source if source in mixing.WEIGHTS else "*"].append(d)
+    for q in queues.values():
+        q.sort(key=lambda d: (hashlib.md5(str(d).encode()).hexdigest(), d))
+    total, n, place, want = sum(q for _, q in strata), [0] * len(strata), 0, {}
+    for slot in range(total * len(documents)):
+        i = min((-(-(n[i] + 1) * total // q), i) for i, (_, q) in enumerate(strata) if n[i] * total // q <= slot)[1]
+        name, b = strata[i][0], n[i]
+        n[i] += 1
+        for d in queues[name][b * mixing.BLOCK : (b + 1) * mixing.BLOCK]:
+            want[d] = (name, b, place)
+            place += 1
+        if place == sum(map(len, queues.values())):
+            break
+    assert got == want and len({r[0] for r in got.values()}) > 1
