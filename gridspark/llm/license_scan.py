@@ -2,12 +2,16 @@
 
 A file's whole text is cut into lines; those that speak of licences are its headers; the whole text
 is one more if the file's name is that of a licence file. Their terms are weighted by TF-IDF, with document frequencies over all such lines and the
-templates, and the template of the largest cosine names the licence if that reaches a threshold. A licence found in a
-licence file holds for its directory; a file without one takes that of the nearest directory above it.
+templates, and the template of the largest cosine names the licence if that reaches a threshold. Such frequencies grow
+with the table, and one rare word then outweighs a notice. A file without a licence by them is therefore weighed once
+more with frequencies over the templates alone, which are alike at every size. A licence found in a licence file holds for its directory; a file without one takes that of the nearest directory above it.
 """
 
 from __future__ import annotations
 
+import math
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +20,9 @@ from gridspark.plans.lineage import cut
 THRESHOLD = 0.5
 """Least cosine."""
 MAX_DEPTH = 32
-"""Directories above a file that are looked at."""
+"""Directories above a file that the SQL looks at; the query looks at all."""
+OUTSIDE = 0.5
+"""Weight of a word that is in no template, where frequencies are those of the templates."""
 # Notices by which licences are commonly stated.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
@@ -48,10 +54,43 @@ def _templates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, k, v) for i, (k, v) in enumerate(TEMPLATES)], "template int, licence string, text string")
 
 
+def _fixed_model(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """``(term, fixed)`` and ``(template, licence, term, mw, n_terms)``: weights with document frequencies over the templates alone."""
+    bags = [[w for w in re.split("[^a-z0-9]+", text.lower()) if w] for _, text in TEMPLATES]
+    terms = sorted({w for bag in bags for w in bag})
+    idf = {w: math.log((1 + len(bags)) / (1 + sum(w in bag for bag in bags))) + 1 for w in terms}
+    rows = []
+    for i, bag in enumerate(bags):
+        own = {w: bag.count(w) * idf[w] for w in bag}
+        norm = math.sqrt(sum(x * x for x in own.values()))
+        rows += [(i, TEMPLATES[i][0], w, x / norm, len(own)) for w, x in own.items()]
+    return spark.createDataFrame(list(idf.items()), "term string, fixed double"), spark.createDataFrame(rows, "template int, licence string, term string, mw double, n_terms int")
+
+
+def _by_templates(counts: DataFrame, threshold: float) -> DataFrame:
+    """``(header, licence, score)`` of ``counts(header, term, tf)``, alike at every size of the table.
+
+    A header must also hold half of the template's distinct words: one rare name (MIT as a university) is no notice.
+    """
+    fixed, model = (F.broadcast(x) for x in _fixed_model(counts.sparkSession))
+    own = counts.join(fixed, "term", "left").select("header", "term", "fixed", (F.col("tf") * F.coalesce("fixed", F.lit(OUTSIDE))).alias("w"))
+    norm = own.groupBy("header").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("own_norm"))
+    dots = own.where("fixed is not null").join(model, "term").groupBy("header", "template", "licence", "n_terms").agg(F.sum(F.col("w") * F.col("mw")).alias("dot"), F.count("*").alias("held"))
+    scores = dots.where(F.col("held") * 2 >= F.col("n_terms")).join(norm, "header").select("header", "licence", F.round(F.col("dot") / F.col("own_norm"), 6).alias("score"))
+    return _best(scores, "header", threshold)
+
+
+def _best(scores: DataFrame, key: str, threshold: float) -> DataFrame:
+    """The licence of the best score of each key, if it reaches the threshold; equal scores go to the first by name."""
+    best = scores.groupBy(key).agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("b"))
+    return best.select(key, F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("score")).where(F.col("score") >= threshold)
+
+
 def header_licences(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``(path, licence, score)``: the licence that a file of ``files(path, text)`` states itself; files without one are left out.
 
-    The best line decides; equal scores go to the first licence by name. Repeated paths are one file.
+    The best line decides, by frequencies of the table, or if none reaches the threshold by those of the templates;
+    equal scores go to the first licence by name. Repeated paths are one file.
     """
     spark = files.sparkSession
     named = F.lower("path").rlike(_LICENCE_FILE)
@@ -72,6 +111,7 @@ def header_licences(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     total = (headers.agg(F.sum("n_lines")).first()[0] or 0) + len(TEMPLATES)  # one number
     idf = cut(df.select("term", (F.log((1 + F.lit(total)) / (1 + F.col("df"))) + 1).alias("idf")))
     weigh = lambda x, *keys: x.join(idf, "term").select(*keys, "header", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    counts = own
     own, model = weigh(own), weigh(model, "template", "licence")
     own_norm = own.groupBy("header").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("own_norm"))
     model_norm = model.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("model_norm"))
@@ -79,14 +119,15 @@ def header_licences(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     # templates are fixed, so their few terms are broadcast
     dots = own.join(F.broadcast(model), "term").groupBy("header", "template", "licence").agg(F.sum(F.col("w") * F.col("mw")).alias("dot")).join(own_norm, "header")
     scores = dots.select("header", "licence", F.round(F.col("dot") / F.col("own_norm"), 6).alias("score"))
-    best = scores.groupBy("header").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("b")).select("header", F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("score")).where(F.col("score") >= threshold)
-    return lines.select("path", "header").distinct().join(cut(best), "header").groupBy("path").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("b")).select("path", F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("score"))
+    best = _best(scores, "header", threshold).withColumn("again", F.lit(0)).unionByName(_by_templates(counts, threshold).withColumn("again", F.lit(1)))
+    stated = lines.select("path", "header").distinct().join(cut(best), "header").groupBy("path").agg(F.min(F.struct("again", (-F.col("score")).alias("s"), "licence")).alias("b"))
+    return stated.select("path", F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("score"))
 
 
 def _above(directory: F.Column) -> F.Column:
     """A directory and those above it, the nearest first, with their distance; the root is the empty name."""
     parts = F.when(directory == "", F.array().cast("array<string>")).otherwise(F.split(directory, "/"))
-    steps = F.sequence(F.lit(0), F.least(F.size(parts), F.lit(MAX_DEPTH)))
+    steps = F.sequence(F.lit(0), F.size(parts))
     return F.transform(steps, lambda i: F.struct(i.alias("distance"), F.array_join(F.slice(parts, F.lit(1), F.size(parts) - i), "/").alias("above")))
 
 

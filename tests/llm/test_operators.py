@@ -158,6 +158,16 @@ def test_licences_long_header(spark):
     assert license_scan.scan(files.limit(0)).count() == 0
 
 
+def test_licences_alike_at_every_size(spark):
+    """A rare word on each line, any number of lines and any depth of directories leave a notice what it is."""
+    deep = "a/" + "d/" * 40 + "x"
+    for n in (20, 20_000):
+        text = "\n".join(f"w{i} licensed under the MIT license" for i in range(n))
+        files = spark.createDataFrame([("a/LICENSE", text), ("a/b/x", "none"), (deep, "none"), ("c", None), ("u/v.py", "Copyright the MIT University"), ("u/w.py", "acme is licensed under the MIT license")], "path string, text string")
+        got = {r.path: (r.licence, r.origin) for r in license_scan.scan(files).collect()}
+        assert got == {"a/LICENSE": ("MIT", "file"), "a/b/x": ("MIT", "inherited"), deep: ("MIT", "inherited"), "c": (None, "none"), "u/v.py": (None, "none"), "u/w.py": ("MIT", "header")}
+
+
 def test_pages(spark):
     node = page_text.tree()
     x, y = page_text.labelled()
