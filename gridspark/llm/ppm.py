@@ -21,14 +21,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.llm.bytetext import byte_view, groups, lower, word_hashes, words
-from gridspark.plans.lineage import cut
+from gridspark.plans.lineage import cut, forget
 
-ORDER = 5
+ORDER = 6
 """Bytes of context."""
 BLOCK_BYTES = 24 << 20
 """Text in a block, about."""
 STEP_BYTES = 1 << 20
 """Text that a task takes at a time within a block."""
+SMALL = {"compression": "zstd", "parquet.writer.version": "v2"}
+"""Files between steps: sorted keys as differences."""
 _END = np.uint8(10)
 _WORD = np.uint64(1) << np.uint64(63)
 
@@ -108,16 +110,21 @@ def trie_scores(grams: DataFrame) -> DataFrame:
     levels = {ORDER: level}
     for j in range(ORDER - 1, -1, -1):
         mask = (1 << (8 * (j + 1))) - 1
-        levels[j] = cut(levels[j + 1].groupBy(F.col("key").bitwiseAND(F.lit(mask)).alias("key")).agg(F.sum("n").alias("n")))
+        levels[j] = cut(levels[j + 1].groupBy(F.col("key").bitwiseAND(F.lit(mask)).alias("key")).agg(F.sum("n").alias("n")), **SMALL)
     context = F.shiftrightunsigned("key", 8).alias("context")
     # order 0: T and q of the empty context; log of what is left to a byte that no training row holds
     sums = levels[0].agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t"), F.count_if(F.col("n") > 0).alias("q"))
     below = levels[0].crossJoin(F.broadcast(sums)).select("key", "n", "t", "q", (-F.log10(F.greatest(256 - F.col("q"), F.lit(1)))).alias("rest"))
+    rows = None
     for j in range(1, ORDER + 1):
         mask = (1 << (8 * j)) - 1
         up = levels[j].select("key", F.col("n").alias("n_up"), F.col("key").bitwiseAND(F.lit(mask)).alias("short"))
-        rows = up.join(below.select(F.col("key").alias("short"), "n", "t", "q", "rest"), "short")
-        rows = cut(rows)
+        made = up.join(below.select(F.col("key").alias("short"), "n", "t", "q", "rest"), "short").drop("short")
+        done, rows = rows, cut(made, **SMALL)
+        # the level below is in these rows: its files go
+        forget(levels[j - 1] if done is None else done)
+        if 0 < j < ORDER:
+            forget(levels[j])
         stats = rows.groupBy(context).agg(
             F.sum("n_up").alias("t_up"), F.count_if(F.col("n_up") > 0).alias("q_up"), F.sum(F.when(F.col("n_up") > 0, F.col("n")).otherwise(0)).alias("gone")
         )
@@ -148,8 +155,8 @@ def score(docs: DataFrame) -> DataFrame:
         block = np.full(len(keys), table["block"][0].as_py(), np.int32)
         return pa.table({"block": block, "key": keys.view(np.int64), "n": n})
 
-    asked = cut(texts.groupBy("block").applyInArrow(ask, "block int, key long, n long"))
-    counts = cut(asked.groupBy("key").agg(F.sum("n").alias("n")))
+    asked = cut(texts.groupBy("block").applyInArrow(ask, "block int, key long, n long"), **SMALL)
+    counts = cut(asked.groupBy("key").agg(F.sum("n").alias("n")), **SMALL)
     grams, words_ = counts.where("key >= 0"), counts.where("key < 0")
     answers = trie_scores(grams).unionByName(words_.select("key", F.col("n").cast("double").alias("value")))
     answered = asked.select("block", "key").join(answers, "key").select("block", "key", "value")

@@ -16,16 +16,27 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, **options: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again.
 
     Later steps start from these files, so a lost executor costs no recomputation of earlier ones. Unlike
     ``checkpoint()`` the rows are computed once and stored compressed, by column. Files go when the session's JVM ends.
+    ``options`` go to the Parquet writer.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/gridspark-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the files that ``cut`` wrote for ``df``, once all that was made from them is written too."""
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if path.rsplit("/", 1)[-1].startswith("gridspark-"):
+            at = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(path))
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

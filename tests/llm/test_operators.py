@@ -228,6 +228,13 @@ def test_ppm_odd_and_sums_to_one(spark, odd):
     assert abs(total - 1) < 1e-9
 
 
+def test_ppm_looks_six_bytes_back(spark):
+    """Only the sixth byte before the digit tells which digit comes."""
+    rows = [(i, ("aabcde1", "babcde2")[i % 2]) for i in range(200)]
+    got = ppm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 200 and all(r.score > -0.5 for r in got)
+
+
 def test_pipeline(spark, documents):
     import corpus_pipeline
 
