@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -24,7 +25,9 @@ _BLOCK = set(
     "head header hr html iframe label legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split()
 )
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-_UNREAD = ("script", "style", "noscript", "template", "svg", "textarea", "iframe", "object", "canvas", "math")
+_UNREAD = ("script", "style", "noscript", "template", "svg", "textarea", "iframe", "canvas", "annotation", "annotation-xml")
+_RAW = ("script", "style", "textarea", "iframe")
+"""Of these, the ones whose text goes on to the end of the page if they are not closed."""
 _FURNITURE = set("nav footer header aside form button label legend select option menu dialog head title".split())
 _ARTICLE = set("article main".split())
 # Parts of class, id and role names that speak for or against article text.
@@ -53,12 +56,39 @@ class Block:
     raw_at: int = 0
 
 
+@dataclass
+class _Element:
+    """An element with what it says of the text in it, and what it takes over from those around it."""
+
+    tag: str
+    kind: int
+    around: "_Element | None"
+    by_name: bool
+    words: int = 0
+    holds: bool = False
+    out: bool = False
+
+    def __post_init__(self) -> None:
+        up = self.around
+        self.unseen = self.kind == _UNSEEN or (up is not None and up.unseen)
+        self.article = self.kind == _IN or (up is not None and up.article)
+        self.heading = re.fullmatch("h[1-6]", self.tag) is not None or (up is not None and up.heading)
+
+
 @dataclass
 class _State:
     parts: list[tuple[str, bool]] = field(default_factory=list)
-    open: list[tuple[str, int]] = field(default_factory=list)
+    open: list[_Element] = field(default_factory=list)
+    count: Counter = field(default_factory=Counter)
     links: int = 0
 
+    def end(self, at: int) -> None:
+        """Close the open elements from a place on."""
+        for e in self.open[at:]:
+            self.count[e.tag] -= 1
+            self.links -= e.tag == "a"
+        del self.open[at:]
+
 
 def _kind(tag: str, attributes: str) -> int:
     """What an element says of the text in it."""
@@ -82,16 +112,18 @@ def blocks(page: str | None) -> list[Block]:
     if not page:
         return found
     state = _State()
+    made: list[_Element] = []
+    stands: list[_Element | None] = []
 
     def close(at: int) -> None:
         text = html.unescape("".join(t for t, _ in state.parts))
         words = len(_WORD.findall(text))
         if words:
             linked = sum(len(_WORD.findall(html.unescape(t))) for t, a in state.parts if a)
-            kinds = [k for _, k in state.open]
-            if _UNSEEN not in kinds:
-                # the innermost element that speaks decides, but nothing inside furniture of the page is article again
-                found.append(Block(" ".join(text.split()), words, min(linked, words), _OUT in kinds, _IN in kinds, any(re.fullmatch("h[1-6]", t) for t, _ in state.open), at))
+            inner = state.open[-1] if state.open else None
+            if inner is None or not inner.unseen:
+                found.append(Block(" ".join(text.split()), words, min(linked, words), False, inner is not None and inner.article, inner is not None and inner.heading, at))
+                stands.append(inner)
         state.parts.clear()
 
     at, skip = 0, None
@@ -100,8 +132,11 @@ def blocks(page: str | None) -> list[Block]:
         if skip:
             low = low if low is not None else page.lower()
             end = low.find(f"</{skip}", at)
-            if end < 0:
+            if end < 0 and skip in _RAW:
                 break
+            if end < 0:
+                skip = None
+                continue
             stop = page.find(">", end)
             at, skip = (stop + 1 if stop >= 0 else len(page)), None
             continue
@@ -128,25 +163,57 @@ def blocks(page: str | None) -> list[Block]:
         if not closing:
             if tag == "p" or tag in ("li", "tr", "td", "th", "dt", "dd", "option"):
                 _end_implied(state, tag)
-            state.open.append((tag, _kind(tag, m[3])))
+            own = _Element(tag, _kind(tag, m[3]), state.open[-1] if state.open else None, tag == "form" or tag not in _FURNITURE)
+            # a comment that is an article of its own does not make its list the article
+            own.holds = tag in _ARTICLE and not _AGAINST.search(m[3].lower())
+            made.append(own)
+            state.open.append(own)
+            state.count[tag] += 1
             state.links += tag == "a"
-        else:
-            for i in range(len(state.open) - 1, max(-1, len(state.open) - 200), -1):
-                if state.open[i][0] == tag:
-                    state.links -= sum(t == "a" for t, _ in state.open[i:])
-                    del state.open[i:]
-                    break
+        elif state.count[tag]:
+            i = next(i for i in range(len(state.open) - 1, -1, -1) if state.open[i].tag == tag)
+            state.end(i)
     close(len(page))
+    _find_furniture(found, stands, made)
     return found
 
 
+def _find_furniture(found: list[Block], stands: list[_Element | None], made: list[_Element]) -> None:
+    """Mark the blocks that stand in furniture of the page.
+
+    A name makes no furniture of ``html``, ``body`` and of an element that holds the article. On pages without an
+    article outside furniture the same goes for an element with most of the words.
+    """
+    for b, e in zip(found, stands):
+        if e is not None:
+            e.words += b.words
+    for e in reversed(made):
+        if e.around is not None:
+            e.around.words += e.words
+    # of several, the largest article and the largest main count: teasers of other articles spare no list of them
+    largest = {tag: max((e for e in made if e.holds and e.tag == tag), key=lambda e: e.words, default=None) for tag in _ARTICLE}
+    for e in made:
+        e.holds = e is largest.get(e.tag)
+    for e in reversed(made):
+        if e.around is not None:
+            e.around.holds |= e.holds
+    total = sum(b.words for b in found)
+    for most in (False, True):
+        for e in made:
+            spared = e.by_name and (e.tag in ("html", "body") or e.holds or (most and 2 * e.words > total))
+            e.out = (e.kind == _OUT and not spared) or (e.around is not None and e.around.out)
+        for b, e in zip(found, stands):
+            b.furniture = e is not None and e.out
+        if any(b.article and not b.furniture for b in found):
+            break
+
+
 def _end_implied(state: _State, tag: str) -> None:
     """A new paragraph, item or cell ends an open one of its kind, unless another block was opened in between."""
     for i in range(len(state.open) - 1, -1, -1):
-        name = state.open[i][0]
+        name = state.open[i].tag
         if name == tag:
-            state.links -= sum(t == "a" for t, _ in state.open[i:])
-            del state.open[i:]
+            state.end(i)
             return
         if name in _BLOCK:
             return

@@ -178,6 +178,30 @@ def test_pages(spark):
     assert [(r.page_id, r.n_chars) for r in rows] == [(1, 0), (2, 0), (3, 54)]
 
 
+def test_pages_whole():
+    """Names of wrappers, unclosed elements and many open elements do not lose the article."""
+    node = page_text.tree()
+    long = "The harbour was opened again on Monday after the storm had closed it for most of the week, and boats left at dawn."
+    article = f"<article><h1>Harbour opens</h1><p>{long}</p></article>"
+    want = f"Harbour opens\n\n{long}"
+    for page in (
+        f"<body class='has-sidebar social-share-enabled'>{article}</body>",
+        f"<html class=with-header><body><div class='no-sidebar'>{article}<div class=sidebar><p>Most read of all our news.</p></div></div></body></html>",
+        f"<body><form id=search-form>{article}</form></body>",
+        f"<noscript>{article}",
+        f"<svg>{article}",
+        f"<body>{article}" + "<div id=comments><article class=comment><p>I have tried this at home with my children and it worked very well.</p></article></div></body>",
+    ):
+        assert page_text.main_text(page, node).startswith(want), page
+    teaser = f"{article}<div class=related><article><p>A look back at the first ten years of the project and at its people.</p></article></div>"
+    assert page_text.main_text(teaser, node) == want
+    plain = f"<body><div class=has-sidebar><h1>Harbour opens</h1><p>{long}</p><p>{long}</p></div></body>"
+    assert long in page_text.main_text(plain, node)
+    assert page_text.main_text("<article><p>The sum <math><mi>x</mi><mo>+</mo><mn>2</mn></math> and <object>a drawing of it</object> are seen by all who read this page.</p></article>", node) == "The sum x+2 and a drawing of it are seen by all who read this page."
+    deep = "<article><nav>" + "<b>" * 300 + f"Home</nav><p>{long}</p></article>"
+    assert page_text.main_text(deep, node) == long
+
+
 def test_nearest_recall_and_odd(spark):
     rng = np.random.default_rng(4)
     v = rng.normal(size=(600, 16)).round(3)
