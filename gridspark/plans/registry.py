@@ -511,12 +511,27 @@ e AS (SELECT a.id AS u, b.id AS v FROM m a JOIN m b ON a.s = b.s AND abs(a.r - b
 w(id, lab) AS (SELECT id, id FROM m UNION SELECT e.v, w.lab FROM w JOIN e ON e.u = w.id WHERE w.lab < e.v)
 SELECT lab // 1000 AS scene_id, lab AS label, count(*) AS area FROM (SELECT id, min(lab) AS lab FROM w GROUP BY id) GROUP BY ALL HAVING count(*) >= 2""")
 def g01_label_components(spark, d):
-    """4-connected components of two classes, labelled by their smallest pixel, with their area; single pixels are left out."""
+    """The components of g01_all_components with at least two pixels."""
+    return _components(spark, d).where("area >= 2")
+
+
+@query(f"""WITH RECURSIVE {EV}, m AS (SELECT s, r, c, s * 1000 + r * 40 + c AS id FROM ev WHERE cls IN (2, 6)),
+e AS (SELECT a.id AS u, b.id AS v FROM m a JOIN m b ON a.s = b.s AND abs(a.r - b.r) + abs(a.c - b.c) = 1),
+w(id, lab) AS (SELECT id, id FROM m UNION SELECT e.v, w.lab FROM w JOIN e ON e.u = w.id WHERE w.lab < e.v)
+SELECT lab // 1000 AS scene_id, lab AS label, count(*) AS area FROM (SELECT id, min(lab) AS lab FROM w GROUP BY id) GROUP BY ALL""")
+def g01_all_components(spark, d):
+    """All 4-connected components of two classes, single pixels too, labelled by their smallest pixel, with their area."""
+    return _components(spark, d)
+
+
+def _components(spark, d) -> DataFrame:
     m = fx.pixels(spark, d).where(F.col("cls").isin(2, 6)).select("scene_id", "row", "col", (F.col("scene_id") * 1000 + F.col("row") * 40 + F.col("col")).alias("id"))
     right, down = Window.partitionBy("scene_id", "row").orderBy("col"), Window.partitionBy("scene_id", "col").orderBy("row")
     links = m.select("id", F.array(F.when(F.lead("col").over(right) == F.col("col") + 1, F.lead("id").over(right)), F.when(F.lead("row").over(down) == F.col("row") + 1, F.lead("id").over(down))).alias("next"))
     edges = links.select(F.col("id").alias("u"), F.explode("next").alias("v")).where("v is not null")
-    return connected_components(edges).groupBy(F.floor(F.col("component") / 1000).alias("scene_id"), F.col("component").alias("label")).agg(F.count("*").alias("area"))
+    # a pixel without an edge is a component of its own
+    labels = m.select(F.col("id").alias("node")).distinct().join(connected_components(edges), "node", "left").select(F.coalesce("component", "node").alias("label"))
+    return labels.groupBy(F.floor(F.col("label") / 1000).alias("scene_id"), "label").agg(F.count("*").alias("area"))
 
 
 # --- H: splits ----------------------------------------------------------------------------------------------------
