@@ -68,6 +68,12 @@ def a01_scan_pixels(spark, d):
     return fx.pixels(spark, d).where("scene_id < 2")
 
 
+@query(f"WITH {EV} SELECT s AS scene_id, r AS \"row\", c AS col, round(z, 6) AS z, round(truth, 6) AS truth, cls FROM ev")
+def a01_scan_all_pixels(spark, d):
+    """Every pixel of every scene."""
+    return fx.pixels(spark, d)
+
+
 @query(f"""WITH {EV} SELECT s AS scene_id, r // 8 AS cr, c // 8 AS cc, count(*) AS n, round(sum(CASE WHEN isnan(z) THEN 0 ELSE z END), 6) AS total FROM ev GROUP BY ALL""")
 def a03_chunks(spark, d):
     px = fx.pixels(spark, d).withColumns({"cr": F.floor(F.col("row") / 8), "cc": F.floor(F.col("col") / 8)})
