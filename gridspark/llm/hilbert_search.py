@@ -21,9 +21,9 @@ CURVES = 28
 DIMENSIONS = 8
 BITS = 2
 WINDOW = 1024
-"""Vectors in a block; a query sees three blocks of each curve."""
-MAX_BLOCKS = 4096
-"""Blocks of a curve: bounds are broadcast. With more vectors blocks grow."""
+"""Least vectors in a block; a query sees three blocks of each curve."""
+MAX_BLOCKS = 50
+"""Blocks of a curve. With more vectors blocks grow, so a query sees the same share of any table: recall falls with that share, not with a block's size."""
 SAMPLE = 65_536
 """Most vectors from which bounds of blocks are taken; every vector is indexed."""
 NEAREST = 20

@@ -223,6 +223,19 @@ def test_nearest_recall_and_odd(spark):
     assert hilbert_search.nearest(df.limit(0), queries.limit(0)).count() == 0
 
 
+def test_nearest_recall_of_many_windows(spark):
+    """A table of 250 windows keeps its recall."""
+    v = np.random.default_rng(8).normal(size=(4000, 32))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in hilbert_search.nearest(df, df.where("vec_id % 80 = 0"), 10, window=16).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    s = v @ v.T
+    np.fill_diagonal(s, -2)
+    assert len(got) == 50 and np.mean([len(got[q] & set(np.argsort(-s[q])[:10])) / 10 for q in got]) >= 0.9
+
+
 def test_fingerprints(spark, odd, documents):
     got = {r.doc_id: r for r in fingerprints.op9_fingerprints(spark, SF).collect()}
     for k, (d, t, _, _) in enumerate(documents):
