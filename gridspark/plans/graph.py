@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.plans.lineage import cut
+from gridspark.plans.lineage import cut, forget
 
 
 def _toward_min(pairs: DataFrame) -> DataFrame:
@@ -43,5 +43,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
                 now.select(F.col("v").alias("node"), F.col("v").alias("component"))
             ).groupBy("node").agg(F.min("component").alias("component"))
         before = mark
-        now = cut(_small_star(_large_star(now)).where("u != v").distinct())
+        old, now = now, cut(_small_star(_large_star(now)).where("u != v").distinct())
+        forget(old)
     raise RuntimeError("components did not converge")
