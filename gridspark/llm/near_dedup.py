@@ -6,9 +6,10 @@ there. Two texts agree in a coordinate with probability equal to their (weighted
 
 Equal texts are folded first. Each bucket of a band names as centre the document that meets most others in all its
 buckets: in a group of copies that is the text from which the others were made, if it is there. Documents are checked
-against centres; then, within each bucket, documents whose class is still another one are held against each other by
-their signatures, in chunks of bounded size, and pairs whose signatures agree in 64 % are checked exactly. So each pair
-that shares a bucket ends in one class or is compared, while a group of copies costs a pass over its members. With 28 bands of 4 a pair at similarity 0.8 shares no bucket in 4e-7 of cases.
+against centres. Then, in each bucket, documents whose class is still another one than the centre's are held against
+all others, exactly, in chunks of bounded size; of what matches in a chunk only the edges of a forest over classes leave
+it, so no pairs are listed. Every pair that shares a bucket ends in one class or is compared by its whole shingle sets.
+With 28 bands of 4 a pair at similarity 0.8 shares no bucket in 4e-7 of cases.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.llm.bytetext import byte_view, groups, lower, mix, shingles, word_hashes, words
+from gridspark.llm.rows import every, text_of
 from gridspark.plans.graph import connected_components
 from gridspark.plans.lineage import cut
 
@@ -32,8 +34,8 @@ _SMALL = np.array([0, 1 / 16, 1 / 8, 1 / 4, 1 / 2, 1.0])
 """Bounds of the rank cells below 1; above, each cell is of width 1."""
 CHUNK = 1024
 """Documents of a bucket that are held against as many others in one task at a time."""
-AGREE = 0.64
-"""Least share of equal signature coordinates; at similarity 0.8 a pair falls below it in 1e-5 of cases."""
+ELEMENTS = 1_000_000
+"""Shingles of the documents of a chunk, about; one longer text is a chunk of its own."""
 _UNIT = 2.0**-53
 
 
@@ -119,27 +121,25 @@ def shingle_groups(column: pa.Array, k: int) -> Iterator[list[np.ndarray]]:
 
 
 def signatures(docs: DataFrame, k: int = WORDS, bands: int = BANDS, rows: int = ROWS, bag: bool = False) -> DataFrame:
-    """``(doc_id, text_key, keys, sig)``: md5 of the text, the band keys, and a byte of each signature coordinate. Texts without a word have no keys. ``bag`` weighs shingles by their number."""
+    """``(doc_id, text_key, keys)``: md5 of the text and the band keys. Texts without a word have no keys. ``bag`` weighs shingles by their number."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes, sigs = [], [], []
+            keys, sizes = [], []
             for group in shingle_groups(batch.column(2), k):
                 for at in range(0, len(group), 64):
                     sets = [np.unique(x, return_counts=True) for x in group[at : at + 64]]
                     bounds = np.concatenate(([0], np.cumsum([len(x) for x, _ in sets])))
                     elements, counts = (np.concatenate(x) for x in zip(*sets))
-                    signed = dart_signatures(elements, bounds, counts if bag else None, bands * rows)
-                    own = band_keys(signed, bands, rows)
-                    sigs += [x.tobytes() for x in signed.astype(np.uint8)]
+                    own = band_keys(dart_signatures(elements, bounds, counts if bag else None, bands * rows), bands, rows)
                     full = np.diff(bounds) > 0
                     keys.append(own[full].ravel())
                     sizes.append(full * bands)
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             ends = np.concatenate(([0], np.cumsum(np.concatenate(sizes)))) if sizes else np.zeros(1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), pa.array(sigs, pa.binary())], names=["doc_id", "text_key", "keys", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["doc_id", "text_key", "keys"])
 
-    return docs.select("doc_id", F.md5("text").alias("text_key"), "text").mapInArrow(apply, "doc_id long, text_key string, keys array<long>, sig binary")
+    return docs.select("doc_id", F.md5("text").alias("text_key"), "text").mapInArrow(apply, "doc_id long, text_key string, keys array<long>")
 
 
 def jaccard(a: np.ndarray, b: np.ndarray, bag: bool = False) -> float:
@@ -178,35 +178,116 @@ def _label(rows: DataFrame, name: str, labels: DataFrame, out: str) -> DataFrame
     return rows.join(labels.select(F.col("node").alias(name), F.col("component").alias(out)), name, "left").withColumn(out, F.coalesce(out, name))
 
 
-def _apart(members: DataFrame, texts: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs ``(u, v)`` of documents in one bucket and different classes whose signatures agree in AGREE of their bytes.
+def shingle_sets(docs: DataFrame, k: int = WORDS, bag: bool = False) -> DataFrame:
+    """``(doc_id, n, elements)``: the distinct shingle hashes of each text, side by side. Of a bag the i-th of equal shingles is an element of its own, so bags compare as sets."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = []
+            for group in shingle_groups(batch.column(1), k):
+                for x in group:
+                    own, n = np.unique(x, return_counts=True)
+                    if bag:
+                        of, number = _spread(n)
+                        own = np.unique(mix(own[of] ^ mix(number.astype(np.uint64))))
+                    sets.append(own)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["doc_id", "n", "elements"])
+
+    return docs.select("doc_id", "text").mapInArrow(apply, "doc_id long, n long, elements binary")
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set of one list shares with each of the other.
+
+    Elements that many sets hold are counted by products of 0-1 matrices, some columns at a time; for the others the
+    few pairs of sets that hold them are counted one by one.
+    """
+    rows, columns = len(left), len(right)
+    owners = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (left, right)]
+    flat = [np.concatenate(x) for x in (left, right)]
+    common = np.intersect1d(np.unique(flat[0]), np.unique(flat[1]), assume_unique=True)
+    if not len(common):
+        return np.zeros((rows, columns), np.int64)
+    held, who = [], []
+    for values, owner in zip(flat, owners):
+        at = np.minimum(np.searchsorted(common, values), len(common) - 1)
+        fits = common[at] == values
+        order = np.argsort(at[fits], kind="stable")
+        held.append(at[fits][order])
+        who.append(owner[fits][order])
+    n = [np.bincount(x, minlength=len(common)) for x in held]
+    first = [np.cumsum(x) - x for x in n]
+    dense = n[0] * n[1] > 256
+    shared = np.zeros((rows, columns), np.float32)
+    frequent = np.flatnonzero(dense)
+    for lo in range(0, len(frequent), 2048):
+        part = frequent[lo : lo + 2048]
+        sides = []
+        for side, height in enumerate((rows, columns)):
+            of, number = _spread(n[side][part])
+            grid = np.zeros((height, len(part)), np.float32)
+            grid[who[side][first[side][part][of] + number], of] = 1
+            sides.append(grid)
+        shared += sides[0] @ sides[1].T
+    shared = shared.astype(np.int64)
+    rare = np.flatnonzero(~dense)
+    for part in np.array_split(rare, max(1, len(rare) // 8192)):
+        of, number = _spread(n[0][part] * n[1][part])
+        i = who[0][first[0][part][of] + number // n[1][part][of]]
+        j = who[1][first[1][part][of] + number % n[1][part][of]]
+        shared += np.bincount(i * columns + j, minlength=rows * columns).reshape(rows, columns)
+    return shared
+
+
+def forest(cls: np.ndarray, left: np.ndarray, right: np.ndarray, near: np.ndarray) -> list[tuple[int, int]]:
+    """Edges between classes that join what ``near`` joins, at most one for each class: ``left`` and ``right`` index ``cls``, near is left by right."""
+    now, edges = cls.copy(), []
+    for i, row in zip(left, near):
+        others = np.unique(now[right[row]])
+        others = others[others != now[i]]
+        for other in others:
+            edges.append((max(int(other), int(now[i])), min(int(other), int(now[i]))))
+        if len(others):
+            now[np.isin(now, others)] = now[i]
+    return edges
+
+
+def _apart(members: DataFrame, docs: DataFrame, labels: DataFrame, k: int, least: float, bag: bool) -> DataFrame:
+    """Edges ``(u, v)`` between classes of documents in one bucket that are as similar as ``least``.
 
     In each bucket the documents outside the centre's class are held against all others but the centre. Both sides are
-    dealt into chunks, and each pair of chunks is a group of at most 2 * CHUNK rows, about, so no bucket meets in one task.
+    dealt into chunks of bounded numbers of documents and shingles, and each pair of chunks is a group, so no bucket
+    meets in one task. A group gives fewer edges than it has classes.
     """
     classed = cut(_label(_label(members, "doc_id", labels, "cls"), "centre", labels, "centre_cls").withColumn("apart", F.col("cls") != F.col("centre_cls")))
-    per_bucket = classed.groupBy("key").agg(F.ceil(F.count_if(F.col("apart")) / CHUNK).alias("n_apart"), F.ceil(F.count("*") / CHUNK).alias("n_all")).where("n_apart > 0")
-    signed = texts.select(F.col("first.doc_id").alias("doc_id"), F.col("first.sig").alias("sig"))
-    rows = classed.where("doc_id != centre").join(per_bucket, "key").join(signed, "doc_id")
+    open_keys = classed.where("apart").select("key").distinct()
+    rows = cut(classed.where("doc_id != centre").join(open_keys, "key", "left_semi").select("key", "doc_id", "cls", "apart"))
+    sets = cut(shingle_sets(docs.join(rows.select("doc_id").distinct(), "doc_id", "left_semi"), k, bag))
+    chunks = lambda number, size: F.ceil(F.greatest(number / CHUNK, size / ELEMENTS))
+    counted = rows.join(sets.select("doc_id", "n"), "doc_id")
+    per_bucket = counted.groupBy("key").agg(
+        chunks(F.count_if("apart"), F.sum(F.when(F.col("apart"), F.col("n")).otherwise(0))).alias("n_apart"), chunks(F.count("*"), F.sum("n")).alias("n_all")
+    )
+    rows = rows.join(per_bucket, "key")
     spot = F.xxhash64("doc_id")
     left = rows.where("apart").withColumn("a", F.pmod(spot, F.col("n_apart"))).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_all") - 1)))
     right = rows.withColumn("b", F.pmod(spot, F.col("n_all"))).withColumn("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_apart") - 1)))
-    both = left.withColumn("asks", F.lit(True)).unionByName(right.withColumn("asks", F.lit(False))).select("key", "a", "b", "asks", "doc_id", "cls", "sig")
+    both = left.withColumn("asks", F.lit(True)).unionByName(right.withColumn("asks", F.lit(False))).select("key", "a", "b", "asks", "doc_id", "cls")
 
     def compare(table: pa.Table) -> pa.Table:
-        asks = np.asarray(table["asks"].to_pylist(), bool)
-        ids, cls = table["doc_id"].to_numpy(), table["cls"].to_numpy()
-        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(table.num_rows, -1)
-        us, vs = [], []
-        other = np.flatnonzero(~asks)
-        for i in np.flatnonzero(asks):
-            near = other[((sig[other] == sig[i]).mean(1) >= AGREE) & (cls[other] != cls[i])]
-            us.append(np.maximum(ids[near], ids[i]))
-            vs.append(np.minimum(ids[near], ids[i]))
-        join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        return pa.table({"u": join(us), "v": join(vs)})
+        asks, cls = np.asarray(table["asks"].to_pylist(), bool), table["cls"].to_numpy()
+        left, right = np.flatnonzero(asks), np.flatnonzero(~asks)
+        edges: list[tuple[int, int]] = []
+        if len(left) and len(right):
+            sets = [np.frombuffer(x, np.uint64) for x in table["elements"].to_pylist()]
+            size = np.array([len(x) for x in sets])
+            shared = overlaps([sets[i] for i in left], [sets[i] for i in right])
+            near = shared / np.maximum(1, size[left][:, None] + size[right] - shared) >= least
+            edges = forest(cls, left, right, near)
+        u, v = zip(*edges) if edges else ((), ())
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    return both.groupBy("key", "a", "b").applyInArrow(compare, "u long, v long").distinct()
+    return both.join(sets.select("doc_id", "elements"), "doc_id").select("key", "a", "b", "asks", "cls", "elements").groupBy("key", "a", "b").applyInArrow(compare, "u long, v long").distinct()
 
 
 def near_classes(docs: DataFrame, k: int = WORDS, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, bag: bool = False) -> DataFrame:
@@ -219,7 +300,7 @@ def near_classes(docs: DataFrame, k: int = WORDS, least: float = SIMILARITY, ban
     docs = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     keyed = docs.select("doc_id", F.md5("text").alias("text_key"))
     # one row for each text, with its smallest id; summed up within each task before the shuffle
-    texts = cut(signatures(docs, k, bands, rows, bag).groupBy("text_key").agg(F.min(F.struct("doc_id", "keys", "sig")).alias("first")))
+    texts = cut(signatures(docs, k, bands, rows, bag).groupBy("text_key").agg(F.min(F.struct("doc_id", "keys")).alias("first")))
     members = texts.where("size(first.keys) > 0").select(F.col("first.doc_id").alias("doc_id"), F.explode("first.keys").alias("key"))
     buckets = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = cut(members.join(buckets, "key"))
@@ -229,7 +310,8 @@ def near_classes(docs: DataFrame, k: int = WORDS, least: float = SIMILARITY, ban
     votes = cut(members.where("doc_id != centre").groupBy("doc_id", "centre").agg(F.count("*").alias("n")))
     # only texts that share a bucket with another are read again, and shuffled whole but once
     wanted = votes.select("doc_id").unionByName(votes.select(F.col("centre").alias("doc_id"))).distinct().join(texts.select(F.col("first.doc_id").alias("doc_id"), "text_key"), "doc_id")
-    docs = cut(docs.withColumn("text_key", F.md5("text")).join(wanted, ["doc_id", "text_key"], "left_semi").select("doc_id", "text"))
+    wanted = wanted.withColumnRenamed("text_key", "wanted_key")
+    docs = cut(docs.join(wanted, "doc_id").where(F.md5("text") == F.col("wanted_key")).groupBy("doc_id").agg(F.first("text").alias("text")))
     # first the centre with which a document shares most buckets, then its other centres where the class still differs
     nearest = votes.groupBy("doc_id").agg(F.min(F.struct(-F.col("n"), F.col("centre"))).alias("best")).select(F.col("doc_id").alias("u"), F.col("best.centre").alias("v"))
     found = cut(similar_pairs(docs, nearest, k, least, bag).distinct())
@@ -239,7 +321,7 @@ def near_classes(docs: DataFrame, k: int = WORDS, least: float = SIMILARITY, ban
     found = cut(found.unionByName(similar_pairs(docs, rest, k, least, bag).distinct()))
     labels = _labels(found)
     # last, the pairs of a bucket that neither share a class nor have been compared
-    found = found.unionByName(similar_pairs(docs, _apart(members, texts, labels), k, least, bag).distinct())
+    found = found.unionByName(_apart(members, docs, labels, k, least, bag))
     # a doc_id with several texts links them
     ids = keyed.distinct().join(texts.select("text_key", F.col("first.doc_id").alias("leader")), "text_key").select("doc_id", "leader")
     ids = cut(ids)
@@ -258,12 +340,12 @@ def op2_near_dedup(spark, sf_dir: str) -> DataFrame:
 def keep_one(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each near-duplicate class the document with the smallest id stays, once; rows without an id stay.
 
-    Of repeated rows of one id the first in the order of their columns stays.
+    Null and empty texts are one class. Of repeated rows of one id the one whose columns, written as JSON, come first
+    stays. All columns pass unchanged, whatever their names and types. An empty table gives an empty one.
     """
     kept = near_classes(docs).where("doc_id = class_id").select("doc_id")
-    known = docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    known = docs.join(kept, "doc_id", "left_semi").select(*every(docs))
     repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id")
-    once = known.join(repeated, "doc_id", "left_anti").select(*docs.columns)
-    rest = [c for c in docs.columns if c != "doc_id"]
-    many = known.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("row")).select("doc_id", "row.*").select(*docs.columns)
+    once = known.join(repeated, "doc_id", "left_anti").select(*every(docs))
+    many = known.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*every(docs)), text_of(every(docs))).alias("row")).select("row.*")
     return once.unionByName(many).unionByName(docs.where("doc_id is null"))
