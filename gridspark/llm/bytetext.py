@@ -25,6 +25,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE_VALUE = mix(np.arange(256, dtype=np.uint64) + np.uint64(0x1234567))
+_BYTE_VALUE[[9, 10, 11, 12, 13, 32]] = 0  # space lies between words and adds nothing
 
 
 def byte_view(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,12 +78,15 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     if not len(starts):
         return np.zeros(0, np.uint64)
     length = ends - starts
+    lo, hi = starts[0], ends[-1]
+    gaps = np.diff(np.append(starts, hi))
+    inside = np.arange(hi - lo) - np.repeat(starts - lo, gaps)
     with np.errstate(over="ignore"):
-        powers = np.cumprod(np.full(int(length.max()), _BASE, np.uint64))
-        total = np.concatenate(([0], np.cumsum(length)))
-        inside = np.arange(total[-1]) - np.repeat(total[:-1], length)
-        value = _BYTE_VALUE[data[np.repeat(starts, length) + inside]] * powers[inside]
-        return mix(np.add.reduceat(value, total[:-1]) + length.astype(np.uint64))
+        powers = np.cumprod(np.full(int(length.max()) + 1, _BASE, np.uint64))
+        powers[-1] = 0  # for all that lies between words
+        np.minimum(inside, len(powers) - 1, out=inside)
+        value = _BYTE_VALUE[data[lo:hi]] * powers[inside]
+        return mix(np.add.reduceat(value, starts - lo) + length.astype(np.uint64))
 
 
 def shingles(hashes: np.ndarray, k: int) -> np.ndarray:

@@ -7,32 +7,35 @@ context are excluded; below order 0 the bytes left are equally likely. A documen
 
 Since bytes seen in a context are also seen in every suffix of it, exclusion at a level depends on the level above only,
 so the trie is made level by level with sums and joins: a row of level j has at most 256 rows above it, and no join has
-a hot key. Documents are put into blocks; a block asks once for each of its distinct byte strings and words, and the
-answers are joined back to it, so no task and no broadcast holds the trie.
+a hot key. Texts are dealt into blocks of bounded size, long ones in pieces cut between words; a block asks once for each
+of its distinct byte strings and words, and the answers are joined back to it, so no task and no broadcast holds the trie.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.bytetext import byte_view, groups, lower, word_hashes, words
+from gridspark.llm.bytetext import byte_view, groups, is_space, lower, word_hashes
 from gridspark.plans.lineage import cut, forget
 
 ORDER = 6
 """Bytes of context."""
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 48 << 20
 """Text in a block, about."""
-STEP_BYTES = 1 << 20
-"""Text that a task takes at a time within a block."""
+PIECE_BYTES = 4 << 20
+"""Text that a task takes at a time; longer texts are cut into pieces of about this size, between words."""
 SMALL = {"compression": "zstd", "parquet.writer.version": "v2"}
 """Files between steps: sorted keys as differences."""
 _END = np.uint8(10)
 _WORD = np.uint64(1) << np.uint64(63)
+_GAP = re.compile(rb"[\x20\x09-\x0D]+")
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:
@@ -40,48 +43,110 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def _symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Grams that end at each symbol of each row, bounds of rows in them, word hashes and bounds of rows in those."""
-    text = lower(data)
-    starts, ends, first = words(text, offsets)
-    hashes = word_hashes(text, starts, ends) | _WORD
-    n_words = np.diff(first)
-    length = ends - starts
-    # a row is: each word and a blank, then the end mark
-    size = np.add.reduceat(np.append(length, 0), np.minimum(first[:-1], len(length))) if len(offsets) > 1 else np.zeros(0, np.int64)
-    size = np.where(n_words > 0, size, 0) + n_words + 1
-    bounds = np.concatenate(([0], np.cumsum(size)))
-    out = np.full(bounds[-1], 32, np.uint8)
-    out[bounds[1:] - 1] = _END
-    owner = np.repeat(np.arange(len(n_words)), n_words)
-    gaps = np.arange(len(length)) + owner  # blanks and end marks before a word
-    target = np.cumsum(length) - length + gaps
-    total = np.cumsum(length) - length
-    inside = np.arange(length.sum()) - np.repeat(total, length)
-    out[np.repeat(target, length) + inside] = text[np.repeat(starts, length) + inside]
-    symbols = out.astype(np.uint64)
-    place = np.arange(len(out)) - np.repeat(bounds[:-1], size)
-    grams = symbols.copy()
-    for j in range(1, ORDER + 1):
-        before = np.concatenate((np.full(min(j, len(out)), np.uint64(_END)), symbols[:-j]))[: len(out)]
-        grams |= np.where(place >= j, before, np.uint64(_END)) << np.uint64(8 * j)
-    return grams, bounds, hashes, first
-
-
-def _count_keys(batches: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct grams and words of some texts, and how often they stand in training rows, in pieces of (bytes, offsets, trains)."""
-    found, counts = [], []
-    for data, offsets, trains in batches:
-        grams, bounds, hashes, first = _symbols(data, offsets)
-        for keys, own in ((grams, bounds), (hashes, first)):
-            learn = np.repeat(trains, np.diff(own))
-            seen, n = np.unique(keys[learn], return_counts=True)
-            other = np.setdiff1d(np.unique(keys[~learn]), seen, assume_unique=True)
-            found += [seen, other]
-            counts += [n, np.zeros(len(other), np.int64)]
-        if sum(map(len, found)) > 3_000_000:
-            found, counts = ([x] for x in _merge(found, counts))
-    return _merge(found, counts)
+def pieces(docs: DataFrame) -> DataFrame:
+    """``(row, doc_id, held_out, lead, last, text)`` of ``docs(row, doc_id, held_out, text)``: whole texts, and long ones cut before words.
+
+    ``lead`` holds the ORDER symbols before a piece (end marks before the first), ``last`` marks the piece that ends the text.
+    """
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(len(batch)):
+                text, lead, start = batch.column(3)[at].as_py().encode(), bytes([_END]) * ORDER, 0
+                head = [batch.column(i).slice(at, 1) for i in range(3)]
+                while start is not None:
+                    gap = _GAP.search(text, start + PIECE_BYTES)
+                    end = gap.end() if gap and gap.end() < len(text) else None
+                    part = text[start:end]
+                    found = part.split() if end else [b""]
+                    if found:
+                        yield pa.RecordBatch.from_arrays([*head, pa.array([lead], pa.binary()), pa.array([end is None]), pa.array([part.decode()])], names=names)
+                    if end and found:
+                        lead = (lead + b" ".join(found[-ORDER:]).lower() + b" ")[-ORDER:]
+                    start = end
+
+    names = ["row", "doc_id", "held_out", "lead", "last", "text"]
+    long = F.octet_length("text") > PIECE_BYTES
+    whole = docs.where(~long).select("row", "doc_id", "held_out", F.lit(bytes([_END]) * ORDER).alias("lead"), F.lit(True).alias("last"), "text")
+    return whole.unionByName(docs.where(long).select("row", "doc_id", "held_out", "text").mapInArrow(apply, "row long, doc_id long, held_out boolean, lead binary, last boolean, text string"))
+
+
+def _symbols(data: np.ndarray, offsets: np.ndarray, leads: list[bytes], last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Grams that end at each symbol of each piece, bounds of pieces in them, word hashes and bounds of pieces in those."""
+    n, length = len(leads), np.diff(offsets)
+    starts = np.concatenate(([0], np.cumsum(length + ORDER + 2)))
+    raw = np.full(starts[-1], 32, np.uint8)
+    before = np.zeros(len(raw), bool)
+    for i, lead in enumerate(leads):  # a piece is: what stands before it, its text, a blank and the end mark
+        at = starts[i]
+        raw[at : at + ORDER] = np.frombuffer(lead, np.uint8)
+        before[at : at + ORDER] = True
+        raw[at + ORDER : at + ORDER + length[i]] = data[offsets[i] : offsets[i + 1]]
+    text, space = lower(raw), is_space(raw)
+    solid = ~(space | before)
+    after = np.concatenate(([False], solid[:-1]))
+    text[space & ~before] = 32
+    text[starts[1:] - 1] = _END
+    keep = solid | after | before  # of a run of space the first byte stays
+    keep[starts[1:] - 1] = last
+    first_byte, end_byte = np.flatnonzero(solid & ~after), np.flatnonzero(after & ~solid)
+    hashes = word_hashes(np.where(solid, text, np.uint8(32)), first_byte, end_byte) | _WORD
+    first = np.searchsorted(first_byte, starts)
+    size = np.add.reduceat(keep, starts[:-1], dtype=np.int64) - ORDER if n else np.zeros(0, np.int64)
+    one = text[keep].astype(np.uint64)
+    two = one.copy()
+    two[1:] |= one[:-1] << np.uint64(8)
+    four = two.copy()
+    four[2:] |= two[:-2] << np.uint64(16)
+    grams = four.copy()
+    grams[4:] |= (four[:-4] & np.uint64((1 << 8 * (ORDER - 3)) - 1)) << np.uint64(32)
+    return grams[~before[keep]], np.concatenate(([0], np.cumsum(size))), hashes, first
+
+
+def _texts(table: pa.Table | pa.RecordBatch) -> Iterator[tuple[int, int, tuple]]:
+    """Ranges of rows of about PIECE_BYTES, with what ``_symbols`` says of them."""
+    data, offsets = byte_view(table["text"])
+    leads, last = table["lead"].to_pylist(), np.asarray(table["last"].to_pylist(), bool)
+    for lo, hi in groups(offsets, PIECE_BYTES):
+        yield lo, hi, _symbols(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], leads[lo:hi], last[lo:hi])
+
+
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values and how often each occurs."""
+    values = np.sort(values)
+    start = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, np.int64)
+    return values[start], np.diff(np.append(start, len(values)))
+
+
+def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(block, key, n)``: distinct grams and words of each block, and how often they stand in training rows. Rows of a block lie together."""
+    block, found, counts = None, [], []
+
+    def told() -> Iterator[pa.RecordBatch]:
+        keys, n = _merge(found, counts)
+        for at in range(0, len(keys), 1 << 18):
+            own = keys[at : at + (1 << 18)].view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), block, np.int32)), pa.array(own), pa.array(n[at : at + (1 << 18)], pa.int64())], names=["block", "key", "n"])
+
+    for batch in batches:
+        of = batch["block"].to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(of)) + 1), len(of)]
+        for a, b in zip(edges, edges[1:]):
+            if a < b and of[a] != block:
+                yield from told()
+                block, found, counts = of[a], [], []
+            part = batch.slice(a, b - a)
+            trains = ~np.asarray(part["held_out"].to_pylist(), bool)
+            for lo, hi, (grams, bounds, hashes, first) in _texts(part):
+                for keys, own in ((grams, bounds), (hashes, first)):
+                    learn = np.repeat(trains[lo:hi], np.diff(own))
+                    for some, taught in ((keys[learn], 1), (keys[~learn], 0)):
+                        seen, n = _distinct(some)
+                        found.append(seen)
+                        counts.append(n * taught)
+            if sum(map(len, found)) > 6_000_000:
+                found, counts = ([x] for x in _merge(found, counts))
+    yield from told()
 
 
 def _merge(found: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -94,12 +159,6 @@ def _merge(found: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return (keys[start], np.add.reduceat(n, start)) if len(keys) else (keys, n)
 
 
-def _texts(table: pa.Table) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    data, offsets = byte_view(table["text"])
-    for lo, hi in groups(offsets, STEP_BYTES):
-        yield lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-
-
 def trie_scores(grams: DataFrame) -> DataFrame:
     """``(key, value)``: log10 probability of the last byte of each gram after its context, from ``grams(key, n)``.
 
@@ -141,21 +200,16 @@ def trie_scores(grams: DataFrame) -> DataFrame:
 def score(docs: DataFrame) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` for each row of ``docs(doc_id, text)``; null texts are empty.
 
-    Words are told apart by a 63-bit hash. Repeated rows are scored (and learned from) each by itself.
+    Words are told apart by a 63-bit hash: among V words two share one with a chance of about V * V / 2**64. Repeated
+    rows are scored (and learned from) each by itself. A null doc_id counts as training. An empty table gives no row.
     """
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.count_if(~held_out()).alias("docs")).first()
     n_blocks = max(1, -(-size.bytes // BLOCK_BYTES))
     learned_docs = int(size.docs)
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), held_out().alias("held_out"))
-    texts = texts.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int"))
-
-    def ask(table: pa.Table) -> pa.Table:
-        trains = ~np.asarray(table["held_out"].combine_chunks().to_numpy(zero_copy_only=False), bool)
-        keys, n = _count_keys((d, o, trains[lo:hi]) for lo, hi, d, o in _texts(table))
-        block = np.full(len(keys), table["block"][0].as_py(), np.int32)
-        return pa.table({"block": block, "key": keys.view(np.int64), "n": n})
-
-    asked = cut(texts.groupBy("block").applyInArrow(ask, "block int, key long, n long"), **SMALL)
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", held_out().alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
+    # rows are numbered and dealt once, and read again from these files; a file is a block
+    texts = cut(pieces(texts).repartition(n_blocks, F.xxhash64("row", "lead")).withColumn("block", F.spark_partition_id()), compression="zstd")
+    asked = cut(texts.select("block", "held_out", "lead", "last", "text").mapInArrow(ask, "block int, key long, n long"), **SMALL)
     counts = cut(asked.groupBy("key").agg(F.sum("n").alias("n")), **SMALL)
     grams, words_ = counts.where("key >= 0"), counts.where("key < 0")
     answers = trie_scores(grams).unionByName(words_.select("key", F.col("n").cast("double").alias("value")))
@@ -164,24 +218,23 @@ def score(docs: DataFrame) -> DataFrame:
     totals = known.select((F.col("n") + learned_docs).alias("tokens"), (F.col("v") + int(learned_docs > 0)).alias("types"))
 
     def add_up(key: tuple, table: pa.Table, answer: pa.Table) -> pa.Table:
-        keys = answer["key"].combine_chunks().to_numpy(zero_copy_only=False).view(np.uint64)
-        order = np.argsort(keys)
-        keys, values = keys[order], answer["value"].combine_chunks().to_numpy(zero_copy_only=False)[order]
-        n = table.num_rows
+        index = pd.Index(answer["key"].combine_chunks().to_numpy(zero_copy_only=False))
+        values = answer["value"].combine_chunks().to_numpy(zero_copy_only=False)
+        of = lambda keys: values[index.get_indexer(keys.view(np.int64))] if len(keys) else np.zeros(0)
+        n, ends = table.num_rows, np.asarray(table["last"].to_pylist(), np.int64)
         tokens, seen, base, total = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
-        for lo, hi, data, offsets in _texts(table):
-            grams, bounds, hashes, first = _symbols(data, offsets)
-            total[lo:hi] = np.add.reduceat(values[np.searchsorted(keys, grams)], bounds[:-1])
-            count = values[np.searchsorted(keys, hashes)] if len(hashes) else np.zeros(0)
-            tokens[lo:hi] = np.diff(first) + 1
-            row = np.repeat(np.arange(hi - lo), np.diff(first))
-            seen[lo:hi] = np.bincount(row, count > 0, hi - lo).astype(np.int64) + (learned_docs > 0)
-            base[lo:hi] = np.bincount(row, np.log10(count + 1), hi - lo) + np.log10(learned_docs + 1)
-        return pa.table({"doc_id": table["doc_id"], "held_out": table["held_out"], "n_tokens": tokens, "n_known": seen, "logs": base, "score": total})
-
-    parts = texts.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(add_up, "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double")
+        for lo, hi, (grams, bounds, hashes, first) in _texts(table):
+            total[lo:hi] = np.add.reduceat(of(grams), bounds[:-1])
+            count, row = of(hashes), np.repeat(np.arange(hi - lo), np.diff(first))
+            tokens[lo:hi] = np.diff(first) + ends[lo:hi]
+            seen[lo:hi] = np.bincount(row, count > 0, hi - lo).astype(np.int64) + ends[lo:hi] * (learned_docs > 0)
+            base[lo:hi] = np.bincount(row, np.log10(count + 1), hi - lo) + ends[lo:hi] * np.log10(learned_docs + 1)
+        return pa.table({"row": table["row"], "doc_id": table["doc_id"], "held_out": table["held_out"], "n_tokens": tokens, "n_known": seen, "logs": base, "score": total})
+
+    parts = texts.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(add_up, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double")
+    sums = parts.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "logs", "score")))
     base = F.col("logs") - F.col("n_tokens") * F.log10(F.col("tokens") + F.col("types") + 1)
-    return parts.crossJoin(F.broadcast(totals)).select("doc_id", "held_out", "n_tokens", "n_known", F.col("tokens").cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    return sums.crossJoin(F.broadcast(totals)).select("doc_id", "held_out", "n_tokens", "n_known", F.col("tokens").cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
 
 def op10_ppm(spark, sf_dir: str) -> DataFrame:

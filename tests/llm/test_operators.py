@@ -1,6 +1,9 @@
 """The training-data operators against brute force, on small tables with nulls, empty and long texts, ties and repeats."""
 
+import collections
 import hashlib
+import math
+import re
 import zlib
 
 import duckdb
@@ -254,6 +257,40 @@ def test_radius_search(spark):
     assert got == {(f"{a:064x}", f"{b:064x}") for a in prints for b in prints if (a ^ b).bit_count() <= 3}
 
 
+def brute_ppm(rows):
+    """Scores by a dictionary of contexts: method D, exclusion, 256 bytes below order 0."""
+    stream = lambda t: " ".join([*re.findall(r"[^\x20\x09-\x0D]+", t or ""), ""]).translate({i: i + 32 for i in range(65, 91)}).encode() + b"\n"
+    trains = lambda d: d is None or zlib.crc32(str(d).encode()) % 7 != 2
+    follow, tokens = collections.defaultdict(collections.Counter), collections.Counter()
+    for d, t in rows:
+        if trains(d):
+            tokens.update([*stream(t).decode().split(" ")[:-1], "\n"])
+            text = b"\n" * ppm.ORDER + stream(t)
+            for i in range(ppm.ORDER, len(text)):
+                for j in range(ppm.ORDER + 1):
+                    follow[text[i - j : i]][text[i]] += 1
+    n, v = sum(tokens.values()), len(tokens)
+    out = []
+    for d, t in rows:
+        text, total = b"\n" * ppm.ORDER + stream(t), 0.0
+        for i in range(ppm.ORDER, len(text)):
+            gone: set = set()
+            for j in range(ppm.ORDER, -1, -1):
+                seen = {b: c for b, c in follow[text[i - j : i]].items() if b not in gone}
+                if text[i] in seen:
+                    total += math.log10((seen[text[i]] - 0.5) / sum(seen.values()))
+                    break
+                if seen:
+                    total += math.log10(len(seen) / (2 * sum(seen.values())))
+                    gone |= set(seen)
+            else:
+                total -= math.log10(256 - len(gone))
+        own = [*stream(t).decode().split(" ")[:-1], "\n"]
+        base = sum(math.log10((tokens[w] + 1) / (n + v + 1)) for w in own)
+        out.append((d, not trains(d), len(own), sum(tokens[w] > 0 for w in own), n, base, total))
+    return out
+
+
 def test_ppm_odd_and_sums_to_one(spark, odd):
     got = ppm.score(odd).collect()
     assert len(got) == len(ODD) and all(r.n_tokens >= 1 and r.score < 0 for r in got)
@@ -265,6 +302,17 @@ def test_ppm_odd_and_sums_to_one(spark, odd):
     assert abs(total - 1) < 1e-9
 
 
+def test_ppm_equals_brute_force(spark, odd, documents, monkeypatch):
+    """Every column, also where texts are cut into pieces between words, with nulls, empty texts and repeated rows."""
+    rows = [*((d, t) for d, t, _, _ in documents[:40]), *ODD]
+    want = sorted(brute_ppm(rows), key=repr)
+    for piece in (ppm.PIECE_BYTES, 50):
+        monkeypatch.setattr(ppm, "PIECE_BYTES", piece)
+        got = sorted((tuple(r) for r in ppm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+        assert [r[:5] for r in got] == [r[:5] for r in want]
+        assert np.allclose([r[5:] for r in got], [r[5:] for r in want], rtol=1e-9)
+
+
 def test_ppm_looks_six_bytes_back(spark):
     """Only the sixth byte before the digit tells which digit comes."""
     rows = [(i, ("aabcde1", "babcde2")[i % 2]) for i in range(200)]
