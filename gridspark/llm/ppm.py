@@ -13,6 +13,7 @@ of its distinct byte strings and words, and the answers are joined back to it, s
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -209,13 +210,16 @@ def score(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", held_out().alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     # rows are numbered and dealt once, and read again from these files; a file is a block
     texts = cut(pieces(texts).repartition(n_blocks, F.xxhash64("row", "lead")).withColumn("block", F.spark_partition_id()), compression="zstd")
-    asked = cut(texts.select("block", "held_out", "lead", "last", "text").mapInArrow(ask, "block int, key long, n long"), **SMALL)
-    counts = cut(asked.groupBy("key").agg(F.sum("n").alias("n")), **SMALL)
-    grams, words_ = counts.where("key >= 0"), counts.where("key < 0")
-    answers = trie_scores(grams).unionByName(words_.select("key", F.col("n").cast("double").alias("value")))
-    answered = asked.select("block", "key").join(answers, "key").select("block", "key", "value")
-    known = words_.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v"))
-    totals = known.select((F.col("n") + learned_docs).alias("tokens"), (F.col("v") + int(learned_docs > 0)).alias("types"))
+    # each key goes with the blocks that ask for it: the asking rows are shuffled once and never written
+    asked = texts.select("block", "held_out", "lead", "last", "text").mapInArrow(ask, "block int, key long, n long")
+    counts = cut(asked.groupBy("key").agg(F.sum("n").alias("n"), F.collect_set("block").alias("blocks")), **SMALL)
+    grams, words_ = counts.select("key", "n").where("key >= 0"), counts.select("key", "n").where("key < 0")
+    totals_of = words_.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
+    answers = cut(trie_scores(grams).unionByName(words_.select("key", F.col("n").cast("double").alias("value"))), **SMALL)
+    answered = cut(answers.join(counts.select("key", "blocks"), "key"), **SMALL)
+    forget(counts, answers)
+    answered = answered.select("key", "value", F.explode("blocks").alias("block"))
+    train_tokens, types = int(totals_of.n) + learned_docs, int(totals_of.v) + int(learned_docs > 0)
 
     def add_up(key: tuple, table: pa.Table, answer: pa.Table) -> pa.Table:
         index = pd.Index(answer["key"].combine_chunks().to_numpy(zero_copy_only=False))
@@ -233,8 +237,8 @@ def score(docs: DataFrame) -> DataFrame:
 
     parts = texts.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(add_up, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double")
     sums = parts.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "logs", "score")))
-    base = F.col("logs") - F.col("n_tokens") * F.log10(F.col("tokens") + F.col("types") + 1)
-    return sums.crossJoin(F.broadcast(totals)).select("doc_id", "held_out", "n_tokens", "n_known", F.col("tokens").cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    base = F.col("logs") - F.col("n_tokens") * math.log10(train_tokens + types + 1)
+    return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
 
 def op10_ppm(spark, sf_dir: str) -> DataFrame:
