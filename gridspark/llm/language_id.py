@@ -7,55 +7,70 @@ Scoring adds up matrix columns for the n-grams of a batch of texts in numpy.
 
 from __future__ import annotations
 
-import math
-import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from gridspark.llm.bytetext import byte_view, groups, is_space, lower, mix
+from gridspark.llm.bytetext import byte_view, groups, mix
+from gridspark.llm.rows import every, quoted
 
 BUCKETS = 1 << 16
 """Hashed n-grams: width of the matrix."""
 ORDERS = (1, 2, 3, 4)
-"""Lengths of n-grams, in bytes of UTF-8."""
+"""Lengths of n-grams, in characters."""
 SLICE = 1 << 12
 """Counts travel as arrays of so many buckets."""
 MAX_LANGUAGES = 512
 """More labels than this are refused, since the matrix is broadcast."""
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+_BASE = np.uint64(0x9E3779B97F4A7C55)
 
 
-def _grams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each order: bucket of the n-gram that ends at each byte, and whether it lies in one row and has a letter byte.
+@lru_cache(1)
+def _alphabet() -> np.ndarray:
+    """For each code point whether it is a letter."""
+    return np.array([chr(c).isalpha() for c in range(0x110000)])
 
-    Digits, punctuation and space count as one blank, so numbers and markup say nothing about the language.
+
+def _characters(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of texts in lower case, side by side, and the n+1 offsets of the texts."""
+    low = [(t or "").lower() for t in texts]
+    data = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return data, np.concatenate(([0], np.cumsum([len(t) for t in low])))
+
+
+def _grams(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
+    """For each order the bucket of the n-gram that ends at each character; BUCKETS where it leaves its text or has no letter.
+
+    ASCII digits, punctuation and space count as one blank, so numbers and markup say nothing about the language.
     """
-    text = lower(data)
-    blank = is_space(text) | ((text < 97) & (text < 128)) | ((text > 122) & (text < 128))
-    text = np.where(blank, np.uint8(32), text).astype(np.uint64)
-    first = np.repeat(offsets[:-1], np.diff(offsets))
-    place = np.arange(len(text)) - first
-    packed, solid = text.copy(), ~blank
+    letter = _alphabet()[data]
+    code = np.where(letter | (data >= 128), data, 32).astype(np.uint64)
+    place = np.arange(len(code)) - np.repeat(offsets[:-1], np.diff(offsets))
+    rolled, solid = code.copy(), letter.copy()
     for n in range(1, max(ORDERS) + 1):
         if n > 1:
-            packed = (packed << np.uint64(8)) | np.concatenate((np.zeros(n - 1, np.uint64), text[: 1 - n]))[: len(text)]
-            solid = solid | np.concatenate((np.zeros(n - 1, bool), ~blank[: 1 - n]))[: len(text)]
+            with np.errstate(over="ignore"):
+                rolled = rolled * _BASE
+                rolled[n - 1 :] += code[: 1 - n]
+            solid[n - 1 :] |= letter[: 1 - n]
         if n in ORDERS:
-            yield (mix(packed + (np.uint64(n) << np.uint64(56))) % np.uint64(BUCKETS)).astype(np.int64), solid & (place >= n - 1)
+            bucket = (mix(rolled + np.uint64(n)) % np.uint64(BUCKETS)).astype(np.int64)
+            yield np.where(solid & (place >= n - 1), bucket, BUCKETS)
 
 
 def train(labelled: DataFrame, smoothing: float = 0.1) -> tuple[list[str], np.ndarray]:
     """Languages, and the matrix of log probabilities (languages x buckets, a prior in front) from ``labelled(text, lang)``.
 
     Rows with null text or lang teach nothing. All rows count: each task sums its own and passes on one array for
-    each language and slice of buckets.
+    each language and slice of buckets. More than MAX_LANGUAGES labels are an error, since the matrix would outgrow a broadcast.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,15 +78,15 @@ def train(labelled: DataFrame, smoothing: float = 0.1) -> tuple[list[str], np.nd
         seen: dict[str, int] = {}
         for batch in batches:
             langs = np.asarray(batch.column(1).to_pylist(), object)
-            data, offsets = byte_view(batch.column(0))
+            _, offsets = byte_view(batch.column(0))
             for lo, hi in groups(offsets):
-                part, own = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
                 codes = pd.factorize(langs[lo:hi])
+                data, own = _characters(batch.column(0).slice(lo, hi - lo).to_pylist())
                 row = np.repeat(codes[0], np.diff(own))
                 for name, n in zip(codes[1], np.bincount(codes[0])):
                     seen[name] = seen.get(name, 0) + int(n)
-                for bucket, ok in _grams(part, own):
-                    got = np.bincount(row[ok] * BUCKETS + bucket[ok], minlength=len(codes[1]) * BUCKETS).reshape(-1, BUCKETS)
+                for bucket in _grams(data, own):
+                    got = np.bincount(row * (BUCKETS + 1) + bucket, minlength=len(codes[1]) * (BUCKETS + 1)).reshape(-1, BUCKETS + 1)[:, :BUCKETS]
                     for name, counts in zip(codes[1], got):
                         sums[name] = sums[name] + counts if name in sums else counts
         for name, counts in sums.items():
@@ -114,37 +129,39 @@ def predict(docs: DataFrame, names: list[str], model: np.ndarray) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``, the posterior of that language.
 
     Null text, text without a letter, and any text when no language was learned: ``und`` with score 0. Ties go to the
-    first language by name. Columns of ``docs`` called lang_pred or score are replaced; others pass unread.
+    first language by name. Columns of ``docs`` called lang_pred or score are replaced; others pass unread, whatever
+    their names and types. An empty table gives an empty one.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(np.ascontiguousarray(model.T) if names else None)
+    # the last row of zeros is for n-grams that do not count
+    table = np.vstack((model.T, np.zeros((1, len(names)), np.float32))) if names else None
+    shared = docs.sparkSession.sparkContext.broadcast(table)
     carried = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
     at = next(i for i, c in enumerate(carried) if c.lower() == "text")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = shared.value
         for batch in batches:
-            data, offsets = byte_view(batch.column(at))
+            _, offsets = byte_view(batch.column(at))
             best, score = [UNKNOWN] * len(batch), np.zeros(len(batch))
-            texts = batch.column(at)
             for lo, hi in groups(offsets, 1 << 20) if names else ():
-                part, own = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+                data, own = _characters(batch.column(at).slice(lo, hi - lo).to_pylist())
                 full = np.flatnonzero(np.diff(own))
                 if not len(full):
                     continue
-                logs = np.zeros((hi - lo, len(names)))
-                for bucket, ok in _grams(part, own):
-                    for k in range(len(names)):
-                        logs[full, k] += np.add.reduceat(np.where(ok, weights[1:, k][bucket], 0), own[:-1][full], dtype=np.float64)
-                logs += weights[0]
+                logs = np.tile(weights[0].astype(np.float64), (hi - lo, 1))
+                for bucket in _grams(data, own):
+                    for k in range(0, len(names), 16):  # some languages at a time
+                        logs[full, k : k + 16] += np.add.reduceat(weights[1:, k : k + 16][bucket], own[:-1][full], axis=0, dtype=np.float64)
                 top = logs.argmax(1)
                 posterior = 1 / np.exp(np.minimum(logs - logs.max(1, keepdims=True), 0)).sum(1)
-                for i in full:
-                    if _LETTER.search(texts[lo + int(i)].as_py()):
-                        best[lo + i], score[lo + i] = names[top[i]], posterior[i]
+                letters = np.add.reduceat(_alphabet()[data], own[:-1][full], dtype=np.int64)
+                for i in full[letters > 0]:
+                    best[lo + i], score[lo + i] = names[top[i]], posterior[i]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best, pa.string()), pa.array(score)], names=[*batch.schema.names, "lang_pred", "score"])
 
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried), "lang_pred string, score double"])
-    return docs.select(*(F.col(f"`{c}`") for c in carried)).mapInArrow(apply, schema)
+    rows = docs.select(*(F.col(quoted(c)) for c in carried))
+    schema = StructType([*rows.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return rows.mapInArrow(apply, schema)
 
 
 def is_training(doc_id: str = "doc_id") -> F.Column:
@@ -165,5 +182,11 @@ def op1_language_id(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_known(spark, docs: DataFrame, sf_dir: str, least: float = 0.5) -> DataFrame:
-    """Pipeline stage: documents whose language is found with a posterior of ``least`` or more stay."""
-    return identify(docs).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*docs.columns)
+    """Pipeline stage: documents whose language is found with a posterior of ``least`` or more stay.
+
+    Null and empty texts, and texts without a letter, go. Rows keep all columns unchanged, whatever their names and
+    types, also ones called like the columns of ``predict``. Repeated rows are judged each by itself.
+    """
+    names, model = train(docs.where(is_training()))
+    rows = docs.select("text", F.struct(*every(docs)).alias("row"))
+    return predict(rows, names, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")

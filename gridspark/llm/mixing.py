@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridspark.llm.rows import every, quoted, text_of
+
 BLOCK = 16
 """Documents in a block."""
 WEIGHTS = {"src0": 20, "src1": 6, "src2": 6, "src3": 6, "src4": 6, "src5": 6, "src6": 6, "src7": 6, "src8": 6, "src9": 6}
@@ -31,12 +33,12 @@ def _strata(weights: dict[str, int], other: int) -> list[tuple[str | None, int]]
 
 
 def period(spark, parts: list[int]) -> DataFrame:
-    """``(stratum, turn, slot)``: the slot in a period of the turn-th block of each stratum, by earliest deadline among released blocks.
+    """``(stratum, turn, slot, placed)``: the slot in a period of the turn-th block of each stratum, by earliest deadline among released blocks, and the blocks of every stratum placed before.
 
     Ties of deadlines go to the earlier stratum. The state of the fold is the number of blocks placed of each stratum.
     """
     q, total = F.array(*(F.lit(x).cast("long") for x in parts)), sum(parts)
-    start = F.struct(F.array_repeat(F.lit(0).cast("long"), len(parts)).alias("n"), F.array().cast("array<struct<stratum:int,turn:bigint,slot:bigint>>").alias("out"))
+    start = F.struct(F.array_repeat(F.lit(0).cast("long"), len(parts)).alias("n"), F.array().cast("array<struct<stratum:int,turn:bigint,slot:bigint,placed:array<bigint>>>").alias("out"))
 
     def step(state, slot):
         released = F.filter(
@@ -49,7 +51,7 @@ def period(spark, parts: list[int]) -> DataFrame:
         )
         pick = F.array_min(released)
         n = F.transform(state["n"], lambda x, i: x + (i == pick["stratum"]).cast("long"))
-        return F.struct(n.alias("n"), F.concat(state["out"], F.array(F.struct(pick["stratum"].alias("stratum"), pick["turn"].alias("turn"), slot.alias("slot")))).alias("out"))
+        return F.struct(n.alias("n"), F.concat(state["out"], F.array(F.struct(pick["stratum"].alias("stratum"), pick["turn"].alias("turn"), slot.alias("slot"), state["n"].alias("placed")))).alias("out"))
 
     fold = F.aggregate(F.sequence(F.lit(0).cast("long"), F.lit(total - 1).cast("long")), start, step, lambda s: s["out"])
     return spark.range(1).select(F.explode(fold).alias("b")).select("b.*")
@@ -59,19 +61,20 @@ def mixed(docs: DataFrame, weights: dict[str, int] = WEIGHTS, other: int = OTHER
     """``docs`` with ``stratum``, ``block_index`` and ``mix_pos``: a dense order of all rows that holds the weights at every prefix.
 
     A source that is not named (or null) belongs to the rest, which shares ``other`` parts. Weight 0 counts as not named.
-    Within a stratum rows follow the md5 of the key, then the key, then the other columns: an arbitrary but fixed
-    shuffle; rows alike in all columns are interchangeable. Ranks are counted in 65,536 cells of each stratum and then
+    Within a stratum rows follow the md5 of the key (without a key: of the whole row), then the key, then a hash of the
+    row: an arbitrary but fixed shuffle; rows alike in all columns are interchangeable. Columns of any name and type
+    pass unchanged. Ranks are counted in 65,536 cells of each stratum and then
     summed over cells, so a source with any share of all rows is dealt out. Columns named like the results are replaced.
     """
     spark = docs.sparkSession
     strata = _strata(weights, other)
     total = sum(q for _, q in strata)
     names = F.array(*(F.lit(n) for n, _ in strata[:-1])) if len(strata) > 1 else F.array().cast("array<string>")
-    place = F.coalesce(F.array_position(names, F.col(f"`{source}`").cast("string")), F.lit(0)).cast("int")
-    rows = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in PLACE))
-    columns = rows.columns
-    spot = F.md5(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")))
-    dealt = rows.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.when(place > 0, place - 1).otherwise(len(strata) - 1).alias("stratum"), spot.alias("spot"))
+    place = F.coalesce(F.array_position(names, F.col(quoted(source)).cast("string")), F.lit(0)).cast("int")
+    rows = docs.select(*(F.col(quoted(c)) for c in docs.columns if c.lower() not in PLACE))
+    whole = text_of(every(rows))
+    spot = F.md5(F.coalesce(F.col(quoted(key)).cast("string"), whole))
+    dealt = rows.select(F.struct(*every(rows)).alias("row"), F.when(place > 0, place - 1).otherwise(len(strata) - 1).alias("stratum"), spot.alias("spot"), F.col(quoted(key)).alias("key"), F.xxhash64(whole).alias("tie"))
     dealt = dealt.select("*", F.substring("spot", 1, 2).alias("c1"), F.substring("spot", 3, 2).alias("c2"))
     counts = dealt.groupBy("stratum", "c1", "c2").agg(F.count("*").alias("n"))
     upper = counts.groupBy("stratum", "c1").agg(F.sum("n").alias("n"))
@@ -79,8 +82,7 @@ def mixed(docs: DataFrame, weights: dict[str, int] = WEIGHTS, other: int = OTHER
     upper = upper.select("stratum", "c1", before.alias("before"))
     inner = F.coalesce(F.sum("n").over(Window.partitionBy("stratum", "c1").orderBy("c2").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cells = counts.select("stratum", "c1", "c2", inner.alias("inner")).join(upper, ["stratum", "c1"]).select("stratum", "c1", "c2", (F.col("inner") + F.col("before")).alias("offset"))
-    sortable = [F.col(f"row.`{c}`") for c in columns if c != key]
-    local = F.row_number().over(Window.partitionBy("stratum", "c1", "c2").orderBy("spot", F.col(f"row.`{key}`"), *sortable)) - 1
+    local = F.row_number().over(Window.partitionBy("stratum", "c1", "c2").orderBy("spot", "key", "tie")) - 1
     ranked = dealt.withColumn("local", local).join(cells, ["stratum", "c1", "c2"])
     ranked = ranked.select("row", "stratum", (F.col("local") + F.col("offset")).alias("rank")).select("*", F.floor(F.col("rank") / block).alias("block_index"))
     # slots of one period with the blocks that each stratum has placed before; at most MAX_PARTS rows
@@ -89,10 +91,7 @@ def mixed(docs: DataFrame, weights: dict[str, int] = WEIGHTS, other: int = OTHER
     sizes = counts.groupBy().pivot("stratum", list(range(len(strata)))).agg(F.sum("n"))
     sizes = sizes.select(F.array(*(F.coalesce(F.col(f"`{i}`"), F.lit(0)) for i in range(len(strata)))).alias("sizes"))
     quota = F.array(*(F.lit(q).cast("long") for _, q in strata))
-    # blocks of every stratum placed in a period before a slot
-    turns = slots.alias("a").join(slots.select(F.col("stratum").alias("other"), F.col("slot").alias("earlier")).alias("b"), F.col("b.earlier") < F.col("a.slot"), "left")
-    placed = turns.groupBy("a.stratum", "a.turn", "a.slot").pivot("other", list(range(len(strata)))).agg(F.count("b.earlier"))
-    placed = placed.select("stratum", "turn", F.array(*(F.coalesce(F.col(f"`{i}`"), F.lit(0)) for i in range(len(strata)))).alias("placed"))
+    placed = slots.select("stratum", "turn", "placed")
     share = quota[F.col("stratum")]
     timed = ranked.withColumn("turn", F.col("block_index") % share).withColumn("round", F.floor(F.col("block_index") / share)).join(F.broadcast(placed), ["stratum", "turn"])
     timed = timed.crossJoin(F.broadcast(sizes))  # one row

@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridspark.plans.lineage import cut
+
 VOCABULARY = "byte_bpe_50k.tiktoken"
-ALL = "*"
-"""Group of the rows for the whole table."""
 STEP = 512
 """Lengths are summed in spans of this many, then over spans, so that no window holds more than a span or a list of spans."""
 
@@ -45,40 +45,43 @@ def encoded_lengths(docs: DataFrame, vocabulary: str | None = None, pattern: str
 
 
 def histogram(lengths: DataFrame) -> DataFrame:
-    """``(grp, length, n_docs)`` for each group (null: empty name) and for all rows together; counts are summed before the shuffle."""
-    own = lengths.groupBy(F.coalesce("grp", F.lit("")).alias("grp"), "length").agg(F.count("*").alias("n_docs"))
-    both = own.withColumn("grp", F.explode(F.array("grp", F.lit(ALL))))
-    return both.groupBy("grp", "length").agg(F.sum("n_docs").alias("n_docs"))
+    """``(grp, is_total, length, n_docs)`` for each group, null being one, and for all rows together (grp null, is_total); counts are summed before the shuffle."""
+    own = lengths.groupBy("grp", "length").agg(F.count("*").alias("n_docs"))
+    sides = F.explode(F.array(F.struct("grp", F.lit(False).alias("is_total")), F.struct(F.lit(None).cast("string").alias("grp"), F.lit(True).alias("is_total"))))
+    return own.select(sides.alias("g"), "length", "n_docs").groupBy("g.grp", "g.is_total", "length").agg(F.sum("n_docs").alias("n_docs"))
 
 
 def limits(hist: DataFrame) -> DataFrame:
-    """What every context limit costs, from ``hist(grp, length, n_docs)``: one row for each group and each length that occurs.
+    """What every context limit costs, from ``hist(grp, is_total, length, n_docs)``: one row for each group and each length that occurs.
 
     Taken as a limit L, a row says how many documents fit (``docs_within``), how many are longer (``docs_over``), the
     tokens of the longer ones (``tokens_over``), what is left of all documents cut at L (``truncated_tokens``), and the
     share of documents that fit (``quantile``: the smallest L whose share reaches q is the exact q-quantile).
-    Suffix sums run within spans of STEP lengths and then over the spans' totals.
+    Suffix sums run within spans of STEP lengths and then over the spans' totals. Whatever the groups are called, the
+    whole table is told by ``is_total`` alone. The histogram is written first, since two steps read it.
     """
-    cell = hist.select("grp", "length", "n_docs", (F.col("length") * F.col("n_docs")).alias("tokens"), F.floor(F.col("length") / STEP).alias("span"))
-    spans = cell.groupBy("grp", "span").agg(F.sum("n_docs").alias("span_docs"), F.sum("tokens").alias("span_tokens"))
-    later = Window.partitionBy("grp").orderBy(F.desc("span")).rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy("grp")
+    name = F.when(F.col("is_total"), "*").otherwise(F.coalesce(F.concat(F.lit("="), "grp"), F.lit("-")))
+    cell = cut(hist.select(name.alias("name"), "length", "n_docs", (F.col("length") * F.col("n_docs")).alias("tokens"), F.floor(F.col("length") / STEP).alias("span")))
+    spans = cell.groupBy("name", "span").agg(F.sum("n_docs").alias("span_docs"), F.sum("tokens").alias("span_tokens"))
+    later = Window.partitionBy("name").orderBy(F.desc("span")).rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy("name")
     spans = spans.select(
-        "grp",
+        "name",
         "span",
         F.coalesce(F.sum("span_docs").over(later), F.lit(0)).alias("docs_later"),
         F.coalesce(F.sum("span_tokens").over(later), F.lit(0)).alias("tokens_later"),
         F.sum("span_docs").over(every).alias("total_docs"),
         F.sum("span_tokens").over(every).alias("total_tokens"),
     )
-    within = Window.partitionBy("grp", "span").orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, -1)
-    over = cell.join(spans, ["grp", "span"]).select(
+    within = Window.partitionBy("name", "span").orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, -1)
+    over = cell.join(spans, ["name", "span"]).select(
         "*",
         (F.coalesce(F.sum("n_docs").over(within), F.lit(0)) + F.col("docs_later")).alias("docs_over"),
         (F.coalesce(F.sum("tokens").over(within), F.lit(0)) + F.col("tokens_later")).alias("tokens_over"),
     )
     return over.select(
-        "grp",
+        F.when(F.startswith("name", F.lit("=")), F.substring("name", 2, 1 << 30)).alias("grp"),
+        (F.col("name") == "*").alias("is_total"),
         "length",
         "n_docs",
         (F.col("total_docs") - F.col("docs_over")).alias("docs_within"),

@@ -44,6 +44,64 @@ def test_language_odd(odd):
     assert {r.lang_pred for r in language_id.identify(odd.where("lang is null")).collect()} == {"und"}
 
 
+def test_language_equals_brute_force(spark, documents):
+    """Scores by plain Python counts of n-grams; buckets are the operator's own."""
+    docs = documents[:60]
+    got = {r.doc_id: r for r in language_id.identify(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")).collect()}
+
+    def buckets(text):
+        data, own = language_id._characters([text])
+        return [int(b) for order in language_id._grams(data, own) for b in order if b < language_id.BUCKETS]
+
+    def grams(text):
+        low = "".join(c if c.isalpha() or ord(c) >= 128 else " " for c in text.lower())
+        return [low[i : i + n] for n in language_id.ORDERS for i in range(len(low) - n + 1) if any(c.isalpha() for c in low[i : i + n])]
+
+    assert all(len(buckets(t or "")) == len(grams(t or "")) for _, t, _, _ in docs)
+    counts, n = collections.defaultdict(collections.Counter), collections.Counter()
+    for d, t, lang, _ in docs:
+        if zlib.crc32(str(d).encode()) % 3 != 1 and t is not None and lang is not None:
+            counts[lang].update(buckets(t))
+            n[lang] += 1
+    for d, t, _, _ in docs:
+        logs = {}
+        for lang in sorted(n):
+            total = sum(counts[lang].values()) + 0.1 * language_id.BUCKETS
+            logs[lang] = math.log((n[lang] + 1) / (sum(n.values()) + len(n))) + sum(math.log((counts[lang][b] + 0.1) / total) for b in buckets(t or ""))
+        best = max(sorted(n), key=lambda x: logs[x])
+        posterior = 1 / sum(math.exp(min(0, x - logs[best])) for x in logs.values())
+        if any(c.isalpha() for c in t or ""):
+            assert got[d].lang_pred == best and abs(got[d].score - posterior) < 1e-3
+    signs = spark.createDataFrame([(1, "word here", "en"), (7, "\u00b2 \u00bd \u2460 12", "en")], "doc_id long, text string, lang string")
+    assert {r.doc_id: r.lang_pred for r in language_id.identify(signs).collect()} == {1: "en", 7: "und"}
+
+
+STRANGE = "doc_id long, text string, lang string, source string, n_chars long, `a.b` map<string,int>, Score double, `x``y` array<map<int,string>>, lang_pred string, stratum string, row int, name string, n int"
+
+
+@pytest.fixture(scope="module")
+def strange(spark):
+    """Rows with columns of odd names and types, and names that operators use themselves."""
+    rows = [(i, t, "en", "src0" if i else None, len(t or ""), {"k": 1, "l": None}, float(k), [{1: "x"}], "pred", "mine", k, "name", 9) for k, (i, t) in enumerate(ODD)]
+    return spark.createDataFrame(rows, STRANGE)
+
+
+def test_stages_keep_columns(spark, strange):
+    """No stage but the last changes or loses a column of the documents, whatever its name and type."""
+    own = lambda df, drop=(): sorted(str({k: v for k, v in r.asDict().items() if k not in drop}) for r in df.collect())
+    kept = language_id.keep_known(spark, strange, SF)
+    assert kept.columns == strange.columns and {r.doc_id for r in kept.collect()} <= {None, 4, 5, 6, 7}
+    assert set(own(kept)) <= set(own(strange))
+    one = near_dedup.keep_one(spark, strange, SF)
+    assert one.columns == strange.columns and set(own(one)) <= set(own(strange)) and one.count() == 7
+    mix = mixing.in_mixed_order(spark, strange, SF)
+    assert own(mix, mixing.PLACE) == own(strange, mixing.PLACE)
+    ids = sentencepiece_codec.tokenise(spark, mix, SF)
+    assert ids.count() == len(ODD) and {"doc_id", "ids", *mixing.PLACE} <= set(ids.columns)
+    for stage in (language_id.keep_known, near_dedup.keep_one, mixing.in_mixed_order, sentencepiece_codec.tokenise):
+        assert stage(spark, strange.limit(0), SF).count() == 0
+
+
 def brute_classes(rows):
     sets = {}
     for d, t in rows:
@@ -128,11 +186,21 @@ def test_mixing_deviation_and_odd(spark, odd):
 
 
 def test_token_limits(spark, odd):
-    lengths = token_lengths.encoded_lengths(odd).collect()
-    values = sorted(r.length for r in lengths)
-    for r in token_lengths.limits(token_lengths.histogram(token_lengths.encoded_lengths(odd))).where("grp = '*'").collect():
-        assert r.docs_within == sum(v <= r.length for v in values) and r.tokens_over == sum(v for v in values if v > r.length)
-        assert r.truncated_tokens == sum(min(v, r.length) for v in values) and r.total_tokens == sum(values)
+    from pyspark.sql import functions as F
+
+    named = odd.withColumn("source", F.when(F.col("doc_id") == 4, "*").when(F.col("doc_id") == 5, "").when(F.col("doc_id") == 6, "-")).withColumn("name", F.lit("clash"))
+    lengths = token_lengths.encoded_lengths(named).collect()
+    got = token_lengths.limits(token_lengths.histogram(token_lengths.encoded_lengths(named))).collect()
+    groups = {(r.grp, r.is_total) for r in got}
+    assert groups == {("*", False), ("", False), ("-", False), (None, False), (None, True)}
+    for grp, is_total in groups:
+        values = sorted(r.length for r in lengths if is_total or r.grp == grp)
+        own = [r for r in got if (r.grp, r.is_total) == (grp, is_total)]
+        assert sorted(r.length for r in own) == sorted(set(values))
+        for r in own:
+            assert r.n_docs == values.count(r.length) and r.total_docs == len(values) and r.quantile == r.docs_within / len(values)
+            assert r.docs_within == sum(v <= r.length for v in values) and r.tokens_over == sum(v for v in values if v > r.length)
+            assert r.truncated_tokens == sum(min(v, r.length) for v in values) and r.total_tokens == sum(values)
     assert token_lengths.limits(token_lengths.histogram(token_lengths.encoded_lengths(odd.limit(0)))).count() == 0
 
 
