@@ -91,6 +91,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, curves: in
 
     The query's own id is no candidate; ties go to the smaller id. Unusable vectors take no part, ids that repeat with
     the same vector count once, vectors are compared only with those of the same length. Fewer than k candidates: all.
+    Different vectors under one id share their results. Other columns play no part, whatever their names.
     """
     spark = vectors.sparkSession
     rows = usable(vectors).withColumn("key", F.md5(F.array_join(F.transform("v", lambda x: x.cast("string")), ",")))
@@ -144,13 +145,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, curves: in
         values = np.frombuffer(b"".join(table["v"].to_pylist()), np.float64).reshape(table.num_rows, -1)
         ids = table["ids"].to_pylist()
         at, data = np.flatnonzero(asks), np.flatnonzero(~asks)
+        size = np.linalg.norm(values, axis=1)
         out_q, out_id, out_s = [], [], []
         for lo in range(0, len(at), 256):
             for q in at[lo : lo + 256] if len(data) else ():
                 score = values[data] @ values[q]
                 take = min(k + 1, len(score))
                 least = np.partition(score, len(score) - take)[len(score) - take]
-                near = data[score >= least - 1e-12]
+                # sums of products differ by their order: what is within rounding of the last place is ranked exactly
+                near = data[score >= least - 1e-12 * (1 + size[q] * size[data].max())]
                 near = sorted(((-float(values[j] @ values[q]), i) for j in near for i in ids[j]))[: k + 1]
                 out_q += [ids[q][0]] * len(near)
                 out_id += [i for _, i in near]

@@ -25,21 +25,36 @@ OUTSIDE = 0.5
 """Weight of a word that is in no template, where frequencies are those of the templates."""
 # Notices by which licences are commonly stated.
 TEMPLATES = [
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License, version 3"),
+    ("AGPL-3.0", "SPDX-License-Identifier: AGPL-3.0-only"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+    ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("BSD-2-Clause", "Released under the BSD 2-Clause Simplified License"),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0"),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
+    ("GPL-2.0", "This program is licensed under the GNU General Public License, version 2"),
+    ("GPL-2.0", "GNU General Public License Version 2, June 1991"),
+    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-only"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3.0"),
+    ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
     ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("ISC", "SPDX-License-Identifier: ISC"),
+    ("LGPL-2.1", "This library is licensed under the GNU Lesser General Public License, version 2.1"),
+    ("LGPL-2.1", "SPDX-License-Identifier: LGPL-2.1-only"),
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3.0"),
     ("MIT", "Released under the MIT License"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("MIT", "SPDX-License-Identifier: MIT"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain"),
+    ("Unlicense", "SPDX-License-Identifier: Unlicense"),
 ]
 _SPEAKS = r"licen[sc]e|copyright|redistribut|permission is hereby|all rights reserved|spdx"
 _LICENCE_FILE = r"(^|/)(licen[sc]e|copying|notice)[^/]*$"

@@ -36,7 +36,8 @@ _AGAINST = re.compile(
     r"nav\w*|newsletter|notices?|popup|promo\w*|related|reply|search|share|sharing|side(?:bar)?|signup|social|sponsor\w*|subscribe|toolbar|topbar|widget)(?:$|[^a-z])"
 )
 _FOR = re.compile(r"(?:^|[^a-z])(?:article|content|entry|main|post|story|text)(?:$|[^a-z])")
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_TAG_END = re.compile(r"""[>"']""")
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _WORD = re.compile(r"\S+")
 
@@ -102,6 +103,76 @@ def _kind(tag: str, attributes: str) -> int:
     return kind
 
 
+def _tokens(page: str) -> Iterator[tuple[str, str | None, bool, str, int]]:
+    """``(text, tag, closing, attributes, place)``: the text before each tag and the tag; last the text after all tags, without a tag.
+
+    Comments, declarations and the contents of unread elements are skipped. What is not closed (a tag, a quote, a
+    comment) is searched for once only, so the time is linear in the page.
+    """
+    at, done, size = 0, 0, len(page)
+    gone: dict[str, int] = {}
+
+    def find(what: str, start: int) -> int:
+        if start >= gone.get(what, size + 1):
+            return -1
+        found = page.find(what, start)
+        if found < 0:
+            gone[what] = min(start, gone.get(what, start))
+        return found
+
+    def tag_end(start: int) -> int:
+        while m := _TAG_END.search(page, start):
+            if m[0] == ">":
+                return m.end()
+            # a quote that is never closed is a character like others
+            close = find(m[0], m.end())
+            start = close + 1 if close >= 0 else m.end()
+        return -1
+
+    while (lt := page.find("<", at)) >= 0:
+        text, skip = page[done:lt], None
+        if page.startswith(("<!--", "<![CDATA["), lt):
+            close = "-->" if page[lt + 2] == "-" else "]]>"
+            end = find(close, lt + 4)
+            at = done = end + len(close) if end >= 0 else size
+            yield text, None, False, "", lt
+            continue
+        if page.startswith(("<!", "<?"), lt):
+            end = find(">", lt)
+            if end >= 0:
+                at = done = end + 1
+                yield text, None, False, "", lt
+            else:
+                at = lt + 1
+            continue
+        m = _NAME.match(page, lt + 1)
+        end = -1
+        if m and lt < gone.get("tag", size + 1):
+            end = tag_end(m.end())
+            if end < 0:
+                gone["tag"] = lt  # no tag ends after this place
+        if end < 0:
+            at = lt + 1
+            continue
+        tag, closing, attributes = m[2].lower(), bool(m[1]), page[m.end() : end - 1]
+        at = done = end
+        if tag in _UNREAD and not closing:
+            if not attributes.rstrip().endswith("/"):
+                skip = tag
+            tag = None
+        yield text, tag, closing, attributes, lt
+        if skip and at < gone.get(f"</{skip}", size + 1):
+            m = re.compile(f"</{skip}", re.I).search(page, at)
+            if m:
+                end = find(">", m.end())
+                at = done = end + 1 if end >= 0 else size
+            else:
+                gone[f"</{skip}"] = at
+        if skip and at >= gone.get(f"</{skip}", size + 1) and skip in _RAW:
+            at = done = size
+    yield page[done:], None, False, "", size
+
+
 def blocks(page: str | None) -> list[Block]:
     """Flat blocks of a page in its order; null and empty pages have none.
 
@@ -126,36 +197,13 @@ def blocks(page: str | None) -> list[Block]:
                 stands.append(inner)
         state.parts.clear()
 
-    at, skip = 0, None
-    low = None
-    while True:
-        if skip:
-            low = low if low is not None else page.lower()
-            end = low.find(f"</{skip}", at)
-            if end < 0 and skip in _RAW:
-                break
-            if end < 0:
-                skip = None
-                continue
-            stop = page.find(">", end)
-            at, skip = (stop + 1 if stop >= 0 else len(page)), None
-            continue
-        m = _TOKEN.search(page, at)
-        if m is None:
-            state.parts.append((page[at:], state.links > 0))
-            break
-        if m.start() > at:
-            state.parts.append((page[at : m.start()], state.links > 0))
-        at = m.end()
-        if m[2] is None:
-            continue
-        tag, closing = m[2].lower(), bool(m[1])
-        if tag in _UNREAD and not closing:
-            if not m[3].rstrip().endswith("/"):
-                skip = tag
+    for text, tag, closing, attributes, at in _tokens(page):
+        if text:
+            state.parts.append((text, state.links > 0))
+        if tag is None:
             continue
         if tag in _BLOCK:
-            close(m.start())
+            close(at)
         elif tag == "br":
             state.parts.append((" ", False))
         if tag in _VOID:
@@ -163,9 +211,9 @@ def blocks(page: str | None) -> list[Block]:
         if not closing:
             if tag == "p" or tag in ("li", "tr", "td", "th", "dt", "dd", "option"):
                 _end_implied(state, tag)
-            own = _Element(tag, _kind(tag, m[3]), state.open[-1] if state.open else None, tag == "form" or tag not in _FURNITURE)
+            own = _Element(tag, _kind(tag, attributes), state.open[-1] if state.open else None, tag == "form" or tag not in _FURNITURE)
             # a comment that is an article of its own does not make its list the article
-            own.holds = tag in _ARTICLE and not _AGAINST.search(m[3].lower())
+            own.holds = tag in _ARTICLE and not _AGAINST.search(attributes.lower())
             made.append(own)
             state.open.append(own)
             state.count[tag] += 1
@@ -219,15 +267,16 @@ def _end_implied(state: _State, tag: str) -> None:
             return
 
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "furniture", "article", "heading", "article_page")
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "heading", "furniture", "article", "article_page", "named_page")
+_NAMED = [FEATURES.index(x) for x in ("furniture", "article", "article_page", "named_page")]
 
 
 def features(found: list[Block]) -> np.ndarray:
     """One row for each block, columns FEATURES; beyond the ends of the page stand empty blocks."""
     own = np.array([(b.words, b.linked / b.words) for b in found], float).reshape(-1, 2)
     edge = np.zeros((1, 2))
-    named = any(b.article and not b.furniture for b in found)
-    flags = np.array([(b.furniture, b.article, b.heading, named) for b in found], float).reshape(-1, 4)
+    whole = any(b.article and not b.furniture for b in found), any(b.article or b.furniture for b in found)
+    flags = np.array([(b.heading, b.furniture, b.article, *whole) for b in found], float).reshape(-1, 5)
     return np.hstack((own, np.vstack((edge, own[:-1])), np.vstack((own[1:], edge)), flags)) if found else np.zeros((0, len(FEATURES)))
 
 
@@ -242,7 +291,7 @@ class Node:
     right: "Node | None" = None
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 5, least: int = 2) -> Node:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 7, least: int = 2) -> Node:
     """A binary tree by Gini impurity; ties of splits go to the earlier feature and lower threshold."""
     answer = bool(y.mean() > 0.5) if len(y) else False
     if depth == 0 or len(y) < 2 * least or y.min() == y.max():
@@ -277,8 +326,9 @@ def classify(node: Node, x: np.ndarray) -> np.ndarray:
 def labelled() -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of the blocks of the labelled pages. A block has the label of the entry it begins in.
 
-    Each page counts twice: as it is, and without what element and class names say for an article, so that the tree
-    also serves pages that do not name theirs.
+    Each page counts three times: as it is, without what element and class names say for an article, and without any of
+    their names, so that on pages that name nothing words, links and neighbours decide. There, prose outside the article
+    (a comment, a notice) is left out: only names tell it from article text, so it would teach the wrong thing.
     """
     xs, ys = [], []
     for page in PAGES:
@@ -292,11 +342,12 @@ def labelled() -> tuple[np.ndarray, np.ndarray]:
         for b in found:
             labels.append(next((label for start, label in reversed(marks) if label and start < b.raw_at), "-") == "+")
         x = features(found)
-        for lost in ((), (7, 9)):
+        for lost in ((), _NAMED[1:3], _NAMED):
             part = x.copy()
             part[:, list(lost)] = 0
-            xs.append(part)
-            ys.append(labels)
+            told = np.array([lost != _NAMED or mark or b.words < 8 or 5 * b.linked > b.words for b, mark in zip(found, labels)])
+            xs.append(part[told])
+            ys.append(np.array(labels)[told])
     return np.vstack(xs), np.concatenate(ys).astype(float)
 
 
