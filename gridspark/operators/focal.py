@@ -93,6 +93,36 @@ def class_edges(px: DataFrame) -> DataFrame:
     return px.withColumn("m", edge.cast("int"))
 
 
+def dilate4(mask: DataFrame, rounds: int = 1, m: str = "m") -> DataFrame:
+    """Dilation over the four neighbours: after n rounds all pixels within n steps."""
+    for _ in range(rounds):
+        for name, along in ((f"{m}_r", "row"), (f"{m}_c", "col")):
+            w = _lines(along)
+            mask = mask.withColumn(name, F.greatest(F.col(m), F.coalesce(F.lag(m).over(w), F.lit(0)), F.coalesce(F.lead(m).over(w), F.lit(0))))
+        mask = mask.withColumn(m, F.greatest(f"{m}_r", f"{m}_c")).drop(f"{m}_r", f"{m}_c")
+    return mask
+
+
+def _touching(px: DataFrame, cls: int, name: str) -> DataFrame:
+    """``name`` is 1 where one of the four neighbours has the class."""
+    near = F.lit(0)
+    for along in ("row", "col"):
+        w = _lines(along)
+        for other in (F.lag("cls").over(w), F.lead("cls").over(w)):
+            near = F.greatest(near, F.coalesce((other == cls).cast("int"), F.lit(0)))
+    return px.withColumn(name, near)
+
+
+def boundary_bands(px: DataFrame, building: int, other: int, band: int = 2) -> DataFrame:
+    """``px`` with three marks: within ``band`` steps of any class edge, of an edge that touches a building, and of both that and pixels that touch ``other``."""
+    out = _touching(_touching(class_edges(px), building, "by_building"), other, "by_other")
+    out = out.withColumn("edge_b", F.col("m") * F.col("by_building"))
+    for c in ("m", "edge_b", "by_other"):
+        out = dilate4(out, band, c)
+    out = out.select(*px.columns, (F.col("m") == 1).alias("any_band"), (F.col("edge_b") == 1).alias("building_band"), ((F.col("edge_b") == 1) & (F.col("by_other") == 1)).alias("building_other"))
+    return out
+
+
 def offsets(px: DataFrame, radius: int) -> DataFrame:
     """Each pixel sent to the centres of the windows that hold it: (scene_id, row, col) is the centre, dr and dc the offset of the value."""
     steps = F.array(*(F.struct(F.lit(i).alias("dr"), F.lit(j).alias("dc")) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridspark.plans import map_queries, registry  # noqa: F401
+from gridspark.plans import map_queries, registry, report_queries  # noqa: F401
 
 QUERIES = registry.QUERIES
 ORACLES = registry.ORACLES
