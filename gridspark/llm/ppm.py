@@ -30,8 +30,10 @@ ORDER = 6
 """Bytes of context."""
 BLOCK_BYTES = 48 << 20
 """Text in a block, about."""
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 """Text that a task takes at a time; longer texts are cut into pieces of about this size, between words."""
+MERGE = 2_500_000
+"""Keys that a task holds before it adds up equal ones."""
 SMALL = {"compression": "zstd", "parquet.writer.version": "v2"}
 """Files between steps: sorted keys as differences."""
 _END = np.uint8(10)
@@ -145,8 +147,8 @@ def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         seen, n = _distinct(some)
                         found.append(seen)
                         counts.append(n * taught)
-            if sum(map(len, found)) > 6_000_000:
-                found, counts = ([x] for x in _merge(found, counts))
+                if sum(map(len, found[1:])) > MERGE:
+                    found, counts = ([x] for x in _merge(found, counts))
     yield from told()
 
 
@@ -212,13 +214,13 @@ def score(docs: DataFrame) -> DataFrame:
     texts = cut(pieces(texts).repartition(n_blocks, F.xxhash64("row", "lead")).withColumn("block", F.spark_partition_id()), compression="zstd")
     # each key goes with the blocks that ask for it: the asking rows are shuffled once and never written
     asked = texts.select("block", "held_out", "lead", "last", "text").mapInArrow(ask, "block int, key long, n long")
-    counts = cut(asked.groupBy("key").agg(F.sum("n").alias("n"), F.collect_set("block").alias("blocks")), **SMALL)
+    counts = cut(asked.groupBy("key").agg(F.sum("n").alias("n"), F.collect_list("block").alias("blocks")), **SMALL)
     grams, words_ = counts.select("key", "n").where("key >= 0"), counts.select("key", "n").where("key < 0")
     totals_of = words_.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
     answers = cut(trie_scores(grams).unionByName(words_.select("key", F.col("n").cast("double").alias("value"))), **SMALL)
     answered = cut(answers.join(counts.select("key", "blocks"), "key"), **SMALL)
     forget(counts, answers)
-    answered = answered.select("key", "value", F.explode("blocks").alias("block"))
+    answered = answered.select("key", "value", F.explode(F.array_distinct("blocks")).alias("block"))
     train_tokens, types = int(totals_of.n) + learned_docs, int(totals_of.v) + int(learned_docs > 0)
 
     def add_up(key: tuple, table: pa.Table, answer: pa.Table) -> pa.Table:
