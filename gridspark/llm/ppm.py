@@ -8,7 +8,7 @@ context are excluded; below order 0 the bytes left are equally likely. A documen
 Since bytes seen in a context are also seen in every suffix of it, exclusion at a level depends on the level above only,
 so the trie is made level by level with sums and joins: a row of level j has at most 256 rows above it, and no join has
 a hot key. Texts are dealt into blocks of bounded size, long ones in pieces cut between words; a block asks once for each
-of its distinct byte strings and words, and the answers are joined back to it, so no task and no broadcast holds the trie.
+of its distinct byte strings and words, and the answers go back to it, packed, so no task and no broadcast holds the trie.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +29,7 @@ from gridspark.plans.lineage import cut, forget
 
 ORDER = 6
 """Bytes of context."""
-BLOCK_BYTES = 48 << 20
+BLOCK_BYTES = 32 << 20
 """Text in a block, about."""
 PIECE_BYTES = 1 << 20
 """Text that a task takes at a time; longer texts are cut into pieces of about this size, between words."""
@@ -106,12 +107,15 @@ def _symbols(data: np.ndarray, offsets: np.ndarray, leads: list[bytes], last: np
     return grams[~before[keep]], np.concatenate(([0], np.cumsum(size))), hashes, first
 
 
-def _texts(table: pa.Table | pa.RecordBatch) -> Iterator[tuple[int, int, tuple]]:
-    """Ranges of rows of about PIECE_BYTES, with what ``_symbols`` says of them."""
-    data, offsets = byte_view(table["text"])
-    leads, last = table["lead"].to_pylist(), np.asarray(table["last"].to_pylist(), bool)
-    for lo, hi in groups(offsets, PIECE_BYTES):
-        yield lo, hi, _symbols(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], leads[lo:hi], last[lo:hi])
+def _texts(batches: list[pa.RecordBatch]) -> Iterator[tuple[int, int, tuple]]:
+    """Ranges of rows of about PIECE_BYTES, with what ``_symbols`` says of them; a batch at a time, so a block's text is not copied whole."""
+    done = 0
+    for batch in batches:
+        data, offsets = byte_view(batch["text"])
+        leads, last = batch["lead"].to_pylist(), np.asarray(batch["last"].to_pylist(), bool)
+        for lo, hi in groups(offsets, PIECE_BYTES):
+            yield done + lo, done + hi, _symbols(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], leads[lo:hi], last[lo:hi])
+        done += len(batch)
 
 
 def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,7 +144,7 @@ def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 block, found, counts = of[a], [], []
             part = batch.slice(a, b - a)
             trains = ~np.asarray(part["held_out"].to_pylist(), bool)
-            for lo, hi, (grams, bounds, hashes, first) in _texts(part):
+            for lo, hi, (grams, bounds, hashes, first) in _texts([part]):
                 for keys, own in ((grams, bounds), (hashes, first)):
                     learn = np.repeat(trains[lo:hi], np.diff(own))
                     for some, taught in ((keys[learn], 1), (keys[~learn], 0)):
@@ -162,6 +166,40 @@ def _merge(found: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return (keys[start], np.add.reduceat(n, start)) if len(keys) else (keys, n)
 
 
+def _squeezed(values: np.ndarray) -> bytes:
+    """Eight-byte values, their first bytes together, then their second: near values differ in few of them."""
+    return pa.compress(values.view(np.uint8).reshape(-1, 8).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def _restored(data: bytes, n: int, kind: type) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, 8 * n, codec="zstd"), np.uint8).reshape(8, -1).T.copy().view(kind).ravel()
+
+
+def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(block, n, keys, answers)``: for each block the answers to many of its keys in one row, of rows ``(key, value, blocks)``."""
+
+    def told() -> Iterator[pa.RecordBatch]:
+        keys, values, counts, blocks = (np.concatenate(x) for x in zip(*held))
+        pair = np.repeat(np.arange(len(keys)), counts)
+        order = np.lexsort((keys[pair], blocks))
+        pair, blocks = pair[order], blocks[order]
+        edges = [0, *(np.flatnonzero(np.diff(blocks)) + 1), len(blocks)] if len(blocks) else []
+        for a, b in zip(edges, edges[1:]):
+            own = pair[a:b]
+            first = np.diff(keys[own].view(np.uint64), prepend=np.uint64(0))
+            yield pa.RecordBatch.from_arrays([pa.array(blocks[a : a + 1]), pa.array([b - a], pa.int32()), pa.array([_squeezed(first)]), pa.array([_squeezed(values[own])])], names=["block", "n", "keys", "answers"])
+
+    held: list[tuple] = []
+    for batch in batches:
+        lists = batch.column(2)
+        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), pc.list_value_length(lists).to_numpy(), lists.flatten().to_numpy()))
+        if sum(len(x[3]) for x in held) > MERGE:
+            yield from told()
+            held = []
+    if held:
+        yield from told()
+
+
 def trie_scores(grams: DataFrame) -> DataFrame:
     """``(key, value)``: log10 probability of the last byte of each gram after its context, from ``grams(key, n)``.
 
@@ -218,18 +256,19 @@ def score(docs: DataFrame) -> DataFrame:
     grams, words_ = counts.select("key", "n").where("key >= 0"), counts.select("key", "n").where("key < 0")
     totals_of = words_.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
     answers = cut(trie_scores(grams).unionByName(words_.select("key", F.col("n").cast("double").alias("value"))), **SMALL)
-    answered = cut(answers.join(counts.select("key", "blocks"), "key"), **SMALL)
+    answered = answers.join(counts.select("key", F.array_distinct("blocks").alias("blocks")), "key").select("key", "value", "blocks")
+    answered = cut(answered.mapInArrow(pack, "block int, n int, keys binary, answers binary"))
     forget(counts, answers)
-    answered = answered.select("key", "value", F.explode(F.array_distinct("blocks")).alias("block"))
     train_tokens, types = int(totals_of.n) + learned_docs, int(totals_of.v) + int(learned_docs > 0)
 
     def add_up(key: tuple, table: pa.Table, answer: pa.Table) -> pa.Table:
-        index = pd.Index(answer["key"].combine_chunks().to_numpy(zero_copy_only=False))
-        values = answer["value"].combine_chunks().to_numpy(zero_copy_only=False)
+        parts = list(zip(*(answer[c].to_pylist() for c in ("n", "keys", "answers"))))
+        index = pd.Index(np.concatenate([np.cumsum(_restored(k, n, np.uint64), dtype=np.uint64).view(np.int64) for n, k, _ in parts]))
+        values = np.concatenate([_restored(v, n, np.float64) for n, _, v in parts])
         of = lambda keys: values[index.get_indexer(keys.view(np.int64))] if len(keys) else np.zeros(0)
         n, ends = table.num_rows, np.asarray(table["last"].to_pylist(), np.int64)
         tokens, seen, base, total = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
-        for lo, hi, (grams, bounds, hashes, first) in _texts(table):
+        for lo, hi, (grams, bounds, hashes, first) in _texts(table.to_batches()):
             total[lo:hi] = np.add.reduceat(of(grams), bounds[:-1])
             count, row = of(hashes), np.repeat(np.arange(hi - lo), np.diff(first))
             tokens[lo:hi] = np.diff(first) + ends[lo:hi]
