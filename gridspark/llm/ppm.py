@@ -20,7 +20,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +32,8 @@ BLOCK_BYTES = 32 << 20
 """Text in a block, about."""
 PIECE_BYTES = 1 << 20
 """Text that a task takes at a time; longer texts are cut into pieces of about this size, between words."""
+BUCKET_BYTES = 4 << 20
+"""Text for which there is one bucket of keys: at most so many keys of all blocks together meet in a task, about."""
 MERGE = 2_500_000
 """Keys that a task holds before it adds up equal ones."""
 SMALL = {"compression": "zstd", "parquet.writer.version": "v2"}
@@ -125,35 +126,70 @@ def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[start], np.diff(np.append(start, len(values)))
 
 
-def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(block, key, n)``: distinct grams and words of each block, and how often they stand in training rows. Rows of a block lie together."""
-    block, found, counts = None, [], []
+def _edges(values: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of equal values."""
+    cuts = [0, *(np.flatnonzero(np.diff(values)) + 1).tolist(), len(values)]
+    return list(zip(cuts, cuts[1:])) if len(values) else []
 
-    def told() -> Iterator[pa.RecordBatch]:
-        keys, n = _merge(found, counts)
-        for at in range(0, len(keys), 1 << 18):
-            own = keys[at : at + (1 << 18)].view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), block, np.int32)), pa.array(own), pa.array(n[at : at + (1 << 18)], pa.int64())], names=["block", "key", "n"])
 
-    for batch in batches:
-        of = batch["block"].to_numpy()
-        edges = [0, *(np.flatnonzero(np.diff(of)) + 1), len(of)]
-        for a, b in zip(edges, edges[1:]):
-            if a < b and of[a] != block:
-                yield from told()
-                block, found, counts = of[a], [], []
-            part = batch.slice(a, b - a)
-            trains = ~np.asarray(part["held_out"].to_pylist(), bool)
-            for lo, hi, (grams, bounds, hashes, first) in _texts([part]):
-                for keys, own in ((grams, bounds), (hashes, first)):
-                    learn = np.repeat(trains[lo:hi], np.diff(own))
-                    for some, taught in ((keys[learn], 1), (keys[~learn], 0)):
-                        seen, n = _distinct(some)
-                        found.append(seen)
-                        counts.append(n * taught)
-                if sum(map(len, found[1:])) > MERGE:
-                    found, counts = ([x] for x in _merge(found, counts))
-    yield from told()
+def asker(buckets: int):
+    """For ``mapInArrow``: distinct grams and words of each block, and how often they stand in training rows, as rows ``(bucket, block, n, keys, counts)``.
+
+    A bucket holds the keys with one remainder by ``buckets``. Rows of a block lie together. Keys go packed, many to a row.
+    """
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, found, counts = None, [], []
+
+        def told() -> Iterator[pa.RecordBatch]:
+            keys, n = _merge(found, counts)
+            bucket = keys.view(np.int64) % buckets
+            order = np.argsort(bucket, kind="stable")
+            keys, n, bucket = keys[order], n[order], bucket[order]
+            rows = [(bucket[a], block, b - a, _squeezed(np.diff(keys[a:b], prepend=np.uint64(0))), _squeezed(n[a:b])) for a, b in _edges(bucket)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "block", "n", "keys", "counts"])
+
+        for batch in batches:
+            of = batch["block"].to_numpy()
+            for a, b in _edges(of):
+                if of[a] != block:
+                    yield from told()
+                    block, found, counts = of[a], [], []
+                part = batch.slice(a, b - a)
+                trains = ~np.asarray(part["held_out"].to_pylist(), bool)
+                for lo, hi, (grams, bounds, hashes, first) in _texts([part]):
+                    for keys, own in ((grams, bounds), (hashes, first)):
+                        learn = np.repeat(trains[lo:hi], np.diff(own))
+                        for some, taught in ((keys[learn], 1), (keys[~learn], 0)):
+                            seen, n = _distinct(some)
+                            found.append(seen)
+                            counts.append(n * taught)
+                    if sum(map(len, found[1:])) > MERGE:
+                        found, counts = ([x] for x in _merge(found, counts))
+        yield from told()
+
+    return apply
+
+
+def _keys(data: bytes, n: int) -> np.ndarray:
+    return np.cumsum(_restored(data, n, np.uint64), dtype=np.uint64)
+
+
+def unite(asked: pa.Table) -> pa.Table:
+    """``(key, n)`` of one bucket, over all blocks."""
+    rows = list(zip(*(asked[c].to_pylist() for c in ("n", "keys", "counts"))))
+    keys, n = _merge([_keys(k, m) for m, k, _ in rows], [_restored(c, m, np.int64) for m, _, c in rows])
+    return pa.table({"key": keys.view(np.int64), "n": pa.array(n, pa.int64())})
+
+
+def reply(asked: pa.Table, answers: pa.Table) -> pa.Table:
+    """``(block, n, keys, answers)``: what each block asked of one bucket, with its answers."""
+    known = answers["key"].combine_chunks().to_numpy(zero_copy_only=False).view(np.uint64)
+    order = np.argsort(known)
+    known, values = known[order], answers["value"].combine_chunks().to_numpy(zero_copy_only=False)[order]
+    told = [_squeezed(values[np.searchsorted(known, _keys(k, m))]) for m, k in zip(asked["n"].to_pylist(), asked["keys"].to_pylist())]
+    return pa.table({"block": asked["block"], "n": asked["n"], "keys": asked["keys"], "answers": pa.array(told, pa.binary())})
 
 
 def _merge(found: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -175,29 +211,12 @@ def _restored(data: bytes, n: int, kind: type) -> np.ndarray:
     return np.frombuffer(pa.decompress(data, 8 * n, codec="zstd"), np.uint8).reshape(8, -1).T.copy().view(kind).ravel()
 
 
-def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(block, n, keys, answers)``: for each block the answers to many of its keys in one row, of rows ``(key, value, blocks)``."""
-
-    def told() -> Iterator[pa.RecordBatch]:
-        keys, values, counts, blocks = (np.concatenate(x) for x in zip(*held))
-        pair = np.repeat(np.arange(len(keys)), counts)
-        order = np.lexsort((keys[pair], blocks))
-        pair, blocks = pair[order], blocks[order]
-        edges = [0, *(np.flatnonzero(np.diff(blocks)) + 1), len(blocks)] if len(blocks) else []
-        for a, b in zip(edges, edges[1:]):
-            own = pair[a:b]
-            first = np.diff(keys[own].view(np.uint64), prepend=np.uint64(0))
-            yield pa.RecordBatch.from_arrays([pa.array(blocks[a : a + 1]), pa.array([b - a], pa.int32()), pa.array([_squeezed(first)]), pa.array([_squeezed(values[own])])], names=["block", "n", "keys", "answers"])
-
-    held: list[tuple] = []
-    for batch in batches:
-        lists = batch.column(2)
-        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), pc.list_value_length(lists).to_numpy(), lists.flatten().to_numpy()))
-        if sum(len(x[3]) for x in held) > MERGE:
-            yield from told()
-            held = []
-    if held:
-        yield from told()
+def _prime(least: int) -> int:
+    """An odd number from ``least`` up without a divisor, so remainders of packed bytes spread evenly."""
+    n = max(least, 2) | 1
+    while any(n % k == 0 for k in range(3, math.isqrt(n) + 1, 2)):
+        n += 2
+    return n
 
 
 def trie_scores(grams: DataFrame) -> DataFrame:
@@ -250,20 +269,23 @@ def score(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", held_out().alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     # rows are numbered and dealt once, and read again from these files; a file is a block
     texts = cut(pieces(texts).repartition(n_blocks, F.xxhash64("row", "lead")).withColumn("block", F.spark_partition_id()), compression="zstd")
-    # each key goes with the blocks that ask for it: the asking rows are shuffled once and never written
-    asked = texts.select("block", "held_out", "lead", "last", "text").mapInArrow(ask, "block int, key long, n long")
-    counts = cut(asked.groupBy("key").agg(F.sum("n").alias("n"), F.collect_list("block").alias("blocks")), **SMALL)
-    grams, words_ = counts.select("key", "n").where("key >= 0"), counts.select("key", "n").where("key < 0")
+    # keys go packed by bucket, so few rows are shuffled for many keys
+    buckets = _prime(size.bytes // BUCKET_BYTES)
+    asked = texts.select("block", "held_out", "lead", "last", "text").mapInArrow(asker(buckets), "bucket long, block int, n int, keys binary, counts binary")
+    asked = cut(asked)
+    counts = cut(asked.groupBy("bucket").applyInArrow(unite, "key long, n long"), **SMALL)
+    grams, words_ = counts.where("key >= 0"), counts.where("key < 0")
     totals_of = words_.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
-    answers = cut(trie_scores(grams).unionByName(words_.select("key", F.col("n").cast("double").alias("value"))), **SMALL)
-    answered = answers.join(counts.select("key", F.array_distinct("blocks").alias("blocks")), "key").select("key", "value", "blocks")
-    answered = cut(answered.mapInArrow(pack, "block int, n int, keys binary, answers binary"))
-    forget(counts, answers)
+    answers = trie_scores(grams).unionByName(words_.select("key", F.col("n").cast("double").alias("value")))
+    answers = answers.select(F.pmod("key", F.lit(buckets)).alias("bucket"), "key", "value")
+    answered = asked.select("bucket", "block", "n", "keys").groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(reply, "block int, n int, keys binary, answers binary")
+    answered = cut(answered)
+    forget(counts, asked)
     train_tokens, types = int(totals_of.n) + learned_docs, int(totals_of.v) + int(learned_docs > 0)
 
     def add_up(key: tuple, table: pa.Table, answer: pa.Table) -> pa.Table:
         parts = list(zip(*(answer[c].to_pylist() for c in ("n", "keys", "answers"))))
-        index = pd.Index(np.concatenate([np.cumsum(_restored(k, n, np.uint64), dtype=np.uint64).view(np.int64) for n, k, _ in parts]))
+        index = pd.Index(np.concatenate([_keys(k, n).view(np.int64) for n, k, _ in parts]))
         values = np.concatenate([_restored(v, n, np.float64) for n, _, v in parts])
         of = lambda keys: values[index.get_indexer(keys.view(np.int64))] if len(keys) else np.zeros(0)
         n, ends = table.num_rows, np.asarray(table["last"].to_pylist(), np.int64)
