@@ -76,6 +76,25 @@ def pieces(docs: DataFrame) -> DataFrame:
     return whole.unionByName(docs.where(long).select("row", "doc_id", "held_out", "text").mapInArrow(apply, "row long, doc_id long, held_out boolean, lead binary, last boolean, text string"))
 
 
+def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(block, data)``: about PIECE_BYTES of rows of a block to a row, compressed, so texts take little of a shuffle."""
+    for batch in batches:
+        _, offsets = byte_view(batch["text"])
+        block = batch["block"].to_numpy()
+        for a, b in _edges(block):
+            for lo, hi in groups(offsets[a : b + 1] - offsets[a], PIECE_BYTES):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                    writer.write_batch(batch.slice(a + lo, hi - lo))
+                yield pa.RecordBatch.from_arrays([pa.array([block[a]], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "data"])
+
+
+def _rows(bundles: pa.Array | pa.ChunkedArray) -> Iterator[pa.RecordBatch]:
+    """The rows of bundles, one bundle at a time."""
+    for data in bundles:
+        yield from pa.ipc.open_stream(pa.py_buffer(data.as_py()))
+
+
 def _symbols(data: np.ndarray, offsets: np.ndarray, leads: list[bytes], last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Grams that end at each symbol of each piece, bounds of pieces in them, word hashes and bounds of pieces in those."""
     n, length = len(leads), np.diff(offsets)
@@ -108,15 +127,12 @@ def _symbols(data: np.ndarray, offsets: np.ndarray, leads: list[bytes], last: np
     return grams[~before[keep]], np.concatenate(([0], np.cumsum(size))), hashes, first
 
 
-def _texts(batches: list[pa.RecordBatch]) -> Iterator[tuple[int, int, tuple]]:
-    """Ranges of rows of about PIECE_BYTES, with what ``_symbols`` says of them; a batch at a time, so a block's text is not copied whole."""
-    done = 0
-    for batch in batches:
-        data, offsets = byte_view(batch["text"])
-        leads, last = batch["lead"].to_pylist(), np.asarray(batch["last"].to_pylist(), bool)
-        for lo, hi in groups(offsets, PIECE_BYTES):
-            yield done + lo, done + hi, _symbols(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], leads[lo:hi], last[lo:hi])
-        done += len(batch)
+def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, tuple]]:
+    """Ranges of rows of about PIECE_BYTES, with what ``_symbols`` says of them."""
+    data, offsets = byte_view(batch["text"])
+    leads, last = batch["lead"].to_pylist(), np.asarray(batch["last"].to_pylist(), bool)
+    for lo, hi in groups(offsets, PIECE_BYTES):
+        yield lo, hi, _symbols(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], leads[lo:hi], last[lo:hi])
 
 
 def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -150,23 +166,22 @@ def asker(buckets: int):
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "block", "n", "keys", "counts"])
 
-        for batch in batches:
-            of = batch["block"].to_numpy()
-            for a, b in _edges(of):
-                if of[a] != block:
+        for bundles in batches:
+            for of, data in zip(bundles["block"].to_pylist(), bundles["data"]):
+                if of != block:
                     yield from told()
-                    block, found, counts = of[a], [], []
-                part = batch.slice(a, b - a)
-                trains = ~np.asarray(part["held_out"].to_pylist(), bool)
-                for lo, hi, (grams, bounds, hashes, first) in _texts([part]):
-                    for keys, own in ((grams, bounds), (hashes, first)):
-                        learn = np.repeat(trains[lo:hi], np.diff(own))
-                        for some, taught in ((keys[learn], 1), (keys[~learn], 0)):
-                            seen, n = _distinct(some)
-                            found.append(seen)
-                            counts.append(n * taught)
-                    if sum(map(len, found[1:])) > MERGE:
-                        found, counts = ([x] for x in _merge(found, counts))
+                    block, found, counts = of, [], []
+                for part in _rows([data]):
+                    trains = ~np.asarray(part["held_out"].to_pylist(), bool)
+                    for lo, hi, (grams, bounds, hashes, first) in _texts(part):
+                        for keys, own in ((grams, bounds), (hashes, first)):
+                            learn = np.repeat(trains[lo:hi], np.diff(own))
+                            for some, taught in ((keys[learn], 1), (keys[~learn], 0)):
+                                seen, n = _distinct(some)
+                                found.append(seen)
+                                counts.append(n * taught)
+                if sum(map(len, found[1:])) > MERGE:
+                    found, counts = ([x] for x in _merge(found, counts))
         yield from told()
 
     return apply
@@ -268,19 +283,21 @@ def score(docs: DataFrame) -> DataFrame:
     learned_docs = int(size.docs)
     texts = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", held_out().alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     # rows are numbered and dealt once, and read again from these files; a file is a block
-    texts = cut(pieces(texts).repartition(n_blocks, F.xxhash64("row", "lead")).withColumn("block", F.spark_partition_id()), compression="zstd")
+    dealt = pieces(texts).repartition(n_blocks, F.xxhash64("row", "lead")).withColumn("block", F.spark_partition_id())
+    texts = cut(dealt.mapInArrow(bundle, "block int, data binary"))
     # keys go packed by bucket, so few rows are shuffled for many keys
     buckets = _prime(size.bytes // BUCKET_BYTES)
-    asked = texts.select("block", "held_out", "lead", "last", "text").mapInArrow(asker(buckets), "bucket long, block int, n int, keys binary, counts binary")
+    asked = texts.mapInArrow(asker(buckets), "bucket long, block int, n int, keys binary, counts binary")
     asked = cut(asked)
     counts = cut(asked.groupBy("bucket").applyInArrow(unite, "key long, n long"), **SMALL)
     grams, words_ = counts.where("key >= 0"), counts.where("key < 0")
     totals_of = words_.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
     answers = trie_scores(grams).unionByName(words_.select("key", F.col("n").cast("double").alias("value")))
-    answers = answers.select(F.pmod("key", F.lit(buckets)).alias("bucket"), "key", "value")
-    answered = asked.select("bucket", "block", "n", "keys").groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(reply, "block int, n int, keys binary, answers binary")
+    told = cut(answers.select(F.pmod("key", F.lit(buckets)).alias("bucket"), "key", "value"), **SMALL)
+    forget(answers)  # with what the trie left
+    answered = asked.select("bucket", "block", "n", "keys").groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(reply, "block int, n int, keys binary, answers binary")
     answered = cut(answered)
-    forget(counts, asked)
+    forget(told, asked)
     train_tokens, types = int(totals_of.n) + learned_docs, int(totals_of.v) + int(learned_docs > 0)
 
     def add_up(key: tuple, table: pa.Table, answer: pa.Table) -> pa.Table:
@@ -288,15 +305,18 @@ def score(docs: DataFrame) -> DataFrame:
         index = pd.Index(np.concatenate([_keys(k, n).view(np.int64) for n, k, _ in parts]))
         values = np.concatenate([_restored(v, n, np.float64) for n, _, v in parts])
         of = lambda keys: values[index.get_indexer(keys.view(np.int64))] if len(keys) else np.zeros(0)
-        n, ends = table.num_rows, np.asarray(table["last"].to_pylist(), np.int64)
-        tokens, seen, base, total = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
-        for lo, hi, (grams, bounds, hashes, first) in _texts(table.to_batches()):
-            total[lo:hi] = np.add.reduceat(of(grams), bounds[:-1])
-            count, row = of(hashes), np.repeat(np.arange(hi - lo), np.diff(first))
-            tokens[lo:hi] = np.diff(first) + ends[lo:hi]
-            seen[lo:hi] = np.bincount(row, count > 0, hi - lo).astype(np.int64) + ends[lo:hi] * (learned_docs > 0)
-            base[lo:hi] = np.bincount(row, np.log10(count + 1), hi - lo) + ends[lo:hi] * np.log10(learned_docs + 1)
-        return pa.table({"row": table["row"], "doc_id": table["doc_id"], "held_out": table["held_out"], "n_tokens": tokens, "n_known": seen, "logs": base, "score": total})
+        out = []
+        for part in _rows(table["data"]):
+            n, ends = len(part), np.asarray(part["last"].to_pylist(), np.int64)
+            tokens, seen, base, total = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
+            for lo, hi, (grams, bounds, hashes, first) in _texts(part):
+                total[lo:hi] = np.add.reduceat(of(grams), bounds[:-1])
+                count, row = of(hashes), np.repeat(np.arange(hi - lo), np.diff(first))
+                tokens[lo:hi] = np.diff(first) + ends[lo:hi]
+                seen[lo:hi] = np.bincount(row, count > 0, hi - lo).astype(np.int64) + ends[lo:hi] * (learned_docs > 0)
+                base[lo:hi] = np.bincount(row, np.log10(count + 1), hi - lo) + ends[lo:hi] * np.log10(learned_docs + 1)
+            out.append(pa.RecordBatch.from_arrays([part["row"], part["doc_id"], part["held_out"], *map(pa.array, (tokens, seen, base, total))], names=["row", "doc_id", "held_out", "n_tokens", "n_known", "logs", "score"]))
+        return pa.Table.from_batches(out)
 
     parts = texts.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(add_up, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double")
     sums = parts.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "logs", "score")))
