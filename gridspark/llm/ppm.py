@@ -142,6 +142,20 @@ def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[start], np.diff(np.append(start, len(values)))
 
 
+def _coded(values: np.ndarray) -> bytes:
+    """Values as places in the list of distinct ones, since most answers are one of few."""
+    distinct, code = np.unique(values, return_inverse=True)
+    body = distinct.tobytes() + code.astype(np.uint16 if len(distinct) <= 1 << 16 else np.uint32).tobytes()
+    return np.int64(len(distinct)).tobytes() + pa.compress(body, codec="zstd", asbytes=True)
+
+
+def _decoded(data: bytes, n: int) -> np.ndarray:
+    size = int(np.frombuffer(data, np.int64, 1)[0])
+    kind = np.uint16 if size <= 1 << 16 else np.uint32
+    body = pa.decompress(data[8:], 8 * size + n * np.dtype(kind).itemsize, codec="zstd")
+    return np.frombuffer(body, np.float64, size)[np.frombuffer(body, kind, n, 8 * size)]
+
+
 def _edges(values: np.ndarray) -> list[tuple[int, int]]:
     """Runs of equal values."""
     cuts = [0, *(np.flatnonzero(np.diff(values)) + 1).tolist(), len(values)]
@@ -203,7 +217,7 @@ def reply(asked: pa.Table, answers: pa.Table) -> pa.Table:
     known = answers["key"].combine_chunks().to_numpy(zero_copy_only=False).view(np.uint64)
     order = np.argsort(known)
     known, values = known[order], answers["value"].combine_chunks().to_numpy(zero_copy_only=False)[order]
-    told = [_squeezed(values[np.searchsorted(known, _keys(k, m))]) for m, k in zip(asked["n"].to_pylist(), asked["keys"].to_pylist())]
+    told = [_coded(values[np.searchsorted(known, _keys(k, m))]) for m, k in zip(asked["n"].to_pylist(), asked["keys"].to_pylist())]
     return pa.table({"block": asked["block"], "n": asked["n"], "keys": asked["keys"], "answers": pa.array(told, pa.binary())})
 
 
@@ -282,9 +296,9 @@ def score(docs: DataFrame) -> DataFrame:
     n_blocks = max(1, -(-size.bytes // BLOCK_BYTES))
     learned_docs = int(size.docs)
     texts = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", held_out().alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    # rows are numbered and dealt once, and read again from these files; a file is a block
-    dealt = pieces(texts).repartition(n_blocks, F.xxhash64("row", "lead")).withColumn("block", F.spark_partition_id())
-    texts = cut(dealt.mapInArrow(bundle, "block int, data binary"))
+    # rows are numbered and dealt once, and read again from these files; in them the rows of a block lie together
+    dealt = pieces(texts).withColumn("block", F.pmod(F.xxhash64("row", "lead"), F.lit(n_blocks)).cast("int"))
+    texts = cut(dealt.repartition(n_blocks, "block").sortWithinPartitions("block").mapInArrow(bundle, "block int, data binary"))
     # keys go packed by bucket, so few rows are shuffled for many keys
     buckets = _prime(size.bytes // BUCKET_BYTES)
     asked = texts.mapInArrow(asker(buckets), "bucket long, block int, n int, keys binary, counts binary")
@@ -303,7 +317,7 @@ def score(docs: DataFrame) -> DataFrame:
     def add_up(key: tuple, table: pa.Table, answer: pa.Table) -> pa.Table:
         parts = list(zip(*(answer[c].to_pylist() for c in ("n", "keys", "answers"))))
         index = pd.Index(np.concatenate([_keys(k, n).view(np.int64) for n, k, _ in parts]))
-        values = np.concatenate([_restored(v, n, np.float64) for n, _, v in parts])
+        values = np.concatenate([_decoded(v, n) for n, _, v in parts])
         of = lambda keys: values[index.get_indexer(keys.view(np.int64))] if len(keys) else np.zeros(0)
         out = []
         for part in _rows(table["data"]):
