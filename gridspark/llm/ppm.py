@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,11 +31,11 @@ ORDER = 6
 """Bytes of context."""
 BLOCK_BYTES = 32 << 20
 """Text in a block, about."""
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 """Text that a task takes at a time; longer texts are cut into pieces of about this size, between words."""
 BUCKET_BYTES = 4 << 20
 """Text for which there is one bucket of keys: at most so many keys of all blocks together meet in a task, about."""
-MERGE = 2_500_000
+MERGE = 1_250_000
 """Keys that a task holds before it adds up equal ones."""
 SMALL = {"compression": "zstd", "parquet.writer.version": "v2"}
 """Files between steps: sorted keys as differences."""
@@ -79,10 +80,10 @@ def pieces(docs: DataFrame) -> DataFrame:
 def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``(block, data)``: about PIECE_BYTES of rows of a block to a row, compressed, so texts take little of a shuffle."""
     for batch in batches:
-        _, offsets = byte_view(batch["text"])
+        size = pc.binary_length(batch["text"]).to_numpy(zero_copy_only=False)
         block = batch["block"].to_numpy()
         for a, b in _edges(block):
-            for lo, hi in groups(offsets[a : b + 1] - offsets[a], PIECE_BYTES):
+            for lo, hi in groups(np.concatenate(([0], np.cumsum(size[a:b], dtype=np.int64))), PIECE_BYTES):
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
                     writer.write_batch(batch.slice(a + lo, hi - lo))
