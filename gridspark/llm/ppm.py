@@ -80,6 +80,8 @@ def pieces(docs: DataFrame) -> DataFrame:
 def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``(block, data)``: about PIECE_BYTES of rows of a block to a row, compressed, so texts take little of a shuffle."""
     for batch in batches:
+        order = np.argsort(batch["block"].to_numpy(), kind="stable")
+        batch = batch.take(pa.array(order))
         size = pc.binary_length(batch["text"]).to_numpy(zero_copy_only=False)
         block = batch["block"].to_numpy()
         for a, b in _edges(block):
@@ -166,14 +168,15 @@ def _edges(values: np.ndarray) -> list[tuple[int, int]]:
 def asker(buckets: int):
     """For ``mapInArrow``: distinct grams and words of each block, and how often they stand in training rows, as rows ``(bucket, block, n, keys, counts)``.
 
-    A bucket holds the keys with one remainder by ``buckets``. Rows of a block lie together. Keys go packed, many to a row.
+    A bucket holds the keys with one remainder by ``buckets``. Keys go packed, many to a row. A file has few blocks, whose keys a task holds beside each other.
     """
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, found, counts = None, [], []
+        found: dict[int, list[np.ndarray]] = {}
+        counts: dict[int, list[np.ndarray]] = {}
 
-        def told() -> Iterator[pa.RecordBatch]:
-            keys, n = _merge(found, counts)
+        def told(block: int) -> Iterator[pa.RecordBatch]:
+            keys, n = _merge(found.pop(block), counts.pop(block))
             bucket = keys.view(np.int64) % buckets
             order = np.argsort(bucket, kind="stable")
             keys, n, bucket = keys[order], n[order], bucket[order]
@@ -182,10 +185,8 @@ def asker(buckets: int):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "block", "n", "keys", "counts"])
 
         for bundles in batches:
-            for of, data in zip(bundles["block"].to_pylist(), bundles["data"]):
-                if of != block:
-                    yield from told()
-                    block, found, counts = of, [], []
+            for block, data in zip(bundles["block"].to_pylist(), bundles["data"]):
+                keys_of, counts_of = found.setdefault(block, []), counts.setdefault(block, [])
                 for part in _rows([data]):
                     trains = ~np.asarray(part["held_out"].to_pylist(), bool)
                     for lo, hi, (grams, bounds, hashes, first) in _texts(part):
@@ -193,11 +194,12 @@ def asker(buckets: int):
                             learn = np.repeat(trains[lo:hi], np.diff(own))
                             for some, taught in ((keys[learn], 1), (keys[~learn], 0)):
                                 seen, n = _distinct(some)
-                                found.append(seen)
-                                counts.append(n * taught)
-                if sum(map(len, found[1:])) > MERGE:
-                    found, counts = ([x] for x in _merge(found, counts))
-        yield from told()
+                                keys_of.append(seen)
+                                counts_of.append(n * taught)
+                if sum(map(len, keys_of[1:])) > MERGE:
+                    found[block], counts[block] = ([x] for x in _merge(keys_of, counts_of))
+        for block in list(found):
+            yield from told(block)
 
     return apply
 
@@ -297,9 +299,9 @@ def score(docs: DataFrame) -> DataFrame:
     n_blocks = max(1, -(-size.bytes // BLOCK_BYTES))
     learned_docs = int(size.docs)
     texts = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", held_out().alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    # rows are numbered and dealt once, and read again from these files; in them the rows of a block lie together
+    # rows are numbered and dealt once, and read again from these files; a file holds whole blocks
     dealt = pieces(texts).withColumn("block", F.pmod(F.xxhash64("row", "lead"), F.lit(n_blocks)).cast("int"))
-    texts = cut(dealt.repartition(n_blocks, "block").sortWithinPartitions("block").mapInArrow(bundle, "block int, data binary"))
+    texts = cut(dealt.repartition(n_blocks, "block").mapInArrow(bundle, "block int, data binary"))
     # keys go packed by bucket, so few rows are shuffled for many keys
     buckets = _prime(size.bytes // BUCKET_BYTES)
     asked = texts.mapInArrow(asker(buckets), "bucket long, block int, n int, keys binary, counts binary")
@@ -319,6 +321,9 @@ def score(docs: DataFrame) -> DataFrame:
         parts = list(zip(*(answer[c].to_pylist() for c in ("n", "keys", "answers"))))
         index = pd.Index(np.concatenate([_keys(k, n).view(np.int64) for n, k, _ in parts]))
         values = np.concatenate([_decoded(v, n) for n, _, v in parts])
+        if not index.is_unique:  # a block that two tasks read has asked twice
+            once = ~index.duplicated()
+            index, values = index[once], values[once]
         of = lambda keys: values[index.get_indexer(keys.view(np.int64))] if len(keys) else np.zeros(0)
         out = []
         for part in _rows(table["data"]):
