@@ -13,6 +13,7 @@ of its distinct byte strings and words, and the answers go back to it, packed, s
 
 from __future__ import annotations
 
+import ctypes
 import math
 import re
 from collections.abc import Iterator
@@ -138,6 +139,14 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, tuple]]:
         yield lo, hi, _symbols(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], leads[lo:hi], last[lo:hi])
 
 
+def _give_back() -> None:
+    """Return freed memory to the machine: a Python worker lives on after its task and would keep it from the next stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct values and how often each occurs."""
     values = np.sort(values)
@@ -200,6 +209,7 @@ def asker(buckets: int):
                     found[block], counts[block] = ([x] for x in _merge(keys_of, counts_of))
         for block in list(found):
             yield from told(block)
+        _give_back()
 
     return apply
 
@@ -212,6 +222,7 @@ def unite(asked: pa.Table) -> pa.Table:
     """``(key, n)`` of one bucket, over all blocks."""
     rows = list(zip(*(asked[c].to_pylist() for c in ("n", "keys", "counts"))))
     keys, n = _merge([_keys(k, m) for m, k, _ in rows], [_restored(c, m, np.int64) for m, _, c in rows])
+    _give_back()
     return pa.table({"key": keys.view(np.int64), "n": pa.array(n, pa.int64())})
 
 
@@ -336,6 +347,8 @@ def score(docs: DataFrame) -> DataFrame:
                 seen[lo:hi] = np.bincount(row, count > 0, hi - lo).astype(np.int64) + ends[lo:hi] * (learned_docs > 0)
                 base[lo:hi] = np.bincount(row, np.log10(count + 1), hi - lo) + ends[lo:hi] * np.log10(learned_docs + 1)
             out.append(pa.RecordBatch.from_arrays([part["row"], part["doc_id"], part["held_out"], *map(pa.array, (tokens, seen, base, total))], names=["row", "doc_id", "held_out", "n_tokens", "n_known", "logs", "score"]))
+        index = values = None
+        _give_back()
         return pa.Table.from_batches(out)
 
     parts = texts.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(add_up, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double")
