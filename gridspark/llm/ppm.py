@@ -40,6 +40,8 @@ MERGE = 1_250_000
 """Keys that a task holds before it adds up equal ones."""
 SMALL = {"compression": "zstd", "parquet.writer.version": "v2"}
 """Files between steps: sorted keys as differences."""
+BUNDLES = {"compression": "none", "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "parquet.enable.dictionary": "false"}
+"""Files of large packed rows: compressed already, and a page must not wait for a hundred of them."""
 _END = np.uint8(10)
 _WORD = np.uint64(1) << np.uint64(63)
 _GAP = re.compile(rb"[\x20\x09-\x0D]+")
@@ -312,7 +314,7 @@ def score(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", held_out().alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     # rows are numbered and dealt once, and read again from these files; a file holds whole blocks
     dealt = pieces(texts).withColumn("block", F.pmod(F.xxhash64("row", "lead"), F.lit(n_blocks)).cast("int"))
-    texts = cut(dealt.repartition(n_blocks, "block").mapInArrow(bundle, "block int, data binary"))
+    texts = cut(dealt.repartition(n_blocks, "block").mapInArrow(bundle, "block int, data binary"), **BUNDLES)
     # keys go packed by bucket, so few rows are shuffled for many keys
     buckets = _prime(size.bytes // BUCKET_BYTES)
     asked = texts.mapInArrow(asker(buckets), "bucket long, block int, n int, keys binary, counts binary")
