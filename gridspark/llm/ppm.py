@@ -17,9 +17,9 @@ import ctypes
 import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -36,8 +36,10 @@ PIECE_BYTES = 1 << 19
 """Text that a task takes at a time; longer texts are cut into pieces of about this size, between words."""
 BUCKET_BYTES = 4 << 20
 """Text for which there is one bucket of keys: at most so many keys of all blocks together meet in a task, about."""
+WAVES = 3
+"""Parts in which keys are answered and texts scored: the shuffle files of one go before the next, so disk holds a third of them."""
 MERGE = 1_250_000
-"""Keys that a task holds before it adds up equal ones."""
+"""Keys that a task gathers before it adds up equal ones and closes a run of them."""
 SMALL = {"compression": "zstd", "parquet.writer.version": "v2"}
 """Files between steps: sorted keys as differences."""
 BUNDLES = {"compression": "none", "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "parquet.enable.dictionary": "false"}
@@ -183,21 +185,10 @@ def asker(buckets: int):
     """
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, list[np.ndarray]] = {}
-        counts: dict[int, list[np.ndarray]] = {}
-
-        def told(block: int) -> Iterator[pa.RecordBatch]:
-            keys, n = _merge(found.pop(block), counts.pop(block))
-            bucket = keys.view(np.int64) % buckets
-            order = np.argsort(bucket, kind="stable")
-            keys, n, bucket = keys[order], n[order], bucket[order]
-            rows = [(bucket[a], block, b - a, _squeezed(np.diff(keys[a:b], prepend=np.uint64(0))), _squeezed(n[a:b])) for a, b in _edges(bucket)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "block", "n", "keys", "counts"])
-
+        found: dict[int, _Asked] = {}
         for bundles in batches:
             for block, data in zip(bundles["block"].to_pylist(), bundles["data"]):
-                keys_of, counts_of = found.setdefault(block, []), counts.setdefault(block, [])
+                asked = found.setdefault(block, _Asked(buckets))
                 for part in _rows([data]):
                     trains = ~np.asarray(part["held_out"].to_pylist(), bool)
                     for lo, hi, (grams, bounds, hashes, first) in _texts(part):
@@ -205,17 +196,51 @@ def asker(buckets: int):
                             learn = np.repeat(trains[lo:hi], np.diff(own))
                             for some, taught in ((keys[learn], 1), (keys[~learn], 0)):
                                 seen, n = _distinct(some)
-                                keys_of.append(seen)
-                                counts_of.append(n * taught)
-                if sum(map(len, keys_of[1:])) > MERGE:
-                    found[block], counts[block] = ([x] for x in _merge(keys_of, counts_of))
+                                asked.add(seen, n * taught)
         for block in list(found):
-            yield from told(block)
+            yield from found.pop(block).rows(block)
         _give_back()
 
     return apply
 
 
+class _Asked:
+    """Keys of a block with their counts: runs in order of buckets, put together a range of buckets at a time."""
+
+    def __init__(self, buckets: int):
+        self.buckets, self.ranges = buckets, [buckets * i // 32 for i in range(33)]
+        self.keys: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
+        self.runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, keys: np.ndarray, n: np.ndarray) -> None:
+        self.keys.append(keys)
+        self.counts.append(n)
+        if sum(map(len, self.keys)) > MERGE:
+            self._close()
+
+    def _close(self) -> None:
+        keys, n, bucket = self._sorted(self.keys, self.counts)
+        self.keys, self.counts = [], []
+        self.runs.append((keys, n if n.max(initial=0) >> 32 else n.astype(np.uint32), np.searchsorted(bucket, self.ranges)))
+
+    def _sorted(self, keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct keys, in order of buckets and in each of keys; counts; buckets."""
+        merged, n = _merge(keys, counts)
+        bucket = merged.view(np.int64) % self.buckets
+        order = np.argsort(bucket, kind="stable")
+        return merged[order], n[order], bucket[order]
+
+    def rows(self, block: int) -> Iterator[pa.RecordBatch]:
+        self._close()
+        for i in range(32):
+            parts = [(keys[at[i] : at[i + 1]], n[at[i] : at[i + 1]]) for keys, n, at in self.runs]
+            keys, n, bucket = self._sorted(*map(list, zip(*parts)))
+            made = [(bucket[a], block, b - a, _squeezed(np.diff(keys[a:b], prepend=np.uint64(0))), _squeezed(n[a:b])) for a, b in _edges(bucket)]
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "block", "n", "keys", "counts"])
+
+
 def _keys(data: bytes, n: int) -> np.ndarray:
     return np.cumsum(_restored(data, n, np.uint64), dtype=np.uint64)
 
@@ -237,6 +262,49 @@ def reply(asked: pa.Table, answers: pa.Table) -> pa.Table:
     return pa.table({"block": asked["block"], "n": asked["n"], "keys": asked["keys"], "answers": pa.array(told, pa.binary())})
 
 
+def _shelf(keys: np.ndarray) -> np.ndarray:
+    """One of 256 shelves for each key."""
+    return (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)).astype(np.uint8)
+
+
+class _Told:
+    """Answers that a block got, looked up by key, in 16 bytes a key: shelves of sorted keys, filled in place."""
+
+    def __init__(self, rows: pa.Table):
+        packed = [(n, keys.as_buffer(), answers.as_buffer()) for n, keys, answers in zip(rows["n"].to_pylist(), rows["keys"], rows["answers"])]
+        size = np.zeros(256, np.int64)
+        for n, keys, _ in packed:
+            size += np.bincount(_shelf(_keys(keys, n)), minlength=256)
+        self.bounds = np.concatenate(([0], np.cumsum(size)))
+        self.keys, self.values = np.empty(self.bounds[-1], np.uint64), np.empty(self.bounds[-1])
+        free = self.bounds[:-1].copy()
+        for n, keys, answers in packed:
+            some, value = _keys(keys, n), _decoded(answers, n)
+            for shelf, places in _by_shelf(some):
+                to = slice(free[shelf], free[shelf] + len(places))
+                self.keys[to], self.values[to] = some[places], value[places]
+                free[shelf] = to.stop
+        for a, b in zip(self.bounds, self.bounds[1:]):  # a block that two tasks read has asked twice: equal keys have equal answers
+            order = np.argsort(self.keys[a:b], kind="stable")
+            self.keys[a:b], self.values[a:b] = self.keys[a:b][order], self.values[a:b][order]
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """The answer to each of ``keys``, which the block has asked for."""
+        out = np.empty(len(keys))
+        for shelf, places in _by_shelf(keys):
+            a, b = self.bounds[shelf], self.bounds[shelf + 1]
+            out[places] = self.values[a + np.searchsorted(self.keys[a:b], keys[places])]
+        return out
+
+
+def _by_shelf(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Shelves that occur, and where their keys stand."""
+    shelf = _shelf(keys)
+    order = np.argsort(shelf, kind="stable")
+    for a, b in _edges(shelf[order]):
+        yield int(shelf[order[a]]), order[a:b]
+
+
 def _merge(found: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     if not found:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -244,7 +312,7 @@ def _merge(found: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     order = np.argsort(keys, kind="stable")
     keys, n = keys[order], n[order]
     start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    return (keys[start], np.add.reduceat(n, start)) if len(keys) else (keys, n)
+    return (keys[start], np.add.reduceat(n, start, dtype=np.int64)) if len(keys) else (keys, n.astype(np.int64))
 
 
 def _squeezed(values: np.ndarray) -> bytes:
@@ -256,6 +324,12 @@ def _restored(data: bytes, n: int, kind: type) -> np.ndarray:
     return np.frombuffer(pa.decompress(data, 8 * n, codec="zstd"), np.uint8).reshape(8, -1).T.copy().view(kind).ravel()
 
 
+def _waves(column: str, n: int) -> list[F.Column]:
+    """Conditions that split the numbers 0 to n - 1 in ``column`` into at most WAVES ranges; row groups of one number are skipped by them."""
+    bounds = sorted({n * i // WAVES for i in range(WAVES + 1)})
+    return [(F.col(column) >= a) & (F.col(column) < b) for a, b in zip(bounds, bounds[1:])]
+
+
 def _prime(least: int) -> int:
     """An odd number from ``least`` up without a divisor, so remainders of packed bytes spread evenly."""
     n = max(least, 2) | 1
@@ -325,35 +399,36 @@ def score(docs: DataFrame) -> DataFrame:
     answers = trie_scores(grams).unionByName(words_.select("key", F.col("n").cast("double").alias("value")))
     told = cut(answers.select(F.pmod("key", F.lit(buckets)).alias("bucket"), "key", "value"), **SMALL)
     forget(answers)  # with what the trie left
-    answered = asked.select("bucket", "block", "n", "keys").groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(reply, "block int, n int, keys binary, answers binary")
-    answered = cut(answered)
+    packed = asked.select("bucket", "block", "n", "keys")
+    answered = reduce(
+        DataFrame.unionByName,
+        [cut(packed.where(w).groupBy("bucket").cogroup(told.where(w).groupBy("bucket")).applyInArrow(reply, "block int, n int, keys binary, answers binary")) for w in _waves("bucket", buckets)],
+    )
     forget(told, asked)
     train_tokens, types = int(totals_of.n) + learned_docs, int(totals_of.v) + int(learned_docs > 0)
 
     def add_up(key: tuple, table: pa.Table, answer: pa.Table) -> pa.Table:
-        parts = list(zip(*(answer[c].to_pylist() for c in ("n", "keys", "answers"))))
-        index = pd.Index(np.concatenate([_keys(k, n).view(np.int64) for n, k, _ in parts]))
-        values = np.concatenate([_decoded(v, n) for n, _, v in parts])
-        if not index.is_unique:  # a block that two tasks read has asked twice
-            once = ~index.duplicated()
-            index, values = index[once], values[once]
-        of = lambda keys: values[index.get_indexer(keys.view(np.int64))] if len(keys) else np.zeros(0)
+        known = _Told(answer)
         out = []
         for part in _rows(table["data"]):
             n, ends = len(part), np.asarray(part["last"].to_pylist(), np.int64)
             tokens, seen, base, total = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
             for lo, hi, (grams, bounds, hashes, first) in _texts(part):
-                total[lo:hi] = np.add.reduceat(of(grams), bounds[:-1])
-                count, row = of(hashes), np.repeat(np.arange(hi - lo), np.diff(first))
+                total[lo:hi] = np.add.reduceat(known.of(grams), bounds[:-1])
+                count, row = known.of(hashes), np.repeat(np.arange(hi - lo), np.diff(first))
                 tokens[lo:hi] = np.diff(first) + ends[lo:hi]
                 seen[lo:hi] = np.bincount(row, count > 0, hi - lo).astype(np.int64) + ends[lo:hi] * (learned_docs > 0)
                 base[lo:hi] = np.bincount(row, np.log10(count + 1), hi - lo) + ends[lo:hi] * np.log10(learned_docs + 1)
             out.append(pa.RecordBatch.from_arrays([part["row"], part["doc_id"], part["held_out"], *map(pa.array, (tokens, seen, base, total))], names=["row", "doc_id", "held_out", "n_tokens", "n_known", "logs", "score"]))
-        index = values = None
+        known = None
         _give_back()
         return pa.Table.from_batches(out)
 
-    parts = texts.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(add_up, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double")
+    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double"
+    parts = reduce(
+        DataFrame.unionByName, [cut(texts.where(w).groupBy("block").cogroup(answered.where(w).groupBy("block")).applyInArrow(add_up, schema)) for w in _waves("block", n_blocks)]
+    )
+    forget(texts, answered)
     sums = parts.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "logs", "score")))
     base = F.col("logs") - F.col("n_tokens") * math.log10(train_tokens + types + 1)
     return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
