@@ -17,12 +17,13 @@ import ctypes
 import math
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridspark.llm.bytetext import byte_view, groups, is_space, lower, word_hashes
@@ -44,6 +45,9 @@ SMALL = {"compression": "zstd", "parquet.writer.version": "v2"}
 """Files between steps: sorted keys as differences."""
 BUNDLES = {"compression": "none", "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "parquet.enable.dictionary": "false"}
 """Files of large packed rows: compressed already, and a page must not wait for a hundred of them."""
+BATCH_BYTES = 8 << 20
+"""Texts that Spark hands to a Python worker at once."""
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _END = np.uint8(10)
 _WORD = np.uint64(1) << np.uint64(63)
 _GAP = re.compile(rb"[\x20\x09-\x0D]+")
@@ -95,6 +99,8 @@ def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
                     writer.write_batch(batch.slice(a + lo, hi - lo))
                 yield pa.RecordBatch.from_arrays([pa.array([block[a]], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "data"])
+        batch = None
+        _give_back()
 
 
 def _rows(bundles: pa.Array | pa.ChunkedArray) -> Iterator[pa.RecordBatch]:
@@ -181,14 +187,16 @@ def _edges(values: np.ndarray) -> list[tuple[int, int]]:
 def asker(buckets: int):
     """For ``mapInArrow``: distinct grams and words of each block, and how often they stand in training rows, as rows ``(bucket, block, n, keys, counts)``.
 
-    A bucket holds the keys with one remainder by ``buckets``. Keys go packed, many to a row. A file has few blocks, whose keys a task holds beside each other.
+    A bucket holds the keys with one remainder by ``buckets``. Keys go packed, many to a row. A file has one block, whose keys leave before those of the next file come.
     """
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, _Asked] = {}
+        asked, of = _Asked(buckets), None
         for bundles in batches:
             for block, data in zip(bundles["block"].to_pylist(), bundles["data"]):
-                asked = found.setdefault(block, _Asked(buckets))
+                if block != of:
+                    yield from asked.rows(of)
+                    asked, of = _Asked(buckets), block
                 for part in _rows([data]):
                     trains = ~np.asarray(part["held_out"].to_pylist(), bool)
                     for lo, hi, (grams, bounds, hashes, first) in _texts(part):
@@ -197,8 +205,7 @@ def asker(buckets: int):
                             for some, taught in ((keys[learn], 1), (keys[~learn], 0)):
                                 seen, n = _distinct(some)
                                 asked.add(seen, n * taught)
-        for block in list(found):
-            yield from found.pop(block).rows(block)
+        yield from asked.rows(of)
         _give_back()
 
     return apply
@@ -231,7 +238,7 @@ class _Asked:
         order = np.argsort(bucket, kind="stable")
         return merged[order], n[order], bucket[order]
 
-    def rows(self, block: int) -> Iterator[pa.RecordBatch]:
+    def rows(self, block: int | None) -> Iterator[pa.RecordBatch]:
         self._close()
         for i in range(32):
             parts = [(keys[at[i] : at[i + 1]], n[at[i] : at[i + 1]]) for keys, n, at in self.runs]
@@ -376,6 +383,17 @@ def trie_scores(grams: DataFrame) -> DataFrame:
     return below.select("key", value.alias("value"))
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Batches of BATCH_BYTES for what is written meanwhile."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 def score(docs: DataFrame) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` for each row of ``docs(doc_id, text)``; null texts are empty.
 
@@ -386,13 +404,15 @@ def score(docs: DataFrame) -> DataFrame:
     n_blocks = max(1, -(-size.bytes // BLOCK_BYTES))
     learned_docs = int(size.docs)
     texts = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", held_out().alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    # rows are numbered and dealt once, and read again from these files; a file holds whole blocks
+    # rows are numbered and dealt once, and read again from these files; a file holds one block
     dealt = pieces(texts).withColumn("block", F.pmod(F.xxhash64("row", "lead"), F.lit(n_blocks)).cast("int"))
-    texts = cut(dealt.repartition(n_blocks, "block").mapInArrow(bundle, "block int, data binary"), **BUNDLES)
+    with _small_batches(docs.sparkSession):
+        texts = cut(dealt.repartitionById(n_blocks, "block").mapInArrow(bundle, "block int, data binary"), **BUNDLES)
     # keys go packed by bucket, so few rows are shuffled for many keys
     buckets = _prime(size.bytes // BUCKET_BYTES)
     asked = texts.mapInArrow(asker(buckets), "bucket long, block int, n int, keys binary, counts binary")
-    asked = cut(asked)
+    with _small_batches(docs.sparkSession):
+        asked = cut(asked)
     counts = cut(asked.groupBy("bucket").applyInArrow(unite, "key long, n long"), **SMALL)
     grams, words_ = counts.where("key >= 0"), counts.where("key < 0")
     totals_of = words_.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
