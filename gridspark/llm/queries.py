@@ -9,6 +9,7 @@ from gridspark.llm.language_id import op1_language_id
 from gridspark.llm.license_scan import op6_license_scan
 from gridspark.llm.mixing import op4_mixing, oracle
 from gridspark.llm.near_dedup import op2_near_dedup
+from gridspark.llm.packing import op11_packing
 from gridspark.llm.page_text import op7_page_text
 from gridspark.llm.ppm import op10_ppm
 from gridspark.llm.sentencepiece_codec import op3_sentencepiece
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_hilbert_search": op8_hilbert_search,
     "op9_fingerprints": op9_fingerprints,
     "op10_ppm": op10_ppm,
+    "op11_packing": op11_packing,
 }
 
 ORACLES = {"op4_mixing": oracle(), "op6_license_scan": license_scan.oracle()}
