@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from gridspark.llm import license_scan
+from gridspark.llm import conversations, license_scan
+from gridspark.llm.conversations import op12_conversations
 from gridspark.llm.fingerprints import op9_fingerprints
 from gridspark.llm.hilbert_search import op8_hilbert_search
 from gridspark.llm.language_id import op1_language_id
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_fingerprints": op9_fingerprints,
     "op10_ppm": op10_ppm,
     "op11_packing": op11_packing,
+    "op12_conversations": op12_conversations,
 }
 
-ORACLES = {"op4_mixing": oracle(), "op6_license_scan": license_scan.oracle()}
+ORACLES = {"op4_mixing": oracle(), "op6_license_scan": license_scan.oracle(), "op12_conversations": conversations.oracle()}
