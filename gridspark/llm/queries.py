@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridspark.llm import conversations, license_scan
+from gridspark.llm import conversations, license_scan, spelling
 from gridspark.llm.conversations import op12_conversations
 from gridspark.llm.fingerprints import op9_fingerprints
 from gridspark.llm.hilbert_search import op8_hilbert_search
@@ -14,6 +14,7 @@ from gridspark.llm.packing import op11_packing
 from gridspark.llm.page_text import op7_page_text
 from gridspark.llm.ppm import op10_ppm
 from gridspark.llm.sentencepiece_codec import op3_sentencepiece
+from gridspark.llm.spelling import op13_spelling
 from gridspark.llm.token_lengths import op5_token_lengths
 
 QUERIES = {
@@ -29,6 +30,7 @@ QUERIES = {
     "op10_ppm": op10_ppm,
     "op11_packing": op11_packing,
     "op12_conversations": op12_conversations,
+    "op13_spelling": op13_spelling,
 }
 
-ORACLES = {"op4_mixing": oracle(), "op6_license_scan": license_scan.oracle(), "op12_conversations": conversations.oracle()}
+ORACLES = {"op4_mixing": oracle(), "op6_license_scan": license_scan.oracle(), "op12_conversations": conversations.oracle(), "op13_spelling": spelling.oracle()}
