@@ -10,6 +10,7 @@ gathered anywhere however many documents have it.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -35,39 +36,57 @@ WEIGHT = 4
 """Differences weigh by this power of the length: what is left of short documents is packed without loss."""
 SEGMENT = 4 << 20
 """Characters of a text that are encoded at a time; it is cut at white space."""
-WORDS_KEPT = 600_000
-"""Encoded chunks that a worker remembers; beyond, it starts anew."""
+GROUP_BYTES = 8 << 20
+"""Bytes of texts that are encoded together."""
+WORDS_KEPT = 1_000_000
+"""Encoded words that a worker remembers; beyond, it starts anew."""
 
-_LETTER, _SIGN = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-;=?@\[-`{}~"
-_EDGE = re.compile(f"(?<=[{_LETTER}])(?=[{_SIGN}])|(?<=[{_SIGN}])(?=[{_LETTER}])")
+_LETTER, _SIGN = "a-zß-öø-ÿ", r"!-&(-;=?@\[-`{}~"
+_EDGES = (f"([{_LETTER}])([{_SIGN}])", f"([{_SIGN}])([{_LETTER}])")
 """Between a letter and a sign tokens always end; the apostrophe (contractions) and the signs of special tokens are no such edges."""
+_WORD = re.compile(f"[{_LETTER}]+")
 _BLANK = re.compile(r"[ \t-\r]")
 _CACHES: dict = {}
 
 
-class _Chunks:
-    """Ids of chunks between white space, as bytes of two (or four) a token; equal words are encoded once."""
+class _Words:
+    """Ids of what stands between white space, as bytes; equal words are encoded once.
+
+    For tokenizers that drop white space and letter case, part letters from signs and mark the ends of words.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.kind = np.uint16 if self.tokenizer.get_vocab_size(with_added_tokens=True) < 1 << 16 else np.uint32
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.whole = Tokenizer.from_file(path)
+        made, end = json.loads(self.whole.to_str()), self.whole.model.end_of_word_suffix
+        if not end or [x["type"] for x in (made["normalizer"] or {}).get("normalizers", [])] != ["NFC", "Replace", "Lowercase"]:
+            raise ValueError(f"{path} is not a tokenizer of words without white space and letter case")
+        self.letters = Tokenizer(self.whole.model)  # for words of letters alone: what the whole does to them is known
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        names = self.whole.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(names.values()) + 1, bool)
+        self.ends[[i for w, i in names.items() if w.endswith(end)]] = True
+        self.kind = np.uint16 if len(self.ends) <= 1 << 16 else np.uint32
         self.known: dict[str, bytes] = {}
 
-    def ids(self, chunks: list[str]) -> list[bytes]:
+    def ids(self, words: list[str]) -> list[bytes]:
         known = self.known
         if len(known) > WORDS_KEPT:
             known.clear()
-        parts = {c: _EDGE.split(c) for c in chunks if c not in known}
-        words = list({w for p in parts.values() for w in p if w not in known})
-        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
+        new = [w for w in words if w not in known]
+        plain = [w for w in new if _WORD.fullmatch(w)]
+        for k in range(0, len(plain), 1000):
+            some = plain[k : k + 1000]
+            ids = np.array(self.letters.encode(" ".join(some), add_special_tokens=False).ids, self.kind)
+            bounds = [0, *((np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize).tolist()]
+            raw = ids.tobytes()
+            known.update(zip(some, (raw[a:b] for a, b in zip(bounds, bounds[1:]))))
+        rest = [w for w in new if w not in known]
+        for w, e in zip(rest, self.whole.encode_batch_fast(rest, add_special_tokens=False)):
             known[w] = np.array(e.ids, self.kind).tobytes()
-        for c, p in parts.items():
-            if len(p) > 1:
-                known[c] = b"".join([known[w] for w in p])
-        return [known[c] for c in chunks]
+        return [known[w] for w in words]
 
 
 def _segments(text: str) -> Iterator[str]:
@@ -81,19 +100,19 @@ def _segments(text: str) -> Iterator[str]:
     yield text[at:]
 
 
-def _encode(texts: pa.Array, chunks: _Chunks) -> tuple[np.ndarray, np.ndarray]:
+def _encode(texts: pa.Array, words: _Words) -> tuple[np.ndarray, np.ndarray]:
     """All ids of the texts side by side, and how many each text has."""
-    split = pc.ascii_split_whitespace(texts)
+    low = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))  # special tokens are told by case
+    for edge in _EDGES:
+        low = pc.replace_substring_regex(low, edge, r"\1 \2")
+    split = pc.ascii_split_whitespace(low)
     word = split.flatten().dictionary_encode()
-    own = chunks.ids(word.dictionary.to_pylist())
-    size = np.fromiter((len(x) for x in own), np.int64, len(own)) // np.dtype(chunks.kind).itemsize
-    flat = np.frombuffer(b"".join(own), chunks.kind)
-    at = word.indices.to_numpy()
-    many = size[at]
-    ends = np.cumsum(many)
-    ids = flat[np.repeat((np.cumsum(size) - size)[at] - (ends - many), many) + np.arange(ends[-1] if len(ends) else 0)]
-    bounds = np.append(0, ends)[np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False)))]
-    return ids.astype(np.uint32), np.diff(bounds)
+    own = words.ids(word.dictionary.to_pylist())
+    size = np.fromiter((len(x) for x in own), np.int64, len(own)) // np.dtype(words.kind).itemsize
+    lists = pa.LargeListArray.from_arrays(pa.array(np.append(0, np.cumsum(size))), pa.array(np.frombuffer(b"".join(own), words.kind)))
+    ids = lists.take(word.indices).flatten().to_numpy()
+    ends = np.append(0, np.cumsum(size[word.indices.to_numpy()]))
+    return ids.astype(np.uint32), np.diff(ends[np.append(0, np.cumsum(pc.list_value_length(split).to_numpy()))])
 
 
 def encoded_pieces(docs: DataFrame, vocabulary: str | None = None, limit: int = TOKENS, with_ids: bool = False) -> DataFrame:
@@ -109,18 +128,18 @@ def encoded_pieces(docs: DataFrame, vocabulary: str | None = None, limit: int =
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, place long" + ", ids array<int>" * with_ids
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = _CACHES.get(path) or _CACHES.setdefault(path, _Chunks(path))
+        words = _CACHES.get(path) or _CACHES.setdefault(path, _Words(path))
         part, seen = TaskContext.get().partitionId(), np.zeros(limit + 1, np.int64)
         for batch in batches:
             texts = batch.column(1).cast(pa.large_string())
             _, offsets = byte_view(texts)
-            for i, j in groups(offsets):
+            for i, j in groups(offsets, GROUP_BYTES):
                 some = pc.fill_null(texts.slice(i, j - i), "")
                 if j - i == 1 and offsets[j] - offsets[i] > SEGMENT:
-                    runs = [_encode(pa.array([s], pa.large_string()), chunks)[0] for s in _segments(some[0].as_py())]
+                    runs = [_encode(pa.array([s], pa.large_string()), words)[0] for s in _segments(some[0].as_py())]
                     ids, n = np.concatenate(runs), np.array([sum(map(len, runs))])
                 else:
-                    ids, n = _encode(some, chunks)
+                    ids, n = _encode(some, words)
                 ids, n = np.insert(ids, np.cumsum(n), END), n + 1
                 first = np.cumsum(n) - n
                 many = -(-n // limit)

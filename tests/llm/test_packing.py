@@ -79,8 +79,8 @@ def test_long_texts_in_segments(library, monkeypatch):
     import pyarrow as pa
 
     monkeypatch.setattr(packing, "SEGMENT", 1000)
-    chunks = packing._Chunks(public_tokenizers.path(packing.VOCABULARY))
-    runs = [packing._encode(pa.array([s], pa.large_string()), chunks)[0] for s in packing._segments(LONG + ODD[9][1])]
+    words = packing._Words(public_tokenizers.path(packing.VOCABULARY))
+    runs = [packing._encode(pa.array([s], pa.large_string()), words)[0] for s in packing._segments(LONG + ODD[9][1])]
     assert len(runs) > 30 and np.concatenate(runs).tolist() == library.encode(LONG + ODD[9][1], add_special_tokens=False).ids
 
 
