@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.operators import focal
+from gridspark.operators import distance, focal
 
 # Weights of the classes building, vegetation, road, water, ground, other, and the factors of damage 1 to 4.
 WEIGHTS = [1000.0, 4.0, 0.65, 1000.0, 1.0, 1.5]
@@ -80,17 +80,32 @@ def passability_pct(cells: DataFrame) -> DataFrame:
 
 
 def nearest_reachable(cells: DataFrame, targets: DataFrame) -> DataFrame:
-    """The cell of ``cells(scene_id, row, col)`` nearest to each of ``targets(point_id, scene_id, trow, tcol)``; equal distances go to the first in row-major order."""
-    d2 = F.pow(F.col("row") - F.col("trow"), 2) + F.pow(F.col("col") - F.col("tcol"), 2)
-    near = cells.join(targets, "scene_id").groupBy("point_id").agg(F.min(F.struct(d2.cast("long").alias("d2"), "row", "col")).alias("x"))
-    return near.select("point_id", "x.row", "x.col", "x.d2")
+    """The cell of ``cells(scene_id, row, col)`` nearest to each of ``targets(point_id, scene_id, trow, tcol)``; equal distances go to the first in row-major order.
+
+    Only the rows of targets are looked at, in each column that has a cell (see ``distance.nearest_seed``), never all cells for each target.
+    """
+    yes, no = F.lit(True), F.lit(False)
+    place = ["scene_id", "row", "col"]
+    asked = targets.select("scene_id", F.col("trow").alias("row"), F.col("tcol").alias("col"))
+    probes = asked.select("scene_id", "row").distinct().join(cells.select("scene_id", "col").distinct(), "scene_id")
+    every = cells.select(*place, no.alias("hot"), yes.alias("seed")).unionByName(probes.select(*place, no.alias("hot"), no.alias("seed"))).unionByName(asked.select(*place, yes.alias("hot"), no.alias("seed")))
+    found = distance.nearest_seed(every.groupBy(*place).agg(F.max("hot").alias("hot"), F.max("seed").alias("seed")))
+    at = targets.select("point_id", "scene_id", F.col("trow").alias("row"), F.col("tcol").alias("col"))
+    return at.join(found, place).select("point_id", F.col("seed_row").alias("row"), F.col("seed_col").alias("col"), "d2")
 
 
 def nearest_standable(cells: DataFrame, points: DataFrame, radius: int = 64) -> DataFrame:
-    """The nearest open cell by square rings around each point: the first ring with one counts, in it the shortest way; beyond ``radius`` there is none."""
+    """The nearest open cell by square rings around each point: the first ring with one counts, in it the shortest way; beyond ``radius`` there is none.
+
+    Points meet cells by squares as wide as the radius, so only near ones are compared.
+    """
+    square = lambda c: F.floor(F.col(c) / max(1, radius))
+    side = F.explode(F.array(*(F.lit(k) for k in (-1, 0, 1))))
+    asked = points.select("point_id", "scene_id", "trow", "tcol", side.alias("a")).select("*", side.alias("b"))
+    asked = asked.select("point_id", "scene_id", "trow", "tcol", (square("trow") + F.col("a")).alias("y"), (square("tcol") + F.col("b")).alias("x"))
     dr, dc = F.col("row") - F.col("trow"), F.col("col") - F.col("tcol")
     ring = F.greatest(F.abs(dr), F.abs(dc), F.lit(1))
-    near = cells.join(points, "scene_id").where((F.abs(dr) <= radius) & (F.abs(dc) <= radius))
+    near = cells.select("scene_id", "row", "col", square("row").alias("y"), square("col").alias("x")).join(asked, ["scene_id", "y", "x"]).where((F.abs(dr) <= radius) & (F.abs(dc) <= radius))
     best = near.groupBy("point_id").agg(F.min(F.struct(ring.alias("ring"), (dr * dr + dc * dc).cast("long").alias("d2"), "row", "col")).alias("x"))
     return points.select("point_id").join(best, "point_id", "left").select("point_id", "x.row", "x.col", "x.d2")
 
