@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.operators import refine, wls
+from gridspark.operators import refine, spikes, wls
 from gridspark.plans.registry import EV, query
 from gridspark.sources import fixtures as fx
 
@@ -37,3 +37,9 @@ def e07_joint_bilateral(spark, d):
 def e18_wls_refine(spark, d):
     """Heights of every scene smoothed by its image; compared with the dense equations in tests."""
     return wls.wls_refine(_image(spark, d), 4.0, 0.25, chunk=CHUNK)
+
+
+@query()
+def e10_remove_spikes(spark, d):
+    """Heights of every scene without spikes and pits; compared with plain Python in tests."""
+    return spikes.remove_spikes(_image(spark, d).select("scene_id", "row", "col", (F.when(F.col("red") > 61, 9.0).otherwise(0.0) + F.col("green") / 16 + F.col("z") * 0).alias("z")), chunk=CHUNK)
