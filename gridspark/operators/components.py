@@ -86,12 +86,12 @@ def fill_holes(mask: DataFrame, every: DataFrame, height: int, width: int, chunk
     return mask.select(*KEYS).unionByName(back.join(outside, LABEL, "left_anti").select(*KEYS)).distinct()
 
 
-def extract_objects(labels: DataFrame, values: DataFrame) -> DataFrame:
-    """Area, centroid, box and largest confidence of each component, numbered B001, B002 ... in each scene by first pixel. ``values(scene_id, row, col, conf)``."""
+def extract_objects(labels: DataFrame, values: DataFrame, least: int = 25) -> DataFrame:
+    """Area, centroid, box and largest confidence of each component of ``least`` pixels or more, numbered B001, B002 ... in each scene by first pixel. ``values(scene_id, row, col, conf)``; boxes end before ``row1`` and ``col1``."""
     s = labels.join(values.select(*KEYS, "conf"), KEYS).groupBy(*LABEL).agg(
         F.count("*").alias("area"), F.avg("row").alias("cy"), F.avg("col").alias("cx"), F.max("conf").alias("max_conf"),
-        F.min("row").alias("row0"), F.max("row").alias("row1"), F.min("col").alias("col0"), F.max("col").alias("col1"),
-    )
+        F.min("row").alias("row0"), (F.max("row") + 1).alias("row1"), F.min("col").alias("col0"), (F.max("col") + 1).alias("col1"),
+    ).where(F.col("area") >= least)
     number = F.row_number().over(Window.partitionBy("scene_id").orderBy("label_row", "label_col"))
     return s.select("*", F.concat(F.lit("B"), F.lpad(number.cast("string"), 3, "0")).alias("object_id"))
 
@@ -103,17 +103,17 @@ def reachable(labels: DataFrame, starts: DataFrame) -> DataFrame:
 
 
 def object_height(labels: DataFrame, px: DataFrame, ring: DataFrame) -> DataFrame:
-    """Height of each component over its surroundings.
+    """Height of each component over its surroundings: ``(*label, n, base, height, median, mad, p10, p90)``.
 
-    The base is the 20th percentile of the ring (``ring``: label and pixels), the top the median of the values inside
-    that lie within three scaled deviations (3 x 1.4826 x MAD) of their median.
+    The base is the 20th percentile of the ring (``ring``: label and pixels), 0 without a valid value there. Over the base,
+    the height is the median of the values inside that lie within three scaled deviations (MAD x 1.4826) of their median, of all if they do not
+    deviate; median, mad (scaled), the 10th and 90th percentile and n are those of all values inside.
     """
     ok = px.where(~F.isnan("z")).select(*KEYS, "z")
     base = ring.join(ok, KEYS).groupBy(*LABEL).agg(F.percentile("z", 0.2).alias("base"))
-    inside = labels.join(ok, KEYS)
-    middle = inside.groupBy(*LABEL).agg(F.percentile("z", 0.5).alias("m"))
-    far = inside.join(middle, LABEL).withColumn("far", F.abs(F.col("z") - F.col("m")))
-    mad = far.groupBy(*LABEL).agg(F.percentile("far", 0.5).alias("mad"))
-    kept = far.join(mad, LABEL).where(F.col("far") <= 3 * 1.4826 * F.greatest("mad", F.lit(1e-6)))
-    top = kept.groupBy(*LABEL).agg(F.percentile("z", F.array(F.lit(0.5), F.lit(0.1), F.lit(0.9))).alias("p"), F.count("*").alias("n"))
-    return top.join(base, LABEL).select(*LABEL, "n", "base", F.col("p")[0].alias("top"), (F.col("p")[0] - F.col("base")).alias("height"), F.col("p")[1].alias("p10"), F.col("p")[2].alias("p90"))
+    inside = labels.join(ok, KEYS).join(base, LABEL, "left").select(*LABEL, F.coalesce("base", F.lit(0.0)).alias("base"), (F.col("z") - F.coalesce("base", F.lit(0.0))).alias("rel"))
+    own = inside.groupBy(*LABEL, "base").agg(F.percentile("rel", F.array(F.lit(0.5), F.lit(0.1), F.lit(0.9))).alias("p"), F.count("*").alias("n"))
+    far = inside.join(own.select(*LABEL, "p"), LABEL).select(*LABEL, "rel", F.abs(F.col("rel") - F.col("p")[0]).alias("far"))
+    mad = far.groupBy(*LABEL).agg((F.percentile("far", 0.5) * 1.4826).alias("mad"))
+    top = far.join(mad, LABEL).where("mad <= 1e-6 or far <= 3 * mad").groupBy(*LABEL).agg(F.percentile("rel", 0.5).alias("height"))
+    return own.join(mad, LABEL).join(top, LABEL).select(*LABEL, "n", "base", "height", F.col("p")[0].alias("median"), "mad", F.col("p")[1].alias("p10"), F.col("p")[2].alias("p90"))

@@ -18,13 +18,12 @@ def damage_decision(probs: F.Column, least_margin: float = 0.15, least_conf: flo
 
 
 def crop_context(row0: F.Column, col0: F.Column, row1: F.Column, col1: F.Column, height: int, width: int, share: float = 0.25, least_pad: int = 16, least_crop: int = 64) -> dict[str, F.Column]:
-    """A box with context: padded by a share of its sides, at least so many pixels, grown to a least size about its middle, clipped to the scene."""
+    """A box with context: padded by a share of its sides, at least so many pixels, and clipped to the scene; a side that is still too short is widened at both ends by half of what it lacks and one, and clipped again."""
     def side(lo: F.Column, hi: F.Column, extent: int) -> tuple[F.Column, F.Column]:
         pad = F.greatest(((hi - lo) * share).cast("int"), F.lit(least_pad))
-        a, b = lo - pad, hi + pad
-        more = F.greatest(F.lit(least_crop) - (b - a), F.lit(0))
-        half = F.floor(more / 2).cast("int")
-        return F.greatest(a - half, F.lit(0)), F.least(b + (more - half), F.lit(extent))
+        a, b = F.greatest(lo - pad, F.lit(0)), F.least(hi + pad, F.lit(extent))
+        more = F.when(b - a < least_crop, F.floor((F.lit(least_crop) - (b - a)) / 2).cast("int") + 1).otherwise(0)
+        return F.greatest(a - more, F.lit(0)), F.least(b + more, F.lit(extent))
 
     (r0, r1), (c0, c1) = side(row0, row1, height), side(col0, col1, width)
     return {"row0": r0, "row1": r1, "col0": c0, "col1": c1}

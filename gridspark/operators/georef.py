@@ -42,8 +42,8 @@ def tile_name(row: F.Column, col: F.Column) -> F.Column:
 
 
 def footprint_key(west: F.Column, south: F.Column, east: F.Column, north: F.Column, crs: F.Column) -> F.Column:
-    """Eight hex digits that name a footprint: bounds at six places and the CRS."""
-    return F.substring(F.sha2(F.concat(F.format_string("%.6f,%.6f,%.6f,%.6f|", west, south, east, north), F.coalesce(crs, F.lit("none"))), 256), 1, 8)
+    """Eight hex digits that name a footprint: bounds at six places and the CRS (``None`` without one), between commas."""
+    return F.substring(F.sha2(F.concat(F.format_string("%.6f,%.6f,%.6f,%.6f,", west, south, east, north), F.coalesce(crs, F.lit("None"))), 256), 1, 8)
 
 
 def output_type(has_dem: F.Column, constant: F.Column) -> F.Column:

@@ -128,20 +128,20 @@ def g03_fill_holes(spark, d):
     return components.fill_holes(px.where("cls = 6"), px, fx.HEIGHT, fx.WIDTH, CHUNK)
 
 
-@query(f"""WITH {_ALL4}, ob AS (SELECT cm.s, lr, lc, count(*) AS area, avg(cm.r) AS cy, avg(cm.c) AS cx, max(truth) AS mc, min(cm.r) AS row0, max(cm.r) AS row1, min(cm.c) AS col0, max(cm.c) AS col1 FROM cm JOIN ev ON ev.s = cm.s AND ev.r = cm.r AND ev.c = cm.c GROUP BY ALL)
+@query(f"""WITH {_ALL4}, ob AS (SELECT cm.s, lr, lc, count(*) AS area, avg(cm.r) AS cy, avg(cm.c) AS cx, max(truth) AS mc, min(cm.r) AS row0, max(cm.r) + 1 AS row1, min(cm.c) AS col0, max(cm.c) + 1 AS col1 FROM cm JOIN ev ON ev.s = cm.s AND ev.r = cm.r AND ev.c = cm.c GROUP BY ALL HAVING count(*) >= 5)
 SELECT s AS scene_id, lr::INT AS label_row, lc::INT AS label_col, area, round(cy, 6) AS cy, round(cx, 6) AS cx, mc AS max_conf, row0::INT AS row0, row1::INT AS row1, col0::INT AS col0, col1::INT AS col1, 'B' || lpad((row_number() OVER (PARTITION BY s ORDER BY lr, lc))::VARCHAR, 3, '0') AS object_id FROM ob""")
 def g05_extract_objects(spark, d):
     values = fx.pixels(spark, d).select("scene_id", "row", "col", F.col("truth").alias("conf"))
-    return components.extract_objects(components.label_components(_mask(spark, d), 4, CHUNK), values)
+    return components.extract_objects(components.label_components(_mask(spark, d), 4, CHUNK), values, 5)
 
 
 _RING = f"""{_ALL4}, big AS (SELECT * FROM cm QUALIFY count(*) OVER (PARTITION BY lab) >= 5), rg AS (SELECT DISTINCT big.lab, k.r, k.c, k.s FROM big JOIN ev k ON k.s = big.s AND abs(k.r - big.r) <= 2 AND abs(k.c - big.c) <= 2 WHERE k.cls NOT IN (2, 6)),
-bs AS (SELECT lab, quantile_cont(z, 0.2) AS base FROM rg JOIN ok USING (s, r, c) GROUP BY lab), ins AS (SELECT lab, lr, lc, big.s, z FROM big JOIN ok ON ok.s = big.s AND ok.r = big.r AND ok.c = big.c),
-md AS (SELECT lab, median(z) AS m FROM ins GROUP BY lab), ft AS (SELECT ins.*, abs(z - m) AS far FROM ins JOIN md USING (lab)), ma AS (SELECT lab, median(far) AS mad FROM ft GROUP BY lab),
-tp AS (SELECT s, lab, lr, lc, count(*) AS n, median(z) AS top, quantile_cont(z, 0.1) AS p10, quantile_cont(z, 0.9) AS p90 FROM ft JOIN ma USING (lab) WHERE far <= 3 * 1.4826 * greatest(mad, 1e-6) GROUP BY ALL)"""
+bs AS (SELECT lab, quantile_cont(z, 0.2) AS base FROM rg JOIN ok USING (s, r, c) GROUP BY lab), ins AS (SELECT lab, lr, lc, big.s, coalesce(base, 0) AS base, z - coalesce(base, 0) AS rel FROM big JOIN ok ON ok.s = big.s AND ok.r = big.r AND ok.c = big.c LEFT JOIN bs USING (lab)),
+md AS (SELECT s, lab, lr, lc, base, count(*) AS n, median(rel) AS m, quantile_cont(rel, 0.1) AS p10, quantile_cont(rel, 0.9) AS p90 FROM ins GROUP BY ALL), ft AS (SELECT lab, rel, abs(rel - m) AS far FROM ins JOIN md USING (lab)), ma AS (SELECT lab, median(far) * 1.4826 AS mad FROM ft GROUP BY lab),
+tp AS (SELECT lab, median(rel) AS height FROM ft JOIN ma USING (lab) WHERE mad <= 1e-6 OR far <= 3 * mad GROUP BY lab)"""
 
 
-@query(f"WITH {_RING} SELECT s AS scene_id, lr::INT AS label_row, lc::INT AS label_col, n, round(base, 6) AS base, round(top, 6) AS top, round(top - base, 6) AS height, round(p10, 6) AS p10, round(p90, 6) AS p90 FROM tp JOIN bs USING (lab)")
+@query(f"WITH {_RING} SELECT s AS scene_id, lr::INT AS label_row, lc::INT AS label_col, n, round(base, 6) AS base, round(height, 6) AS height, round(m, 6) AS median, round(mad, 6) AS mad, round(p10, 6) AS p10, round(p90, 6) AS p90 FROM md JOIN ma USING (lab) JOIN tp USING (lab)")
 def g08_object_height(spark, d):
     """Components of five pixels or more; the ring is what lies within two pixels outside the mask."""
     px = fx.pixels(spark, d)

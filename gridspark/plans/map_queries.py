@@ -127,7 +127,7 @@ def b28_tile_names(spark, d):
     return tiling.tile_grid(fx.scenes(spark, d), 16).select("scene_id", "ty", "tx", georef.tile_name(F.col("ty"), F.col("tx")).alias("name"))
 
 
-@query(f"WITH {BOXES} SELECT id, substr(sha256(printf('%.6f,%.6f,%.6f,%.6f|', west, south, east, north) || CASE WHEN id % 3 = 0 THEN 'none' ELSE 'EPSG:4326' END), 1, 8) AS key FROM boxes")
+@query(f"WITH {BOXES} SELECT id, substr(sha256(printf('%.6f,%.6f,%.6f,%.6f,', west, south, east, north) || CASE WHEN id % 3 = 0 THEN 'None' ELSE 'EPSG:4326' END), 1, 8) AS key FROM boxes")
 def b29_footprint_keys(spark, d):
     """Keys over all four bounds and the CRS."""
     box = [F.col(c) for c in ("west", "south", "east", "north")]
@@ -212,9 +212,9 @@ def b39_damage_decision(spark, d):
 
 
 @query("""WITH b AS (SELECT s_suppkey AS id, (s_suppkey * 37 % 900)::INT AS r0, (s_suppkey * 53 % 950)::INT AS c0, (s_suppkey % 170 + 3)::INT AS h, (s_suppkey % 90 + 5)::INT AS w FROM supplier),
-q AS (SELECT id, r0 - greatest(trunc(h * 0.25), 16) AS a, r0 + h + greatest(trunc(h * 0.25), 16) AS b, c0 - greatest(trunc(w * 0.25), 16) AS e, c0 + w + greatest(trunc(w * 0.25), 16) AS f FROM b),
-m AS (SELECT *, greatest(64 - (b - a), 0) AS mr, greatest(64 - (f - e), 0) AS mc FROM q)
-SELECT id, greatest(a - floor(mr / 2), 0)::INT AS row0, least(b + mr - floor(mr / 2), 1000)::INT AS row1, greatest(e - floor(mc / 2), 0)::INT AS col0, least(f + mc - floor(mc / 2), 1000)::INT AS col1 FROM m""")
+q AS (SELECT id, greatest(0, r0 - greatest(trunc(h * 0.25), 16)) AS a, least(1000, r0 + h + greatest(trunc(h * 0.25), 16)) AS b, greatest(0, c0 - greatest(trunc(w * 0.25), 16)) AS e, least(1000, c0 + w + greatest(trunc(w * 0.25), 16)) AS f FROM b),
+m AS (SELECT *, CASE WHEN b - a < 64 THEN floor((64 - (b - a)) / 2) + 1 ELSE 0 END AS mr, CASE WHEN f - e < 64 THEN floor((64 - (f - e)) / 2) + 1 ELSE 0 END AS mc FROM q)
+SELECT id, greatest(a - mr, 0)::INT AS row0, least(b + mr, 1000)::INT AS row1, greatest(e - mc, 0)::INT AS col0, least(f + mc, 1000)::INT AS col1 FROM m""")
 def b42_crop_context(spark, d):
     k = F.col("s_suppkey")
     b = fx.table(spark, d, "supplier").select(k.alias("id"), (k * 37 % 900).cast("int").alias("r0"), (k * 53 % 950).cast("int").alias("c0"), (k % 170 + 3).cast("int").alias("h"), (k % 90 + 5).cast("int").alias("w"))
