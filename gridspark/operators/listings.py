@@ -91,15 +91,18 @@ def stats_gate(mixed: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 # Names and marks by which a reference raster is known.
+# Exact names of reference rasters, and what marks others in their stems.
 REFERENCE_NAMES = ("reference.tif", "reference_dem.tif", "ref_dem.tif")
-REFERENCE_MARKS = "truth|gt"
+REFERENCE_MARKS = ("reference", "truth", "groundtruth", "ground_truth", "_gt")
 
 
 def pick_reference(files: DataFrame) -> DataFrame:
-    """The reference raster of each scene of ``files(scene_id, name)``: an exact name first, else the only marked one; several marked ones give none."""
-    stem = F.regexp_extract(F.lower("name"), r"^(.*)\.tiff?$", 1)
-    rows = files.where(F.lower("name").rlike(r"\.tiff?$")).withColumns({"exact": F.lower("name").isin(*REFERENCE_NAMES), "marked": stem.rlike(REFERENCE_MARKS)})
-    s = rows.groupBy("scene_id").agg(F.min(F.when(F.col("exact"), F.col("name"))).alias("exact"), F.count_if(F.col("marked")).alias("n"), F.min(F.when(F.col("marked"), F.col("name"))).alias("marked"))
+    """The reference raster of each scene of ``files(scene_id, name, is_input)``: an exact name first, else the only marked one; several marked ones give none. A scene's own input is none; a scene without a reference has a null."""
+    low = F.lower("name")
+    fits = low.rlike(r"\.tiff?$") & ~F.coalesce("is_input", F.lit(False))
+    stem = F.regexp_extract(low, r"^(.*)\.tiff?$", 1)
+    exact, marked = fits & low.isin(*REFERENCE_NAMES), fits & stem.rlike("|".join(REFERENCE_MARKS))
+    s = files.groupBy("scene_id").agg(F.min(F.when(exact, F.col("name"))).alias("exact"), F.count_if(marked).alias("n"), F.min(F.when(marked, F.col("name"))).alias("marked"))
     return s.select("scene_id", F.coalesce("exact", F.when(F.col("n") == 1, F.col("marked"))).alias("reference"), (F.col("exact").isNull() & (F.col("n") > 1)).alias("ambiguous"))
 
 

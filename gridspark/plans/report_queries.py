@@ -374,16 +374,20 @@ def c13_stats_gate(spark, d):
     return listings.stats_gate(mixed, stats)
 
 
-_REF = "fl AS (SELECT o_custkey AS scene_id, CASE o_orderkey % 5 WHEN 0 THEN 'Reference.TIF' WHEN 1 THEN 'a' || o_orderkey || '-truth.tif' WHEN 2 THEN 'b' || o_orderkey || '_gt.tiff' WHEN 3 THEN 'img' || o_orderkey || '.tif' ELSE 'truth.png' END AS name FROM orders WHERE o_orderkey % 4 <> 0)"
+_REF = "fl AS (SELECT o_custkey AS scene_id, CASE o_orderkey % 5 WHEN 0 THEN CASE WHEN o_orderkey % 3 = 0 THEN 'Reference.TIF' ELSE 'my_reference.tif' END WHEN 1 THEN 'a' || o_orderkey || '-truth.tif' WHEN 2 THEN 'b' || o_orderkey || '_gt.tiff' WHEN 3 THEN 'vgt' || o_orderkey || '.tif' ELSE 'truth.png' END AS name, o_orderkey % 4 = 0 AS own FROM orders)"
+_FIT = "NOT own AND (lower(name) LIKE '%.tif' OR lower(name) LIKE '%.tiff')"
+_MARK = f"{_FIT} AND (contains(lower(name), 'reference') OR contains(lower(name), 'truth') OR contains(lower(name), '_gt'))"
 
 
-@query(f"""WITH {_REF}, t AS (SELECT scene_id, min(name) FILTER (lower(name) IN ('reference.tif', 'reference_dem.tif', 'ref_dem.tif')) AS ex, count(*) FILTER (regexp_matches(lower(name), 'truth|gt')) AS n, min(name) FILTER (regexp_matches(lower(name), 'truth|gt')) AS mk FROM fl WHERE lower(name) LIKE '%.tif' OR lower(name) LIKE '%.tiff' GROUP BY scene_id)
+@query(f"""WITH {_REF}, t AS (SELECT scene_id, min(name) FILTER ({_FIT} AND lower(name) IN ('reference.tif', 'reference_dem.tif', 'ref_dem.tif')) AS ex, count(*) FILTER ({_MARK}) AS n, min(name) FILTER ({_MARK}) AS mk FROM fl GROUP BY scene_id)
 SELECT scene_id, coalesce(ex, CASE WHEN n = 1 THEN mk END) AS reference, ex IS NULL AND n > 1 AS ambiguous FROM t""")
 def c14_pick_reference(spark, d):
+    """Every fourth order is its scene's own input."""
     k = F.col("o_orderkey")
     s = k.cast("string")
-    name = F.when(k % 5 == 0, "Reference.TIF").when(k % 5 == 1, F.concat(F.lit("a"), s, F.lit("-truth.tif"))).when(k % 5 == 2, F.concat(F.lit("b"), s, F.lit("_gt.tiff"))).when(k % 5 == 3, F.concat(F.lit("img"), s, F.lit(".tif"))).otherwise("truth.png")
-    return listings.pick_reference(fx.table(spark, d, "orders").where("o_orderkey % 4 <> 0").select(F.col("o_custkey").alias("scene_id"), name.alias("name")))
+    exact = F.when(k % 3 == 0, "Reference.TIF").otherwise("my_reference.tif")
+    name = F.when(k % 5 == 0, exact).when(k % 5 == 1, F.concat(F.lit("a"), s, F.lit("-truth.tif"))).when(k % 5 == 2, F.concat(F.lit("b"), s, F.lit("_gt.tiff"))).when(k % 5 == 3, F.concat(F.lit("vgt"), s, F.lit(".tif"))).otherwise("truth.png")
+    return listings.pick_reference(fx.table(spark, d, "orders").select(F.col("o_custkey").alias("scene_id"), name.alias("name"), (k % 4 == 0).alias("is_input")))
 
 
 _UV = "uv AS (SELECT o_orderkey AS point_id, o_orderkey % (SELECT max(s) + 1 FROM ev) AS s, (o_custkey % 120 - 10) / 100.0::DOUBLE AS u, (o_orderkey % 90) / 89.0::DOUBLE AS v FROM orders WHERE o_orderstatus = 'P')"

@@ -4,7 +4,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from gridspark.operators import components, damage, georef
+from gridspark.operators import components, damage, georef, listings
 
 
 def test_crop_is_clipped_before_it_is_widened(spark):
@@ -38,3 +38,16 @@ def test_objects_end_before_their_last_row_and_column(spark):
     labels = components.label_components(spark.createDataFrame(cells, "scene_id long, row int, col int"), 4, 8)
     (one,) = components.extract_objects(labels, labels.withColumn("conf", F.col("col") / 10)).collect()
     assert (one.object_id, one.area, one.row0, one.row1, one.col0, one.col1, one.cy, one.cx, one.max_conf) == ("B001", 25, 2, 7, 3, 8, 4.0, 5.0, 0.7)
+
+
+def test_reference_raster(spark):
+    files = {
+        1: [("scene.tif", True), ("x-truth.tif", False), ("ref_dem.tif", False)],
+        2: [("a_gt.TIFF", False), ("vgt.tif", False), ("truth.png", False)],
+        3: [("a_gt.tif", False), ("ground_truth.tif", False)],
+        4: [("reference.tif", True), ("my_reference_v2.tif", None)],
+        5: [("image.tif", True)],
+    }
+    df = spark.createDataFrame([(s, n, i) for s, f in files.items() for n, i in f], "scene_id long, name string, is_input boolean")
+    got = {r.scene_id: (r.reference, r.ambiguous) for r in listings.pick_reference(df).collect()}
+    assert got == {1: ("ref_dem.tif", False), 2: ("a_gt.TIFF", False), 3: (None, True), 4: ("my_reference_v2.tif", False), 5: (None, False)}
