@@ -41,6 +41,10 @@ WAVES = 3
 """Parts in which keys are answered and texts scored: the shuffle files of one go before the next, so disk holds a third of them."""
 MERGE = 1_250_000
 """Keys that a task gathers before it adds up equal ones and closes a run of them."""
+HOLD = 3 * MERGE
+"""Keys in closed runs that a task holds before it puts the runs together."""
+RANGES = 32
+"""Ranges of buckets, put together one at a time."""
 SMALL = {"compression": "zstd", "parquet.writer.version": "v2"}
 """Files between steps: sorted keys as differences."""
 BUNDLES = {"compression": "none", "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "parquet.enable.dictionary": "false"}
@@ -212,13 +216,14 @@ def asker(buckets: int):
 
 
 class _Asked:
-    """Keys of a block with their counts: runs in order of buckets, put together a range of buckets at a time."""
+    """Keys of a block with their counts, in RANGES ranges of buckets: each has runs, which are put together once all hold half as much again as after the last time."""
 
     def __init__(self, buckets: int):
-        self.buckets, self.ranges = buckets, [buckets * i // 32 for i in range(33)]
+        self.buckets, self.ranges = buckets, [buckets * i // RANGES for i in range(RANGES + 1)]
         self.keys: list[np.ndarray] = []
         self.counts: list[np.ndarray] = []
-        self.runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.runs: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(RANGES)]
+        self.held, self.most = 0, HOLD
 
     def add(self, keys: np.ndarray, n: np.ndarray) -> None:
         self.keys.append(keys)
@@ -229,7 +234,18 @@ class _Asked:
     def _close(self) -> None:
         keys, n, bucket = self._sorted(self.keys, self.counts)
         self.keys, self.counts = [], []
-        self.runs.append((keys, n if n.max(initial=0) >> 32 else n.astype(np.uint32), np.searchsorted(bucket, self.ranges)))
+        at = np.searchsorted(bucket, self.ranges)
+        for runs, a, b in zip(self.runs, at, at[1:]):
+            runs.append((keys[a:b].copy(), _narrow(n[a:b])))
+        self.held += len(keys)
+        if self.held > self.most:
+            self.held = 0
+            for i, runs in enumerate(self.runs):
+                keys, n, _ = self._sorted(*map(list, zip(*runs)))
+                self.runs[i] = [(keys, _narrow(n))]
+                runs.clear()
+                self.held += len(keys)
+            self.most = max(HOLD, self.held * 3 // 2)
 
     def _sorted(self, keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct keys, in order of buckets and in each of keys; counts; buckets."""
@@ -240,14 +256,19 @@ class _Asked:
 
     def rows(self, block: int | None) -> Iterator[pa.RecordBatch]:
         self._close()
-        for i in range(32):
-            parts = [(keys[at[i] : at[i + 1]], n[at[i] : at[i + 1]]) for keys, n, at in self.runs]
-            keys, n, bucket = self._sorted(*map(list, zip(*parts)))
+        for runs in self.runs:
+            keys, n, bucket = self._sorted(*map(list, zip(*runs)))
+            runs.clear()
             made = [(bucket[a], block, b - a, _squeezed(np.diff(keys[a:b], prepend=np.uint64(0))), _squeezed(n[a:b])) for a, b in _edges(bucket)]
             if made:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "block", "n", "keys", "counts"])
 
 
+def _narrow(n: np.ndarray) -> np.ndarray:
+    """A copy in four bytes each, where that holds them."""
+    return n.copy() if n.max(initial=0) >> 32 else n.astype(np.uint32)
+
+
 def _keys(data: bytes, n: int) -> np.ndarray:
     return np.cumsum(_restored(data, n, np.uint64), dtype=np.uint64)
 
