@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridspark.operators import components, outlines, picking
+from gridspark.operators import components, levels, outlines, picking, planar
 from gridspark.plans.kernel_queries import _ALL4, _mask
 from gridspark.plans.registry import query
 from gridspark.sources import fixtures as fx
@@ -55,3 +55,24 @@ def c23_object_at_point(spark, d):
     """The feature under each order's point, or the nearest."""
     points = fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("point_id"), (F.col("o_orderkey") % 3).alias("scene_id"), (F.col("o_custkey") * 7 % 3100 / 10.0).alias("x"), (F.col("o_orderkey") * 11 % 2100 / 10.0).alias("y"))
     return picking.object_at_point(points, _rings(spark, d))
+
+
+def _blocks(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Labels of pixels of three classes, whose components are large, and all pixels with heights from ``truth``."""
+    px = fx.pixels(spark, d)
+    return components.label_components(px.where(F.col("cls").isin(2, 6, 9)).select("scene_id", "row", "col"), 4, CHUNK), px
+
+
+@query()
+def g09_object_levels(spark, d):
+    """Upper levels of every component; compared with plain Python in tests."""
+    labels, px = _blocks(spark, d)
+    objects = labels.select(*components.LABEL, F.lit(0.0).alias("base"), F.lit(0.5).alias("height")).distinct()
+    return levels.object_levels(labels, px.withColumn("z", F.col("truth") / 10), objects, least=5, chunk=CHUNK)[0]
+
+
+@query()
+def g17_planar_refine(spark, d):
+    """The verdict on the plane of every component; heights are a slope with a part of ``truth`` on it. Compared with plain Python in tests."""
+    labels, px = _blocks(spark, d)
+    return planar.planar_refine(px.withColumn("z", F.col("col") * 0.2 - F.col("row") * 0.1 + F.col("truth") / 30), labels, least=12)[1]
