@@ -11,18 +11,19 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridspark.llm.bytetext import byte_view, groups, lower, mix, shingles, word_hashes, words
+from gridspark.plans.lineage import cut
 
 BITS = 256
 _SALTS = np.arange(BITS // 64, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019)
-MAX_SPANS = 8192
-SPAN_ROWS = 1000
-"""Documents are ordered in ranges of about SPAN_ROWS ids; more than MAX_SPANS ranges are not made, they grow instead."""
+WEIGHTS = 64
+"""Weights are whole numbers of 1 / WEIGHTS, so that sums of votes are exact in any order of products."""
+RADIUS = 7
+"""Bits in which fingerprints of near documents differ at most: eight tables of 32 bits."""
 
 
 def simhash(terms: np.ndarray) -> bytes:
@@ -30,13 +31,14 @@ def simhash(terms: np.ndarray) -> bytes:
     if not len(terms):
         return bytes(BITS // 8)
     distinct, n = np.unique(terms, return_counts=True)
-    weight, votes = (1 + np.log(n)).astype(np.float32), np.zeros(BITS, np.float64)
+    # at most 1,500 each and 4,096 at a time: below 2**24, so exact
+    weight, votes = np.rint(WEIGHTS * (1 + np.log(n))).astype(np.float32), np.zeros(BITS, np.float64)
     for at in range(0, len(distinct), 4096):
         part = distinct[at : at + 4096]
         bits = np.unpackbits(mix(part[:, None] ^ _SALTS).view(np.uint8), axis=1).astype(np.float32)
         own = weight[at : at + 4096]
         votes += 2.0 * (own @ bits) - own.sum(dtype=np.float64)
-    return np.packbits(votes > 1e-3).tobytes()
+    return np.packbits(votes > 0).tobytes()
 
 
 def fingerprints_of(texts: list[str]) -> list[bytes]:
@@ -96,54 +98,79 @@ def edited(text: str, after: str) -> str:
     return text[: len(text) - half] + after[:half]
 
 
-def with_edits(docs: DataFrame) -> DataFrame:
+def with_edits(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Fingerprint of each row's whole text and of its text edited with that of the next document; see op9.
 
-    Rows are in the order of doc_id (null first), then text; after the last comes the first, so one row alone follows
-    itself. Rows are dealt into ranges of about SPAN_ROWS ids, bounded by approximate quantiles (at most MAX_SPANS of
-    them reach the driver); the rows of a range's first id also go to the range before. Texts are shuffled once.
+    Rows are in the order of doc_id (null first), then of the text's digest, equal rows in any; after the last comes the
+    first, so one row alone follows itself. Null texts are empty ones. Ranges of that order are walked as streams, each
+    holding one row back; only the first and the last row of a range meet those of others. Texts are shuffled once.
+
+    ``n_near``, for rows whose doc_id is divisible by 50 (null for others), is the number of other rows whose
+    fingerprints are within ``radius`` bits. An empty table gives an empty one; columns but doc_id and text play no part.
     """
-    ids = docs.agg(F.count("*").alias("n")).first()
-    spans = int(min(MAX_SPANS, max(1, ids.n // SPAN_ROWS)))
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / spans for i in range(1, spans)], 100_000)).first()[0] if spans > 1 else []
-    bounds = np.unique(np.array(cuts or [], np.int64))
-    lowest = np.iinfo(np.int64).min
-
-    @F.pandas_udf("int")
-    def span_of(key: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, key.to_numpy(), side="left").astype(np.int32))
-
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(lowest)).alias("at"))
-    first = keyed.select("at", span_of("at").alias("span")).groupBy("span").agg(F.min("at").alias("at")).orderBy("span").collect()
-    # an id that opens a range follows the last row of the range before; that of the first range follows the very last row
-    opens = np.array([r["at"] for r in first], np.int64)
-    before = [first[i - 1]["span"] for i in range(len(first))]
-
-    @F.pandas_udf("array<struct<span:int,follows:boolean>>")
-    def places(key: pd.Series) -> pd.Series:
-        at = np.searchsorted(bounds, key.to_numpy(), side="left")
-        head = np.searchsorted(opens, key.to_numpy(), side="left")
-        return pd.Series([[(int(x), False), (before[h], True)] if h < len(opens) and opens[h] == k else [(int(x), False)] for x, h, k in zip(at, head, key)])
-
-    def finger(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table["follows"].to_pylist(), table["at"].to_pylist(), table["text"].to_pylist(), table["doc_id"].to_pylist()), key=lambda r: r[:3])
-        own = [r for r in rows if not r[0]]
-        texts = [r[2] for r in own] + [r[2] for r in rows[len(own) :][:1]]
-        out: list[tuple] = []
-        prints = fingerprints_of(texts)
-        for i in range(0, len(own), 128):
-            changed = [edited(texts[j], texts[j + 1]) for j in range(i, min(i + 128, len(own)))]
-            for j, (text, new) in enumerate(zip(changed, fingerprints_of(changed)), i):
-                out.append((own[j][3], len(texts[j]), hashlib.sha256(text.encode()).hexdigest(), prints[j].hex(), new.hex(), likeness(prints[j], new), likeness(prints[j], prints[j + 1])))
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 7, _EDITS)], schema=_EDITS)
-
-    dealt = keyed.select("doc_id", "text", "at", F.explode(places("at")).alias("p")).select("p.span", "p.follows", "doc_id", "at", "text")
-    return dealt.groupBy("span").applyInArrow(finger, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-
-
-_EDITS = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.md5(F.col("text").cast("binary")))
+    ranges = keyed.repartitionByRange(F.asc_nulls_first("doc_id"), "digest").sortWithinPartitions(F.asc_nulls_first("doc_id"), "digest")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, part = None, None
+        for batch in batches:
+            for at in range(0, len(batch), 128):
+                own = batch.slice(at, 128)
+                texts = own.column(1).to_pylist()
+                rows = list(zip(own.column(0).to_pylist(), texts, fingerprints_of(texts)))
+                if held is None:
+                    part = own.column(2)[0].as_py()
+                    yield _edge(rows[0], part, "first")
+                else:
+                    rows.insert(0, held)
+                held = rows[-1]
+                yield _edits(rows)
+        if held is not None:
+            yield _edge(held, part, "last")
+
+    made = cut(ranges.select("doc_id", "text", F.spark_partition_id().alias("part")).mapInArrow(walk, _RESULT + ", part int, edge string, text string"))
+    heads = made.where("edge = 'first'")
+    # as many rows as there are ranges, of two whole numbers each
+    order = Window.orderBy("part")
+    turn = heads.select("part", F.coalesce(F.lead("part").over(order), F.min("part").over(Window.partitionBy())).alias("after"))
+    seams = made.where("edge = 'last'").select("part", "doc_id", "text").join(turn, "part").join(heads.select(F.col("part").alias("after"), F.col("text").alias("next")), "after")
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(len(batch)):
+                doc, text, after = (batch.column(i)[at].as_py() for i in range(3))
+                prints = fingerprints_of([text, after])
+                yield _edits([(doc, text, prints[0]), (None, after, prints[1])]).select(_COLUMNS)
+
+    rows = made.where("edge is null").select(*_COLUMNS).unionByName(seams.select("doc_id", "text", "next").mapInArrow(close, _RESULT))
+    asks = F.coalesce(F.col("doc_id") % 50 == 0, F.lit(False))
+    number = rows.groupBy("fingerprint").agg(F.count("*").alias("rows"))
+    found = within_radius(rows.where(asks), number, radius).join(number, "fingerprint")
+    near = found.groupBy(F.col("query").alias("fingerprint")).agg((F.sum("rows") - 1).alias("n_near"))
+    asked = rows.where(asks).join(near, "fingerprint").select(*_COLUMNS, "n_near")
+    return asked.unionByName(rows.where(~asks).withColumn("n_near", F.lit(None).cast("long")))
+
+
+_COLUMNS = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+_RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_WALKED = pa.schema([*zip(_COLUMNS, [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]), ("part", pa.int32()), ("edge", pa.string()), ("text", pa.string())])
+
+
+def _edge(row: tuple, part: int, edge: str) -> pa.RecordBatch:
+    """The first or last row of a range, with its text."""
+    return pa.RecordBatch.from_pylist([{"doc_id": row[0], "part": part, "edge": edge, "text": row[1]}], _WALKED)
+
+
+def _edits(rows: list[tuple[int | None, str, bytes]]) -> pa.RecordBatch:
+    """Result of each row but the last, from ``(doc_id, text, fingerprint)`` of it and the row after."""
+    changed = [edited(a[1], b[1]) for a, b in zip(rows, rows[1:])]
+    out = []
+    for (doc, text, own), (_, _, after), new, made in zip(rows, rows[1:], changed, fingerprints_of(changed)):
+        values = (doc, len(text), hashlib.sha256(new.encode()).hexdigest(), own.hex(), made.hex(), likeness(own, made), likeness(own, after))
+        out.append(dict(zip(_COLUMNS, values)))
+    return pa.RecordBatch.from_pylist(out, _WALKED)
 
 
 def op9_fingerprints(spark, sf_dir: str) -> DataFrame:
-    """Fingerprints of every document and of its edited text."""
+    """Fingerprints of every document and of its edited text, and how many documents are near those divisible by 50."""
     return with_edits(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -364,7 +364,43 @@ def test_fingerprints(spark, odd, documents):
         edited = fingerprints.edited(t or "", documents[(k + 1) % len(documents)][1] or "")
         assert got[d].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and got[d].n_chars == len(t or "")
     assert np.mean([r.near_edited > r.near_next for r in got.values()]) > 0.9
-    assert len(fingerprints.with_edits(odd).collect()) == len(ODD) and fingerprints.with_edits(odd.limit(0)).count() == 0
+    assert fingerprints.with_edits(odd.limit(0)).count() == 0
+
+
+def plain_fingerprint(text):
+    """Votes by plain Python; hashes of words and of pairs are the operator's own."""
+    found = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").translate({i: i + 32 for i in range(65, 91)}).encode())
+    own = [fingerprints.word_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)])) for w in found]
+    terms = [fingerprints.shingles(np.concatenate(p), 2) for p in zip(own, own[1:])] or [fingerprints.shingles(w, 2) for w in own]
+    votes = [0] * fingerprints.BITS
+    for term, n in collections.Counter(int(t[0]) for t in terms).items():
+        bits = b"".join(int(fingerprints.mix(np.array([term], np.uint64) ^ s)[0]).to_bytes(8, "little") for s in fingerprints._SALTS)
+        for i in range(fingerprints.BITS):
+            votes[i] += (1 if bits[i // 8] >> (7 - i % 8) & 1 else -1) * round(fingerprints.WEIGHTS * (1 + math.log(n)))
+    return sum(1 << (fingerprints.BITS - 1 - i) for i, v in enumerate(votes) if v > 0)
+
+
+def test_fingerprints_equal_brute_force(spark, odd, documents):
+    """Every column, over several ranges; repeated and null ids, equal rows, near texts under other ids."""
+    near = [(100_000 + 50 * i, documents[i][1] + " and so") for i in range(6)] + [(100_001 + 50 * i, documents[i][1]) for i in range(3)]
+    rows = [(d, t) for d, t, _, _ in documents[:30]] + near + [(i, t) for i, t in ODD] + [(2, "other text of this id")]
+    df = spark.createDataFrame([(d, t, "clash", k) for k, (d, t) in enumerate(rows)], "doc_id long, text string, fingerprint string, part int").repartition(5)
+    rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, hashlib.md5((r[1] or "").encode()).hexdigest()))
+    texts = [t or "" for _, t in rows]
+    prints = [plain_fingerprint(t) for t in texts]
+    like = lambda a, b: 1 - (a ^ b).bit_count() / 256
+    want = []
+    for k, (d, _) in enumerate(rows):
+        after = texts[(k + 1) % len(rows)]
+        new = fingerprints.edited(texts[k], after)
+        made = plain_fingerprint(new)
+        count = sum((p ^ prints[k]).bit_count() <= fingerprints.RADIUS for p in prints) - 1 if d is not None and d % 50 == 0 else None
+        want.append((d, len(texts[k]), hashlib.sha256(new.encode()).hexdigest(), f"{prints[k]:064x}", f"{made:064x}", like(prints[k], made), like(prints[k], prints[(k + 1) % len(rows)]), count))
+    got = [tuple(r[c] for c in [*fingerprints._COLUMNS, "n_near"]) for r in fingerprints.with_edits(df).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert any(r[-1] for r in want)
+    one = fingerprints.with_edits(df.limit(1)).collect()
+    assert len(one) == 1 and one[0].near_next == 1.0
 
 
 def test_radius_search(spark):
