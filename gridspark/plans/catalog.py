@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridspark.plans import kernel_queries, map_queries, object_queries, refine_queries, registry, report_queries, route_queries  # noqa: F401
+from gridspark.plans import kernel_queries, map_queries, object_queries, refine_queries, registry, report_queries, route_queries, tile_queries  # noqa: F401
 
 QUERIES = registry.QUERIES
 ORACLES = registry.ORACLES
