@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridspark.operators import components, levels, outlines, picking, planar
+from gridspark.operators import components, levels, outlines, picking, planar, rectangles
 from gridspark.plans.kernel_queries import _ALL4, _mask
 from gridspark.plans.registry import query
 from gridspark.sources import fixtures as fx
@@ -76,3 +76,9 @@ def g17_planar_refine(spark, d):
     """The verdict on the plane of every component; heights are a slope with a part of ``truth`` on it. Compared with plain Python in tests."""
     labels, px = _blocks(spark, d)
     return planar.planar_refine(px.withColumn("z", F.col("col") * 0.2 - F.col("row") * 0.1 + F.col("truth") / 30), labels, least=12)[1]
+
+
+@query()
+def g11_rect_decompose(spark, d):
+    """The rectangles of every component that is made of several; compared with plain Python in tests."""
+    return rectangles.rect_decompose(_blocks(spark, d)[0])
