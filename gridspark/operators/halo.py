@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridspark.operators.quantiles import percentiles
+
 CHUNK = 256
 
 
@@ -133,7 +135,7 @@ def median_filter(px: DataFrame, size: int = 3, chunk: int = CHUNK, cut_off: boo
 
 def ground_surface(px: DataFrame, size: int = 64, chunk: int = CHUNK) -> DataFrame:
     """Median over wide windows as the ground; values that are not finite count as the scene's median."""
-    middle = px.where(~F.isnan("z") & F.col("z").isNotNull()).groupBy("scene_id").agg(F.percentile("z", 0.5).alias("m"))
+    middle = percentiles(px, ["scene_id"], "z", [0.5]).select("scene_id", F.col("p")[0].alias("m"))
     whole = px.join(middle, "scene_id").select("scene_id", "row", "col", F.when(F.isnan("z") | F.col("z").isNull(), F.col("m")).otherwise(F.col("z")).alias("z"))
     return median_filter(whole, size, chunk, cut_off=False).withColumnRenamed("median", "ground")
 

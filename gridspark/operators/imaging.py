@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.functions.rasters import clamp, finite
+from gridspark.operators.quantiles import percentiles
 
 # Channel means and deviations of the usual image statistics.
 IMAGE_MEAN = (0.485, 0.456, 0.406)
@@ -29,7 +30,7 @@ def to_uint8(px: DataFrame, column: str = "z") -> DataFrame:
 def stretch_u8(px: DataFrame, column: str = "z") -> DataFrame:
     """``px`` with ``u8``: 8-bit content is kept, wider ranges are stretched between the scene's 2nd and 98th percentile, a flat scene is 128, a value that is not finite 0."""
     v = F.when(finite(F.col(column)), F.col(column))
-    stats = px.groupBy("scene_id").agg(F.percentile(v, F.array(F.lit(0.02), F.lit(0.98))).alias("p"), F.max(v).alias("top"))
+    stats = px.groupBy("scene_id").agg(F.max(v).alias("top")).join(percentiles(px.withColumn("v", v), ["scene_id"], "v", [0.02, 0.98]).drop("n"), "scene_id", "left")
     lo, hi = F.col("p")[0], F.col("p")[1]
     plain = (lo >= 0) & (hi <= 255) & (F.col("top") <= 255)
     unit = clamp(F.try_divide(F.col(column) - lo, hi - lo), 0.0, 1.0)

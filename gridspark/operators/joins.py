@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridspark.plans.lineage import cut
+
 KEYS = ["scene_id", "row", "col"]
 
 
 def align(pred: DataFrame, truth: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs on equal pixels, and scenes whose grids do not match (pixels without a partner)."""
     p, t = pred.select(*KEYS, F.col("z").alias("pred")), truth.select(*KEYS, F.col("z").alias("truth"))
-    full = p.withColumn("has_p", F.lit(1)).join(t.withColumn("has_t", F.lit(1)), KEYS, "full_outer")
+    full = cut(p.withColumn("has_p", F.lit(1)).join(t.withColumn("has_t", F.lit(1)), KEYS, "full_outer"))  # both results read it
     lost = full.groupBy("scene_id").agg(F.count_if(F.col("has_p").isNull() | F.col("has_t").isNull()).alias("lost")).where("lost > 0")
-    return p.join(t, KEYS), lost.select("scene_id", F.lit("GRID_MISMATCH").alias("status_code"), "lost")
+    return full.where("has_p = 1 and has_t = 1").drop("has_p", "has_t"), lost.select("scene_id", F.lit("GRID_MISMATCH").alias("status_code"), "lost")
 
 
 def resample_bilinear(px: DataFrame, target: DataFrame) -> DataFrame:

@@ -142,12 +142,28 @@ def random_crop(px: DataFrame, height: int, width: int, size: int, seed: int = 4
     return inside.withColumns({"row": F.col("row") - r0, "col": F.col("col") - c0})
 
 
+def _oldest(jobs: DataFrame, n: int) -> DataFrame:
+    """The n first of ``jobs`` by created, then job_id: whole days, of the day that n ends in whole seconds, of its second by rank.
+
+    Days, seconds of one day and jobs of one second are what a task sees.
+    """
+    when = F.unix_timestamp("created")
+    rest, taken = jobs.withColumns({"day": F.floor(when / 86400), "second": F.pmod(when, F.lit(86400)), "left": F.lit(n)}), []
+    for unit in ("day", "second"):
+        counts = rest.groupBy(unit, "left").agg(F.count("*").alias("c")).withColumn("upto", F.sum("c").over(Window.orderBy(unit)))
+        placed = rest.join(counts.select(unit, "c", "upto"), unit)
+        taken.append(placed.where("upto <= left").select(*jobs.columns))
+        rest = placed.where("upto > left and upto - c < left").withColumn("left", F.col("left") - (F.col("upto") - F.col("c"))).drop("c", "upto")
+    ranked = rest.withColumn("rank", F.row_number().over(Window.partitionBy("day", "second").orderBy("created", "job_id"))).where("rank <= left")
+    return taken[0].unionByName(taken[1]).unionByName(ranked.select(*jobs.columns))
+
+
 def job_retention(jobs: DataFrame, now: F.Column, ttl_hours: int = 24, keep: int = 500) -> DataFrame:
     """Jobs that go, of ``jobs(job_id, created, status)``: those past their time, and of the others the oldest ended ones while more than ``keep`` are left."""
     aged = jobs.withColumn("old", F.timestamp_diff("SECOND", F.col("created"), now) > ttl_hours * 3600)
     over = aged.where("not old").agg(F.greatest(F.count("*") - keep, F.lit(0)).alias("over"))  # one row
     ended = aged.where("not old").where(F.col("status").isin("completed", "failed", "cancelled"))
-    oldest = ended.orderBy("created", "job_id").limit(int(over.first()[0]))
+    oldest = _oldest(ended, int(over.first()[0]))
     return aged.where("old").select("job_id", F.lit("expired").alias("why")).unionByName(oldest.select("job_id", F.lit("overflow").alias("why")))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.functions.rasters import finite, pearson, valid
+from gridspark.operators.quantiles import percentiles
 
 
 def inspect(px: DataFrame, nodata: float | None = None) -> DataFrame:
@@ -128,7 +129,8 @@ def fit_affine_huber(pairs: DataFrame, delta: float = 1.0, start: tuple[float, f
 
 def constant_baselines(pairs: DataFrame, train: str) -> DataFrame:
     """Errors by split of predicting 0, the training mean and the training median."""
-    fit = pairs.where((F.col("split") == train) & finite(F.col("truth"))).agg(F.avg("truth").alias("mean"), F.percentile("truth", 0.5).alias("median"))
+    learnt = pairs.where((F.col("split") == train) & finite(F.col("truth")))
+    fit = learnt.agg(F.avg("truth").alias("mean")).join(percentiles(learnt, ["split"], "truth", [0.5]).select(F.col("p")[0].alias("median")), how="left")  # one row each
     guesses = fit.select(F.explode(F.create_map(F.lit("zero"), F.lit(0.0), F.lit("mean"), F.col("mean"), F.lit("median"), F.col("median"))).alias("baseline", "guess"))
     return pooled_metrics(pairs.crossJoin(F.broadcast(guesses)).withColumn("pred", F.col("guess")), "baseline", "split")  # three rows
 
@@ -143,7 +145,8 @@ def scene_type(px: DataFrame, building: int = 6, vegetation: list[int] | None =
     veg = F.col("cls").isin(vegetation or [5])
     ok = finite(F.col("z")) & (F.col("z") != -9999)
     v = F.when(ok, F.col("z"))
-    s = px.groupBy("scene_id").agg(F.avg((F.col("cls") == building).cast("double")).alias("b"), F.avg(veg.cast("double")).alias("v"), F.count(v).alias("n"), F.percentile(v, F.array(F.lit(0.5), F.lit(0.95))).alias("p"))
+    s = px.groupBy("scene_id").agg(F.avg((F.col("cls") == building).cast("double")).alias("b"), F.avg(veg.cast("double")).alias("v"), F.count(v).alias("n"))
+    s = s.join(percentiles(px.where(ok), ["scene_id"], "z", [0.5, 0.95]).drop("n"), "scene_id", "left")
     relief = F.when(F.col("n") > 10, F.col("p")[1] - F.col("p")[0]).otherwise(0.0)
     kind = F.when(F.col("b") >= 0.15, "urban").when(F.col("v") >= 0.5, "forest").when(relief >= 15, "hilly").when(F.col("b") >= 0.02, "sparse").otherwise("flat")
     return s.select("scene_id", F.col("b").alias("building_share"), F.col("v").alias("vegetation_share"), relief.alias("relief"), kind.alias("scene_type"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridspark.functions.rasters import clamp, finite, valid
+from gridspark.operators.quantiles import percentiles
 
 DEFAULT_NODATA = -9999.0
 
@@ -65,7 +66,7 @@ def denormalize(norm: DataFrame, params: DataFrame, sentinel: float = -1.0) -> D
 def stretch_to_01(px: DataFrame, low: float = 0.02, high: float = 0.98, nodata: float | None = None, flat: float = 0.5, fill: float | None = None) -> DataFrame:
     """Valid values stretched between two exact percentiles of the scene and clipped to [0, 1]; a flat scene gives ``flat``, an invalid value ``fill``."""
     ok = valid(F.col("z"), nodata)
-    p = per_scene(px.where(ok), F.percentile("z", F.array(F.lit(low), F.lit(high))).alias("p")).select("scene_id", F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi"))
+    p = percentiles(px.where(ok), ["scene_id"], "z", [low, high]).select("scene_id", F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi"))
     unit = F.when(F.col("hi") > F.col("lo"), clamp(F.try_divide(F.col("z") - F.col("lo"), F.col("hi") - F.col("lo")), 0.0, 1.0)).otherwise(flat)
     return px.join(p, "scene_id", "left").select(*px.columns, F.when(ok, unit).otherwise(fill).alias("unit"))
 

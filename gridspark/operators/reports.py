@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from gridspark.functions.rasters import finite
 from gridspark.operators import focal, metrics, pixels
+from gridspark.operators.quantiles import percentiles
+from gridspark.plans.lineage import cut
 
 KEYS = ["scene_id", "row", "col"]
 
@@ -42,7 +44,8 @@ def scene_type_labelled(px: DataFrame, legend: DataFrame, building: int = 0, veg
     mapped, _ = pixels.map_classes(px, legend, ignore)
     cls = F.when(F.col("project_cls") != ignore, F.col("project_cls"))
     v = F.when(finite(F.col("z")), F.col("z"))
-    s = mapped.groupBy("scene_id").agg(F.avg((cls == building).cast("double")).alias("b"), F.avg((cls == vegetation).cast("double")).alias("v"), F.count(v).alias("n"), F.percentile(v, F.array(F.lit(0.5), F.lit(0.95))).alias("p"))
+    s = mapped.groupBy("scene_id").agg(F.avg((cls == building).cast("double")).alias("b"), F.avg((cls == vegetation).cast("double")).alias("v"), F.count(v).alias("n"))
+    s = s.join(percentiles(px.where(finite(F.col("z"))), ["scene_id"], "z", [0.5, 0.95]).drop("n"), "scene_id", "left")
     relief = F.when(F.col("n") > 10, F.col("p")[1] - F.col("p")[0]).otherwise(0.0)
     kind = F.when(F.col("b").isNull(), "flat").when(F.col("b") >= 0.15, "urban").when(F.col("v") >= 0.5, "forest").when(relief >= 15, "hilly-high-relief").when(F.col("b") >= 0.02, "sparse-suburban").otherwise("flat")
     return s.select("scene_id", F.col("b").alias("building_share"), F.col("v").alias("vegetation_share"), relief.alias("relief"), kind.alias("scene_type"))
@@ -106,12 +109,14 @@ def before_after(pairs: DataFrame, eps: float = 1e-4) -> DataFrame:
     g = focal.gradient(pairs.withColumn("z", F.col("raw"))).withColumn("g_raw", F.hypot("gy", "gx")).drop("gy", "gx")
     g = focal.gradient(g.withColumn("z", F.col("refined"))).withColumn("g_ref", F.hypot("gy", "gx"))
     d = F.abs(F.col("refined") - F.col("raw"))
-    limit = g.groupBy("scene_id").agg(F.percentile("g_raw", 0.95).alias("limit"))
+    g = cut(g)
+    limit = percentiles(g, ["scene_id"], "g_raw", [0.95]).select("scene_id", F.col("p")[0].alias("limit"))
     steep = F.col("g_raw") > F.col("limit")
     s = g.withColumn("d", d).join(limit, "scene_id").groupBy("scene_id").agg(
         F.count("*").alias("n"), (F.avg((F.col("d") > eps).cast("double")) * 100).alias("changed_percent"), F.avg("d").alias("mae"), F.sqrt(F.avg(F.col("d") * F.col("d"))).alias("rmse"),
-        F.max("d").alias("max_ae"), F.percentile("d", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))).alias("p"), F.avg(F.when(steep, F.col("g_ref"))).alias("e_ref"), F.avg(F.when(steep, F.col("g_raw"))).alias("e_raw"),
+        F.max("d").alias("max_ae"), F.avg(F.when(steep, F.col("g_ref"))).alias("e_ref"), F.avg(F.when(steep, F.col("g_raw"))).alias("e_raw"),
     )
+    s = s.join(percentiles(g.withColumn("d", d), ["scene_id"], "d", [0.5, 0.95, 0.99]).drop("n"), "scene_id", "left")
     return s.select("scene_id", "n", "changed_percent", "mae", "rmse", "max_ae", F.col("p")[0].alias("medae"), F.col("p")[1].alias("p95_ae"), F.col("p")[2].alias("p99_ae"), F.coalesce(F.col("e_ref") / F.greatest("e_raw", F.lit(1e-6)), F.lit(1.0)).alias("edge_preservation"))
 
 

@@ -21,10 +21,19 @@ def tile_windows(scenes: DataFrame, size: int, overlap: int) -> DataFrame:
 
 
 def tile_pixels(px: DataFrame, scenes: DataFrame, size: int, overlap: int) -> DataFrame:
-    """Each pixel in every window that covers it, with its place (i, j) there; a range join made an expression on each pixel."""
+    """Each pixel in every window that covers it, with its place (i, j) there; the windows are told from the pixel's place."""
     stride = size - overlap
     sized = px.join(scenes.select("scene_id", "height", "width"), "scene_id")
-    covers = lambda at, extent: F.filter(F.transform(starts(extent, size, stride), lambda s, k: F.struct(k.alias("k"), s.alias("s"))), lambda w: (w["s"] <= at) & (at < w["s"] + size))
+
+    def covers(at: F.Column, extent: F.Column) -> F.Column:
+        last = F.greatest(extent - size, F.lit(0))
+        count = F.ceil(last / stride).cast("int")  # windows before the one moved in
+        low = F.greatest(F.ceil((at - size + 1) / stride), F.lit(0)).cast("int")
+        high = F.least(F.floor(at / stride).cast("int"), count - 1)
+        whole = F.when(low <= high, F.transform(F.sequence(low, F.greatest(high, low)), lambda k: F.struct(k.cast("int").alias("k"), (k * stride).cast("int").alias("s")))).otherwise(F.array().cast("array<struct<k:int,s:int>>"))
+        moved = F.when(at >= last, F.array(F.struct(count.alias("k"), last.cast("int").alias("s")))).otherwise(F.array().cast("array<struct<k:int,s:int>>"))
+        return F.concat(whole, moved)
+
     rows = sized.select("*", F.explode(covers(F.col("row"), F.col("height"))).alias("wr"))
     both = rows.select("*", F.explode(covers(F.col("col"), F.col("width"))).alias("wc"))
     return both.select("scene_id", F.col("wr.k").alias("ri"), F.col("wc.k").alias("ci"), "row", "col", (F.col("row") - F.col("wr.s")).alias("i"), (F.col("col") - F.col("wc.s")).alias("j"), "z")
