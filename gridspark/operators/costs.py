@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.operators import distance, focal
+from gridspark.operators import distance, focal, halo
 
 # Weights of the classes building, vegetation, road, water, ground, other, and the factors of damage 1 to 4.
 WEIGHTS = [1000.0, 4.0, 0.65, 1000.0, 1.0, 1.5]
@@ -66,8 +66,8 @@ def classify_passability(px: DataFrame, vehicles: DataFrame, height: int, width:
     """
     factor = max(1, -(-max(height, width) // cap))
     grid = focal.block_mean(px, factor, height, width) if factor > 1 else px.select("scene_id", "row", "col", "z")
-    grid = focal.slope_deg(grid, (gsd or 1.0) * factor)
-    grid = focal.roughness(focal.step_height(grid)) if gsd else grid.withColumns({"step": F.lit(0.0), "rough": F.lit(0.0)})
+    grid = halo.terrain(grid, (gsd or 1.0) * factor)
+    grid = grid if gsd else grid.withColumns({"step": F.lit(0.0), "rough": F.lit(0.0)})
     both = grid.crossJoin(F.broadcast(vehicles))  # a table of profiles
     limit = lambda c: F.col(c) if gsd else F.lit(float("inf"))
     return both.select("scene_id", "vehicle", "row", "col", "slope", "step", "rough", passability(F.col("slope"), F.col("step"), F.col("rough"), F.col("max_slope"), limit("max_step"), limit("max_rough")).alias("cls"))

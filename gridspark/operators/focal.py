@@ -1,4 +1,4 @@
-"""Neighbourhood operators by window frames over rows and columns.
+"""Neighbourhood operators by window frames over rows and columns; slope, step and roughness by chunks.
 
 Frames are partitioned by (scene, row) or (scene, col), so a scene of any size is dealt out by its lines.
 """
@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridspark.operators import halo
+
 
 def _lines(along: str):
     across = "row" if along == "col" else "col"
@@ -25,37 +27,24 @@ def gradient(px: DataFrame, z: str = "z") -> DataFrame:
     return out
 
 
-def slope_deg(px: DataFrame, gsd: float, z: str = "z") -> DataFrame:
-    g = gradient(px, z)
-    return g.withColumn("slope", F.degrees(F.atan(F.hypot(F.col("gy") / gsd, F.col("gx") / gsd)))).drop("gy", "gx")
-
-
-def _extreme(px: DataFrame, column: str, name: str, fn, before: int, after: int) -> DataFrame:
-    first = px.withColumn(name, fn(column).over(_lines("col").rowsBetween(-before, after)))
-    return first.withColumn(name, fn(name).over(_lines("row").rowsBetween(-before, after)))
+def slope_deg(px: DataFrame, gsd: float, chunk: int = halo.CHUNK) -> DataFrame:
+    """``(scene_id, row, col, slope)``; ``halo.terrain`` gives slope, step and roughness at once."""
+    return halo.terrain(px, gsd, chunk).drop("step", "rough")
 
 
-def step_height(px: DataFrame, z: str = "z") -> DataFrame:
-    """Largest less smallest value of the 3 x 3 neighbourhood; repeating the border does not change either."""
-    return _extreme(_extreme(px, z, "hi", F.max, 1, 1), z, "lo", F.min, 1, 1).withColumn("step", F.col("hi") - F.col("lo")).drop("hi", "lo")
+def step_height(px: DataFrame, chunk: int = halo.CHUNK) -> DataFrame:
+    """``(scene_id, row, col, step)``: largest less smallest value of the 3 x 3 neighbourhood; repeating the border does not change either."""
+    return halo.terrain(px, 1.0, chunk).drop("slope", "rough")
 
 
-def _edge_sum(px: DataFrame, column: str, along: str, reach: int) -> F.Column:
-    """Sum of ``2 * reach + 1`` pixels of a line; beyond its ends the last pixel repeats."""
-    line = _lines(along)
-    whole = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    at = F.row_number().over(line)
-    before, after = F.greatest(reach + 1 - at, F.lit(0)), F.greatest(reach - F.count(F.lit(1)).over(whole) + at, F.lit(0))
-    return F.sum(column).over(line.rowsBetween(-reach, reach)) + before * F.first(column).over(whole) + after * F.last(column).over(whole)
+def roughness(px: DataFrame, chunk: int = halo.CHUNK) -> DataFrame:
+    """``(scene_id, row, col, rough)``: standard deviation of the 5 x 5 window with the border repeated; heights must be finite."""
+    return halo.terrain(px, 1.0, chunk).drop("slope", "step")
 
 
-def roughness(px: DataFrame, z: str = "z", reach: int = 2) -> DataFrame:
-    """Standard deviation of the square window, 5 x 5 by default, with the border repeated; heights must be finite."""
-    out, n = px.withColumn("m1", F.col(z)).withColumn("m2", F.col(z) * F.col(z)), (2 * reach + 1) ** 2
-    for along in ("col", "row"):
-        out = out.withColumns({m: _edge_sum(out, m, along, reach) for m in ("m1", "m2")})
-    mean = F.col("m1") / n
-    return out.withColumn("rough", F.sqrt(F.greatest(F.col("m2") / n - mean * mean, F.lit(0.0)))).drop("m1", "m2")
+def _extreme(px: DataFrame, column: str, name: str, fn, before: int, after: int) -> DataFrame:
+    first = px.withColumn(name, fn(column).over(_lines("col").rowsBetween(-before, after)))
+    return first.withColumn(name, fn(name).over(_lines("row").rowsBetween(-before, after)))
 
 
 def local_maxima(px: DataFrame, z: str = "z", reach: int = 12, least: float | None = None) -> DataFrame:

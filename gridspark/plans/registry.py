@@ -418,7 +418,7 @@ _SLOPE = f"{_CL}, nb AS (SELECT *, lag(z) OVER (PARTITION BY s, c ORDER BY r) AS
 
 @query(f"WITH {_SLOPE} SELECT s AS scene_id, r AS \"row\", c AS col, round(degrees(atan(sqrt((gy / 0.5) ** 2 + (gx / 0.5) ** 2))), 6) AS slope FROM gr")
 def e01_slope_deg(spark, d):
-    return focal.slope_deg(_smooth(spark, d), 0.5).select("scene_id", "row", "col", "slope")
+    return focal.slope_deg(_smooth(spark, d), 0.5)
 
 
 _NEAR = "FROM k a JOIN k b ON a.s = b.s AND b.r BETWEEN a.r - 1 AND a.r + 1 AND b.c BETWEEN a.c - 1 AND a.c + 1 GROUP BY a.s, a.r, a.c"
@@ -426,13 +426,13 @@ _NEAR = "FROM k a JOIN k b ON a.s = b.s AND b.r BETWEEN a.r - 1 AND a.r + 1 AND
 
 @query(f"WITH {_CL} SELECT a.s AS scene_id, a.r AS \"row\", a.c AS col, round(max(b.z) - min(b.z), 6) AS step {_NEAR}")
 def e02_step_height(spark, d):
-    return focal.step_height(_smooth(spark, d)).select("scene_id", "row", "col", "step")
+    return focal.step_height(_smooth(spark, d))
 
 
 @query(f"""WITH {_CL}, o AS (SELECT a.s, a.r, a.c, greatest(0, least({fx.HEIGHT - 1}, a.r + y.d)) AS nr, greatest(0, least({fx.WIDTH - 1}, a.c + x.d)) AS nc FROM k a, (SELECT unnest(range(-2, 3)) AS d) y, (SELECT unnest(range(-2, 3)) AS d) x)
 SELECT o.s AS scene_id, o.r AS "row", o.c AS col, round(stddev_pop(b.z), 6) AS rough FROM o JOIN k b ON b.s = o.s AND b.r = o.nr AND b.c = o.nc GROUP BY ALL""")
 def e03_roughness(spark, d):
-    return focal.roughness(_smooth(spark, d)).select("scene_id", "row", "col", "rough")
+    return focal.roughness(_smooth(spark, d))
 
 
 @query(f"""WITH {_CL}, m AS (SELECT a.s, a.r, a.c, a.z, max(b.z) AS top FROM k a JOIN k b ON a.s = b.s AND abs(a.r - b.r) <= 12 AND abs(a.c - b.c) <= 12 GROUP BY ALL)

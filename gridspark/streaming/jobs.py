@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridspark.functions.rasters import finite
 from gridspark.operators.metrics import _sums, from_sums
 
 TERMINAL = ("completed", "failed")
@@ -42,8 +43,9 @@ def first_claim(events: DataFrame, status: str = "processing") -> DataFrame:
 
 
 def stream_pooled_metrics(pairs: DataFrame, *keys: str) -> DataFrame:
-    """Pooled errors of a stream of pairs, kept as ten sums for each key."""
-    return from_sums(pairs.groupBy(*keys).agg(*_sums()), *keys)
+    """Pooled errors of a stream of pairs, kept as ten sums for each key; pairs that are not finite do not count."""
+    ok = pairs.where(finite(F.col("pred")) & finite(F.col("truth")))
+    return from_sums(ok.groupBy(*keys).agg(*_sums()), *keys)
 
 
 def stream_first_claim(events: DataFrame, delay: str = "1 day") -> DataFrame:

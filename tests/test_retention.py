@@ -1,4 +1,4 @@
-"""The oldest ended jobs by days, seconds and ranks against sorting."""
+"""Jobs and their figures: the oldest ended ones against sorting, pooled errors without values that are not finite."""
 
 import datetime
 import random
@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from gridspark.operators.listings import job_retention
+from gridspark.streaming.jobs import stream_pooled_metrics
 
 
 def test_retention_equals_sorting(spark):
@@ -21,3 +22,9 @@ def test_retention_equals_sorting(spark):
         ended = sorted((t, i) for i, t, s in rows if i not in old and s != "queued")
         over = max(0, len(rows) - len(old) - keep)
         assert got == {(i, "expired") for i in old} | {(i, "overflow") for _, i in ended[:over]}, (keep, hours)
+
+
+def test_pooled_errors_skip_what_is_not_finite(spark):
+    rows = [("a", 1.0, 2.0), ("a", 3.0, 1.0), ("a", float("nan"), 1.0), ("a", 2.0, float("inf")), ("a", None, 1.0), ("b", float("nan"), 1.0)]
+    got = {r["split"]: r for r in stream_pooled_metrics(spark.createDataFrame(rows, "split string, pred double, truth double"), "split").collect()}
+    assert got.keys() == {"a"} and got["a"].n == 2 and got["a"].mae == 1.5
