@@ -59,20 +59,25 @@ def class_rgba(px: DataFrame, label: str = "label", confidence: str = "conf") ->
     return px.select("*", rgb[0].alias("red"), rgb[1].alias("green"), rgb[2].alias("blue"), F.floor(clamp(F.col(confidence) * 255, 153.0, 255.0)).cast("int").alias("alpha"))
 
 
-def _reflected(i: F.Column, extent: int, before: int, after: int) -> F.Column:
+def _reflected(i: int, extent: int, pad: int) -> int:
     """Source index of a padded place: mirrored without repeating the border, or clamped to it if the pad is as long as the line."""
-    if max(before, after) >= extent:
-        return F.greatest(F.lit(0), F.least(i, F.lit(extent - 1)))
-    return F.when(i < 0, -i).when(i >= extent, 2 * (extent - 1) - i).otherwise(i)
+    if pad >= extent:
+        return min(i, extent - 1)
+    return i if i < extent else 2 * (extent - 1) - i
+
+
+def _places(at: str, extent: int, to: int) -> F.Column:
+    """The places along a padded line that show the pixel ``at``; null for a pixel outside the tile."""
+    shown = [[] for _ in range(extent)]
+    for i in range(to):
+        shown[_reflected(i, extent, to - extent)].append(i)
+    return F.get(F.array(*(F.array(*map(F.lit, x)).cast("array<int>") for x in shown)), F.col(at))
 
 
 def pad_tile(px: DataFrame, height: int, width: int, to_height: int, to_width: int) -> DataFrame:
-    """Tiles of ``height`` by ``width`` padded below and right by reflection; each padded pixel asks for its source."""
-    at = px.select("scene_id").distinct()
-    at = at.select("scene_id", F.explode(F.sequence(F.lit(0), F.lit(to_height - 1))).alias("row")).select("*", F.explode(F.sequence(F.lit(0), F.lit(to_width - 1))).alias("col"))
-    at = at.withColumns({"from_row": _reflected(F.col("row"), height, 0, to_height - height), "from_col": _reflected(F.col("col"), width, 0, to_width - width)})
-    source = px.select("scene_id", F.col("row").alias("from_row"), F.col("col").alias("from_col"), "z")
-    return at.join(source, ["scene_id", "from_row", "from_col"]).select("scene_id", "row", "col", "z", ((F.col("row") >= height) | (F.col("col") >= width)).alias("padded"))
+    """Tiles of ``height`` by ``width`` padded below and right by reflection; each pixel goes to all places that show it, so nothing is joined."""
+    put = px.select("scene_id", "col", "z", F.explode(_places("row", height, to_height)).alias("to_row")).select("scene_id", "z", F.col("to_row").alias("row"), F.explode(_places("col", width, to_width)).alias("to_col"))
+    return put.select("scene_id", "row", F.col("to_col").alias("col"), "z", ((F.col("row") >= height) | (F.col("to_col") >= width)).alias("padded"))
 
 
 def model_input(px: DataFrame, size: int, column: str = "z") -> DataFrame:
