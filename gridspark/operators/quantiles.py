@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridspark.plans.lineage import cut
@@ -11,8 +11,32 @@ BINS = 1024
 BOUND = 1 << 16
 
 
+def _halves(x: Column) -> tuple[Column, Column]:
+    """A double as the sum of two of half its digits."""
+    wide = x * 134217729.0
+    high = wide - (wide - x)
+    return high, x - high
+
+
+def _between(low: Column, high: Column, at: Column) -> Column:
+    """The value at the place ``at`` between two neighbours, ``low * (1 - share) + high * share``.
+
+    The first product is not rounded before it is added, as in the compiled SQL of the oracles (a fused multiply-add): what it loses is
+    worked out from halves and added last. Values too large to be halved are taken as they come.
+    """
+    share = at - F.floor(at)
+    rest, z = 1 - share, high * share
+    p = low * rest
+    (a, b), (c, d) = _halves(low), _halves(rest)
+    lost = ((a * c - p) + a * d + b * c) + b * d
+    s = p + z
+    back = s - p
+    fused = s + (((p - (s - back)) + (z - back)) + lost)
+    return F.when(low == high, low).when(F.greatest(F.abs(low), F.abs(high)) < 1e290, fused).otherwise(p + z)
+
+
 def percentiles(df: DataFrame, keys: list[str], value: str, qs: list[float], bins: int = BINS, bound: int = BOUND) -> DataFrame:
-    """``(*keys, n, p)``: the percentiles ``qs`` of each group's finite values, with the share between two values that ``percentile`` takes.
+    """``(*keys, n, p)``: the percentiles ``qs`` of each group's finite values, in a straight line between the two nearest values.
 
     Where no group has more than ``bound`` values one aggregate does it. Else each rank asked for has a range of values; a round
     counts it in ``bins`` equal parts and keeps the part with the rank, until that holds ``bound`` values at most or only one
@@ -21,7 +45,10 @@ def percentiles(df: DataFrame, keys: list[str], value: str, qs: list[float], bin
     v = df.select(*keys, F.col(value).cast("double").alias("v")).where(F.abs("v") < float("inf"))
     sizes = v.groupBy(*keys).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     if (sizes.agg(F.max("n")).first()[0] or 0) <= bound:
-        return v.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile("v", F.array(*map(F.lit, qs))).alias("p"))
+        own = v.groupBy(*keys).agg(F.count("*").alias("n"), F.sort_array(F.collect_list("v")).alias("vs"))
+        place = lambda q: F.lit(q) * (F.col("n") - 1)
+        value_at = lambda i: F.get("vs", i.cast("int"))
+        return own.select(*keys, "n", F.array(*(_between(value_at(F.floor(place(q))), value_at(F.ceil(place(q))), place(q)) for q in qs)).alias("p"))
     at = [F.lit(q) * (F.col("n") - 1) for q in qs]
     ranks = F.array_distinct(F.flatten(F.array(*(F.array(F.floor(a), F.ceil(a)) for a in at))))
     ranges = cut(sizes.select(*keys, "n", F.explode(ranks).alias("rank"), F.lit(0).cast("long").alias("skip"), F.col("n").alias("left"), "lo", "hi"))
@@ -42,4 +69,4 @@ def percentiles(df: DataFrame, keys: list[str], value: str, qs: list[float], bin
     values = ranges.where("lo = hi").select(*keys, "n", "rank", F.col("lo").alias("x")).unionByName(found)
     by_rank = values.groupBy(*keys, "n").agg(F.map_from_entries(F.collect_list(F.struct("rank", "x"))).alias("m"))
     low, high = (lambda a: F.element_at("m", F.floor(a))), (lambda a: F.element_at("m", F.ceil(a)))
-    return by_rank.select(*keys, "n", F.array(*(F.when(F.floor(a) == F.ceil(a), low(a)).otherwise((F.ceil(a) - a) * low(a) + (a - F.floor(a)) * high(a)) for a in at)).alias("p"))
+    return by_rank.select(*keys, "n", F.array(*(_between(low(a), high(a), a) for a in at)).alias("p"))

@@ -40,3 +40,12 @@ def test_percentiles(spark, bins, bound):
 
 def test_empty(spark):
     assert percentiles(spark.createDataFrame([], "k int, v double"), ["k"], "v", QS).count() == 0
+
+
+@pytest.mark.parametrize("bound", [1 << 16, 1])
+def test_last_bit(spark, bound):
+    """Between two values the last bit is that of the compiled SQL, a fused multiply-add, so what is quantised by it falls into the same step."""
+    pairs = [(186.91 + i * 1.37, 187.36 + i * 2.91) for i in range(60)] + [(-3.3, 7.7), (0.88, 0.88)]
+    qs = [0.04, 0.35, 0.98]
+    got = percentiles(spark.createDataFrame([(k, v) for k, p in enumerate(pairs) for v in p], "k int, v double"), ["k"], "v", qs, 8, bound).collect()
+    assert {r.k: tuple(r.p) for r in got} == {k: tuple(math.fma(a, 1 - q, b * q) for q in qs) for k, (a, b) in enumerate(pairs)}
