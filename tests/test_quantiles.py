@@ -49,3 +49,24 @@ def test_last_bit(spark, bound):
     qs = [0.04, 0.35, 0.98]
     got = percentiles(spark.createDataFrame([(k, v) for k, p in enumerate(pairs) for v in p], "k int, v double"), ["k"], "v", qs, 8, bound).collect()
     assert {r.k: tuple(r.p) for r in got} == {k: tuple(math.fma(a, 1 - q, b * q) for q in qs) for k, (a, b) in enumerate(pairs)}
+
+
+def test_stretched_units(spark):
+    """Filled stretches take these percentiles to the last bit, and what is not valid or flat is 0."""
+    from gridspark.operators import pixels
+
+    rnd = random.Random(5)
+    values = {s: [round(rnd.uniform(0, 300), 2) for _ in range(rnd.randrange(20, 60))] for s in range(20)}
+    rows = [(s, 0, c, v) for s, vs in values.items() for c, v in enumerate(vs)] + [(0, 1, 0, -9999.0), (1, 1, 0, float("nan"))] + [(99, 0, c, 4.5) for c in range(9)]
+    made = pixels.stretch_to_01(spark.createDataFrame(rows, "scene_id long, row int, col int, z double"), nodata=-9999.0, flat=0.0, fill=0.0)
+
+    def unit(s, v):
+        if s == 99 or not v >= 0:
+            return 0.0
+        at = lambda q: q * (len(values[s]) - 1)
+        own = sorted(values[s])
+        lo, hi = (math.fma(own[math.floor(a)], 1 - (a - math.floor(a)), own[math.ceil(a)] * (a - math.floor(a))) for a in (at(0.02), at(0.98)))
+        return min(max((v - lo) / (hi - lo), 0.0), 1.0)
+
+    got = {(r.scene_id, r.row, r.col): r.unit for r in made.collect()}
+    assert got == {(s, r, c): unit(s, v) for s, r, c, v in rows}
