@@ -41,3 +41,15 @@ def test_equals_the_rule(spark, cell):
     got = {r.point_id: (r.feature, r.inside) for r in got.collect()}
     assert got == {k: under((x, y), features.get(s, [])) for k, s, x, y in points}
     assert sum(i for _, i in got.values()) > 20 and sum(f is not None and not i for f, i in got.values()) > 50
+
+
+def test_copies_make_no_more_pairs(spark):
+    """Equal rings and equal points give the rows that each gives alone, and only the first of equal rings is ever the answer."""
+    ring = [(0, 0), (10, 0), (10, 10), (0, 10)]
+    rings = spark.createDataFrame([(s, f, k, float(x + 100 * (f % 2)), float(y)) for s in (0, 1) for f in range(s * 50, s * 50 + 40) for k, (x, y) in enumerate(ring)], "scene_id long, feature long, seq int, x double, y double")
+    points = spark.createDataFrame([(i, i % 2, x, 5.0) for i, x in enumerate([5.0, 5.0, 105.0, 105.0, 15.0, 15.0, 300.0] * 20)], "point_id long, scene_id long, x double, y double")
+    made = picking.object_at_point(points, rings)
+    first = {5.0: (0, True), 105.0: (1, True), 15.0: (0, False), 300.0: (None, False)}
+    want = {i: ((f + s * 50) if f is not None else None, inside) for i, s, x, (f, inside) in ((p.point_id, p.scene_id, p.x, first[p.x]) for p in points.collect())}
+    assert {r.point_id: (r.feature, r.inside) for r in made.collect()} == want
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("shape") > 0
