@@ -19,15 +19,21 @@ def align(pred: DataFrame, truth: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def resample_bilinear(px: DataFrame, target: DataFrame) -> DataFrame:
-    """Values at fractional places: ``target(point_id, scene_id, v, u)`` in pixel centres; taps that are missing or NaN weigh nothing, no tap gives NaN."""
-    taps = F.array(*(F.struct(F.lit(i).alias("di"), F.lit(j).alias("dj")) for i in (0, 1) for j in (0, 1)))
+    """Values at fractional places: ``target(point_id, scene_id, v, u)`` in pixel centres; taps that are missing or NaN weigh nothing, no tap gives NaN. Point ids are unique.
+
+    The four taps of a place are gathered on the side of the pixels, so a point is sent once and nothing is added up over points.
+    """
+    taps = [(i, j) for i in (0, 1) for j in (0, 1)]
+    to = F.explode(F.array(*(F.struct(F.lit(i).alias("di"), F.lit(j).alias("dj")) for i, j in taps)))
+    sent = px.where(~F.isnan("z")).select(*KEYS, "z", to.alias("o")).select("scene_id", (F.col("row") - F.col("o.di")).cast("long").alias("r"), (F.col("col") - F.col("o.dj")).cast("long").alias("c"), "o", "z")
+    quads = sent.groupBy("scene_id", "r", "c").agg(*(F.max(F.when((F.col("o.di") == i) & (F.col("o.dj") == j), F.col("z"))).alias(f"z{i}{j}") for i, j in taps))
     r, c = F.floor("v"), F.floor("u")
-    asked = target.select("point_id", "scene_id", r.alias("r"), c.alias("c"), (F.col("v") - r).alias("fv"), (F.col("u") - c).alias("fu"), F.explode(taps).alias("o"))
-    w = F.when(F.col("o.di") == 1, F.col("fv")).otherwise(1 - F.col("fv")) * F.when(F.col("o.dj") == 1, F.col("fu")).otherwise(1 - F.col("fu"))
-    asked = asked.select("point_id", "scene_id", (F.col("r") + F.col("o.di")).cast("int").alias("row"), (F.col("c") + F.col("o.dj")).cast("int").alias("col"), w.alias("w"))
-    hit = asked.join(px.select(*KEYS, "z"), KEYS, "left").withColumn("w", F.when(F.isnan("z") | F.col("z").isNull(), 0.0).otherwise(F.col("w")))
-    s = hit.groupBy("point_id").agg(F.sum(F.when(F.col("w") > 0, F.col("w") * F.col("z")).otherwise(0.0)).alias("wz"), F.sum("w").alias("w"))
-    return s.select("point_id", F.coalesce(F.try_divide("wz", "w"), F.lit(float("nan"))).alias("z"))
+    asked = target.select("point_id", "scene_id", r.alias("r"), c.alias("c"), (F.col("v") - r).alias("fv"), (F.col("u") - c).alias("fu"))
+    hit = asked.join(quads, ["scene_id", "r", "c"], "left")
+    share = lambda k, name: F.col(name) if k else 1 - F.col(name)
+    w = {t: F.when(F.col(f"z{t[0]}{t[1]}").isNull(), 0.0).otherwise(share(t[0], "fv") * share(t[1], "fu")) for t in taps}
+    wz = sum((F.when(w[t] > 0, w[t] * F.col(f"z{t[0]}{t[1]}")).otherwise(0.0) for t in taps), F.lit(0.0))
+    return hit.select("point_id", F.coalesce(F.try_divide(wz, sum(w.values(), F.lit(0.0))), F.lit(float("nan"))).alias("z"))
 
 
 def cover_cells(boxes: DataFrame) -> DataFrame:
