@@ -1,14 +1,16 @@
 """Least-cost paths over scenes cut into chunks.
 
-Within a chunk a path is found by Dijkstra's method from the costs at which the chunk can be entered; between chunks only
-those entries are exchanged. A round runs the chunks whose entries have fallen and offers their neighbours new ones, until
-none falls. What is kept is a row for each entered border cell of each route, never a route's whole field. Equal costs are
-decided by the first neighbour in row-major order, so neither cost nor path depends on the size of chunks.
+Within a chunk costs spread from those at which the chunk can be entered until none falls; many routes and chunks are settled
+at once as arrays. Between chunks only the entries are exchanged. A round runs the chunks whose entries have fallen and offers
+their neighbours new ones, until none falls. What is kept is a row for each entered chunk of each route with the border cells of its
+entries, never a route's whole field. Equal routes are searched once. Equal costs are decided by the first neighbour in
+row-major order, so neither cost nor path depends on the size of chunks.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from math import inf, sqrt
 
 import numpy as np
@@ -19,9 +21,20 @@ from pyspark.sql import functions as F
 from gridspark.plans.lineage import cut, forget
 
 CHUNK = 128
-SHARES = 16
-"""Routes through one chunk are dealt to so many groups."""
-_AROUND = [(a, b, sqrt(2.0) if a and b else 1.0) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
+CELLS = 1 << 17
+"""So many cells of chunks are settled at once, more only if a single chunk has more."""
+_AROUND = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
+_OUTSIDE, _START = len(_AROUND), len(_AROUND) + 1
+
+
+def _shifted(a: int, b: int) -> tuple[tuple, tuple]:
+    """Slices of cells and of their neighbours at ``(a, b)``."""
+    cut_ = lambda k: (slice(max(0, -k), -k if k > 0 else None), slice(max(0, k), k if k < 0 else None))
+    (r, nr), (c, nc) = cut_(a), cut_(b)
+    return (slice(None), r, c), (slice(None), nr, nc)
+
+
+_SHIFTS = [(*_shifted(a, b), bool(a and b)) for a, b in _AROUND]
 
 
 def cost_chunks(cells: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -29,152 +42,208 @@ def cost_chunks(cells: DataFrame, chunk: int = CHUNK) -> DataFrame:
     span = lambda c: F.explode(F.sequence(F.floor((F.col(c) - 1) / chunk), F.floor((F.col(c) + 1) / chunk)))
     open_cells = cells.where("cost > 0 and cost < double('Infinity')").select("scene_id", "row", "col", F.col("cost").cast("double").alias("cost"))
     sent = open_cells.select("*", span("row").alias("cr")).select("*", span("col").alias("cc")).where("cr >= 0 and cc >= 0")
-
-    def apply(key: tuple, table: pa.Table) -> pa.Table:
-        row, col = table["row"].to_numpy(), table["col"].to_numpy()
-        r0, c0 = int(row.min()), int(col.min())
-        grid = np.full((row.max() - r0 + 1, col.max() - c0 + 1), inf)
-        grid[row - r0, col - c0] = table["cost"].to_numpy()
-        return pa.table({"scene_id": pa.array([key[0].as_py()], pa.int64()), "cr": pa.array([key[1].as_py()], pa.int64()), "cc": pa.array([key[2].as_py()], pa.int64()), "row0": pa.array([r0], pa.int32()), "col0": pa.array([c0], pa.int32()), "width": pa.array([grid.shape[1]], pa.int32()), "cost": pa.array([grid.ravel()], pa.list_(pa.float64()))})
-
-    return sent.groupBy("scene_id", "cr", "cc").applyInArrow(apply, "scene_id long, cr long, cc long, row0 int, col0 int, width int, cost array<double>")
-
-
-class _Field:
-    """Costs and parents of the cells of one chunk, for one route, from the chunk's entries."""
-
-    def __init__(self, cost: list[list[float]], r0: int, c0: int, inside: tuple[int, int, int, int], entries: list[dict]):
-        self.cost, self.r0, self.c0, self.inside = cost, r0, c0, inside
-        self.d: dict[tuple[int, int], float] = {}
-        self.parent: dict[tuple[int, int], tuple[int, int] | None] = {}
-        self.offers: dict[tuple[int, int], tuple[float, int, int]] = {}
-        heap = []
-        for e in entries:
-            at, own = (e["row"], e["col"]), None if e["prow"] is None else (e["prow"], e["pcol"])
-            self.d[at], self.parent[at] = e["d"], own
-            heap.append((e["d"], *at))
-        heapq.heapify(heap)
-        self._spread(heap)
-
-    def _spread(self, heap: list) -> None:
-        d, parent, cost, r0, c0 = self.d, self.parent, self.cost, self.r0, self.c0
-        height, width = len(cost), len(cost[0])
-        top, bottom, left, right = self.inside
-        while heap:
-            g, r, c = heapq.heappop(heap)
-            if g > d[r, c]:
-                continue
-            for a, b, length in _AROUND:
-                y, x = r + a, c + b
-                if not (0 <= y - r0 < height and 0 <= x - c0 < width):
-                    continue
-                step = cost[y - r0][x - c0]
-                if step == inf:
-                    continue
-                new = g + length * step
-                if top <= y < bottom and left <= x < right:
-                    old = d.get((y, x), inf)
-                    if new < old:
-                        d[y, x], parent[y, x] = new, (r, c)
-                        heapq.heappush(heap, (new, y, x))
-                    elif new == old and parent[y, x] is not None and (r, c) < parent[y, x]:
-                        parent[y, x] = (r, c)
-                else:
-                    offer = (new, r, c)
-                    if offer < self.offers.get((y, x), (inf,)):
-                        self.offers[y, x] = offer
-
-
-def _fields(key: tuple, asked: pa.Table, chunks: pa.Table, chunk: int):
-    """For each route of a group its row and its field."""
-    if not chunks.num_rows:
-        return
-    c = {n: chunks[n][0].as_py() for n in ("row0", "col0", "width")}
-    flat = chunks["cost"][0].values.to_numpy()
-    cost = flat.reshape(-1, c["width"]).tolist()
-    cr, cc = key[1].as_py(), key[2].as_py()
-    inside = (cr * chunk, (cr + 1) * chunk, cc * chunk, (cc + 1) * chunk)
-    for row in asked.to_pylist():
-        yield row, _Field(cost, c["row0"], c["col0"], inside, row["entries"])
-
-
-KEY = ["scene_id", "cr", "cc", "share"]
-
-
-def _with_chunks(asked: DataFrame, chunks: DataFrame):
-    """Routes and their chunks, grouped alike; a chunk goes to the groups that ask for it."""
-    wanted = asked.select(*KEY).distinct().join(chunks, ["scene_id", "cr", "cc"])
-    wanted = wanted.toDF(*wanted.columns)
-    return asked.groupBy(*KEY).cogroup(wanted.groupBy(*KEY))
-
-
-def _entries(found: DataFrame, keys: DataFrame) -> DataFrame:
-    """The entries of each of ``keys(route_id, cr, cc, ...)``, gathered: at most the border cells of a chunk."""
-    own = found.groupBy("route_id", "cr", "cc").agg(F.array_sort(F.collect_list(F.struct("row", "col", "d", "prow", "pcol"))).alias("entries"))
-    return keys.join(own, ["route_id", "cr", "cc"]).withColumn("share", F.pmod(F.xxhash64("route_id"), F.lit(SHARES)))
+    met = sent.groupBy("scene_id", "cr", "cc").agg(F.collect_list(F.struct("row", "col", "cost")).alias("cells"))
+
+    def grids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = {n: [] for n in ("row0", "col0", "width", "cost")}
+            for k in range(batch.num_rows):
+                own = batch["cells"][k].values
+                row, col = (own.field(n).to_numpy() for n in ("row", "col"))
+                r0, c0 = int(row.min()), int(col.min())
+                grid = np.full((row.max() - r0 + 1, col.max() - c0 + 1), inf)
+                grid[row - r0, col - c0] = own.field("cost").to_numpy()
+                for n, v in zip(made, (r0, c0, grid.shape[1], grid.ravel())):
+                    made[n].append(v)
+            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*(batch[n] for n in ("scene_id", "cr", "cc")), *(pa.array(v, t) for v, t in zip(made.values(), kinds))], names=["scene_id", "cr", "cc", *made])
+
+    return met.mapInArrow(grids, "scene_id long, cr long, cc long, row0 int, col0 int, width int, cost array<double>")
+
+
+def _by_heap(d: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """Costs of one chunk from those known, by Dijkstra's method."""
+    height, width = d.shape
+    d, step = d.tolist(), step.tolist()
+    heap = [(v, y, x) for y, line in enumerate(d) for x, v in enumerate(line) if v < inf]
+    heapq.heapify(heap)
+    while heap:
+        g, r, c = heapq.heappop(heap)
+        if g > d[r][c]:
+            continue
+        for a, b in _AROUND:
+            y, x = r + a, c + b
+            if 0 <= y < height and 0 <= x < width:
+                new = g + (sqrt(2.0) if a and b else 1.0) * step[y][x]
+                if new < d[y][x]:
+                    d[y][x] = new
+                    heapq.heappush(heap, (new, y, x))
+    return np.array(d)
+
+
+def _settle(d: np.ndarray, step: np.ndarray) -> None:
+    """Spread the costs ``d`` of many chunks in place until none falls. ``step`` is what it costs to enter a cell.
+
+    Every sweep takes each cell's least cost over its neighbours. A chunk whose paths wind through it more than a few times goes on by
+    Dijkstra's method. Sums run along the path in both, so the costs are the same to the last bit.
+    """
+    left, now, straight, across = np.arange(len(d)), d.copy(), step, sqrt(2.0) * step
+    for _ in range(2 * sum(d.shape[1:])):
+        before = now.copy()
+        for own, other, diagonal in _SHIFTS:
+            np.minimum(now[own], now[other] + (across if diagonal else straight)[own], out=now[own])
+        moves = (now != before).any((1, 2))
+        if 2 * moves.sum() <= len(left):
+            d[left] = now
+            left, now, straight, across = left[moves], now[moves], straight[moves], across[moves]
+            if not len(left):
+                return
+    for k, own, s in zip(left, now, straight):
+        d[k] = _by_heap(own, s)
+
+
+class _Fields:
+    """Costs of the cells of many chunks, each for one route, from its entries there."""
+
+    def __init__(self, rows: pa.RecordBatch, chunk: int):
+        a = {n: rows[n].to_numpy() for n in ("cr", "cc", "row0", "col0", "width")}
+        self.row0, self.col0 = a["row0"].astype(np.int64), a["col0"].astype(np.int64)
+        n, flat = np.diff(rows["cost"].offsets.to_numpy()), rows["cost"].flatten().to_numpy()
+        shape = (rows.num_rows, int((n // a["width"]).max()), int(a["width"].max()))
+        at = np.repeat(np.arange(len(n)), n)
+        y, x = np.divmod(np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n), a["width"][at])
+        self.cost = np.full(shape, inf)
+        self.cost[at, y, x] = flat
+        within = lambda first, size, k: (first[:, None] + np.arange(size)) // chunk == k[:, None]
+        self.inside = within(self.row0, shape[1], a["cr"])[:, :, None] & within(self.col0, shape[2], a["cc"])[:, None, :]
+        self.step = np.where(self.inside, self.cost, inf)
+        entries, many = rows["entries"].flatten(), np.diff(rows["entries"].offsets.to_numpy())
+        self.e = {f: entries.field(f).to_numpy(zero_copy_only=False) for f in ("row", "col", "d")}
+        self.e |= {f: entries.field(f).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("prow", "pcol")}
+        self.e["start"] = entries.field("prow").is_null().to_numpy(zero_copy_only=False)
+        self.at = np.repeat(np.arange(len(many)), many)
+        self.at = (self.at, self.e["row"] - self.row0[self.at], self.e["col"] - self.col0[self.at])
+        self.d = np.full(shape, inf)
+        self.d[self.at] = self.e["d"]
+        _settle(self.d, self.step)
+
+    def place(self, row: np.ndarray, col: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Chunks and places in them of one cell for each chunk, where that lies in the chunk and is reached."""
+        y, x = row - self.row0, col - self.col0
+        k = np.flatnonzero((y >= 0) & (x >= 0) & (y < self.d.shape[1]) & (x < self.d.shape[2]))
+        k = k[self.d[k, y[k], x[k]] < inf]
+        return k, y[k], x[k]
+
+    def offers(self) -> tuple[np.ndarray, ...]:
+        """Chunk, row, column, cost and the cell before it of each cell beyond a chunk that can be entered from it."""
+        beyond = np.where(self.inside, inf, self.cost)
+        least, by = np.full(self.d.shape, inf), np.zeros(self.d.shape, np.int8)
+        for k, (own, other, diagonal) in enumerate(_SHIFTS):
+            new = self.d[other] + (sqrt(2.0) if diagonal else 1.0) * beyond[own]
+            less = new < least[own]
+            least[own][less] = new[less]
+            by[own][less] = k
+        k, y, x = at = np.nonzero(least < inf)
+        row, col, (a, b) = y + self.row0[k], x + self.col0[k], np.array(_AROUND)[by[at]].T
+        return k, row, col, least[at], row + a, col + b
+
+    def parents(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each cell the number of the neighbour that it is reached from, ``_OUTSIDE`` or ``_START``, and the place of its cell outside."""
+        by = np.full(self.d.shape, -1, np.int8)
+        for k, (own, other, diagonal) in reversed(list(enumerate(_SHIFTS))):
+            equal = self.d[other] + (sqrt(2.0) if diagonal else 1.0) * self.step[own] == self.d[own]
+            by[own][equal & (self.d[own] < inf)] = k
+        prow, pcol = np.zeros(self.d.shape, np.int64), np.zeros(self.d.shape, np.int64)
+        prow[self.at], pcol[self.at] = self.e["prow"], self.e["pcol"]
+        k = by[self.at]
+        a, b = np.array([*_AROUND, (0, 0)])[k].T
+        row, col = self.e["row"] + a, self.e["col"] + b
+        first = (k < 0) | (self.e["prow"] < row) | ((self.e["prow"] == row) & (self.e["pcol"] < col))
+        least = self.e["d"] == self.d[self.at]
+        by[self.at] = np.where(self.e["start"] & least, _START, np.where(least & first, _OUTSIDE, k))
+        return by, prow, pcol
+
+
+def _fields(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[tuple[pa.RecordBatch, _Fields]]:
+    """Rows of routes with their entries and chunks, some at a time, and their fields."""
+    for batch in batches:
+        size, begun = np.diff(batch["cost"].offsets.to_numpy()), 0
+        largest = np.maximum.accumulate(size) if len(size) else size
+        while begun < batch.num_rows:
+            n = max(1, CELLS // int(largest[-1]))
+            rows = batch.slice(begun, n)
+            yield rows, _Fields(rows, chunk)
+            begun += n
 
 
 def _at(chunk: int, row: str = "row", col: str = "col") -> list:
     return [F.floor(F.col(row) / chunk).alias("cr"), F.floor(F.col(col) / chunk).alias("cc")]
 
 
+ROUTE = ["route_id", "scene_id", "goal_row", "goal_col"]
+STATE = [*ROUTE, "cr", "cc", "goal"]
+_CELL = "row int, col int, d double, prow int, pcol int"
+
+
 def _spread(asked: DataFrame, chunks: DataFrame, chunk: int) -> DataFrame:
     """What each asked chunk offers to cells of its neighbours, and the cost of the goal in it (``goal``)."""
 
-    def apply(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        out: dict[str, list] = {n: [] for n in ("route_id", "scene_id", "row", "col", "d", "prow", "pcol", "goal")}
-        for row, field in _fields(key, left, right, chunk):
-            end = (row["goal_row"], row["goal_col"])
-            told = [(*at, *o, False) for at, o in field.offers.items()]
-            if end in field.d:
-                told.append((*end, field.d[end], None, None, True))
-            for r in told:
-                for name, v in zip(out, (row["route_id"], row["scene_id"], *r)):
-                    out[name].append(v)
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.bool_())
-        return pa.table({n: pa.array(v, t) for (n, v), t in zip(out.items(), kinds)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, fields in _fields(batches, chunk):
+            k, row, col, d, prow, pcol = fields.offers()
+            own, y, x = fields.place(rows["goal_row"].to_numpy(), rows["goal_col"].to_numpy())
+            none = np.full(len(own), -1)
+            told = [np.concatenate(v) for v in ((row, rows["goal_row"].to_numpy()[own]), (col, rows["goal_col"].to_numpy()[own]), (d, fields.d[own, y, x]), (prow, none), (pcol, none))]
+            goal = np.arange(len(told[0])) >= len(k)
+            of = rows.select(ROUTE).take(pa.array(np.concatenate((k, own))))
+            cells = [pa.array(v, t, mask=goal if n > 2 else None) for n, (v, t) in enumerate(zip(told, (pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.int32())))]
+            yield pa.RecordBatch.from_arrays([*of.columns, *cells, pa.array(goal)], names=[*ROUTE, "row", "col", "d", "prow", "pcol", "goal"])
 
-    return _with_chunks(asked, chunks).applyInArrow(apply, "route_id long, scene_id long, row int, col int, d double, prow int, pcol int, goal boolean")
+    return asked.join(chunks, ["scene_id", "cr", "cc"]).select(*ROUTE, "cr", "cc", "entries", "row0", "col0", "width", "cost").mapInArrow(run, f"route_id long, scene_id long, goal_row int, goal_col int, {_CELL}, goal boolean")
 
 
 def _search(routes: DataFrame, chunks: DataFrame, chunk: int) -> tuple[DataFrame, DataFrame]:
-    """Final entries of every route and ``(route_id, cost)`` of its goal. An offer that costs more than the goal does already goes no further."""
-    ends = routes.select("route_id", "scene_id", "goal_row", "goal_col")
-    place = ["route_id", "scene_id", "row", "col"]
-    first = routes.select("route_id", "scene_id", F.col("start_row").alias("row"), F.col("start_col").alias("col"), F.lit(0.0).alias("d"), F.lit(None).cast("int").alias("prow"), F.lit(None).cast("int").alias("pcol"))
-    found = cut(first.select("*", F.lit(False).alias("goal"), *_at(chunk), F.lit(True).alias("fell")))
+    """Final entries of every route, by chunk, and ``(route_id, cost)`` of its goal. A chunk whose new entries all cost more than the goal does already is not run."""
+    own = F.struct(F.col("start_row").alias("row"), F.col("start_col").alias("col"), F.lit(0.0).alias("d"), F.lit(None).cast("int").alias("prow"), F.lit(None).cast("int").alias("pcol"), F.lit(True).alias("fell"))
+    state = cut(routes.select(*ROUTE, *_at(chunk, "start_row", "start_col"), F.lit(False).alias("goal"), F.array(own).alias("entries")))
     while True:
-        entry = found.where("not goal")
-        active = entry.where("fell").select("route_id", "cr", "cc").distinct()
-        told = cut(_spread(_entries(entry, active.join(ends, "route_id")), chunks, chunk))
-        both = told.select(*place, "d", "prow", "pcol", "goal", *_at(chunk), F.lit(False).alias("known")).unionByName(found.drop("fell").withColumn("known", F.lit(True)))
-        best = both.where("goal").groupBy("route_id").agg(F.min("d").alias("best"))
-        of_use = both.join(best, "route_id", "left").where("known or goal or best is null or d <= best")
-        least = of_use.groupBy(*place, "goal", "cr", "cc").agg(F.min(F.struct("d", "prow", "pcol")).alias("x"), F.min(F.when(F.col("known"), F.col("d"))).alias("before"))
-        fell = ~F.col("goal") & (F.col("before").isNull() | (F.col("x.d") < F.col("before")))
-        old, found = found, cut(least.select(*place, "x.d", "x.prow", "x.pcol", "goal", "cr", "cc", fell.alias("fell")))
-        forget(old, told)
-        if not found.where("fell").limit(1).count():
-            return found.where("not goal"), found.where("goal").select("route_id", F.col("d").alias("cost"))
+        best = state.where("goal").groupBy("route_id").agg(F.min(F.col("entries")[0]["d"]).alias("cost"))
+        active = state.where("not goal").where("exists(entries, e -> e.fell)").join(best, "route_id", "left").where("cost is null or exists(entries, e -> e.fell and e.d <= cost)").drop("cost")
+        if active.isEmpty():
+            return state.where("not goal").drop("goal"), best
+        told = _spread(active, chunks, chunk).select(*ROUTE, *_at(chunk), "goal", "row", "col", "d", "prow", "pcol", F.lit(False).alias("known"))
+        kept = state.select(*STATE, F.inline("entries")).drop("fell").withColumn("known", F.lit(True))
+        # dealt by route and chunk once, for cells and for chunks
+        both = told.unionByName(kept).repartition("route_id", "cr", "cc")
+        least = both.groupBy(*STATE, "row", "col").agg(F.min(F.struct("d", "prow", "pcol")).alias("x"), F.min(F.when(F.col("known"), F.col("d"))).alias("before"))
+        fell = F.col("before").isNull() | (F.col("x.d") < F.col("before"))
+        entry = F.struct("row", "col", "x.d", "x.prow", "x.pcol", fell.alias("fell"))
+        old, state = state, cut(least.groupBy(*STATE).agg(F.collect_list(entry).alias("entries")))
+        forget(old)
 
 
 def _walk(asked: DataFrame, chunks: DataFrame, chunk: int) -> DataFrame:
-    """The part of each path in the chunk where it stands, from its end backwards, and the cell of another chunk from which it came (``done`` false)."""
-
-    def apply(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        out: dict[str, list] = {n: [] for n in ("route_id", "row", "col", "back", "next")}
-        for row, field in _fields(key, left, right, chunk):
-            at, back = (row["row"], row["col"]), row["back"]
-            while at is not None:
-                away = at not in field.d
-                for name, v in zip(out, (row["route_id"], *at, back, away)):
-                    out[name].append(v)
-                if away:
-                    break
-                at, back = field.parent[at], back + 1
-        return pa.table({n: pa.array(v, t) for (n, v), t in zip(out.items(), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()))})
-
-    return _with_chunks(asked, chunks).applyInArrow(apply, "route_id long, row int, col int, back int, next boolean")
+    """The part of each path in the chunk where it stands, from its end backwards, and the cell of another chunk from which it came (``next``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, fields in _fields(batches, chunk):
+            by, prow, pcol = fields.parents()
+            go = np.array(_AROUND)
+            back = rows["back"].to_numpy()
+            k, y, x = fields.place(rows["row"].to_numpy(), rows["col"].to_numpy())
+            parts, n = [], 0
+            while len(k):
+                parts.append((k, y + fields.row0[k], x + fields.col0[k], back[k] + n, np.zeros(len(k), bool)))
+                code = by[k, y, x]
+                away, inner, n = code == _OUTSIDE, code < _OUTSIDE, n + 1
+                out = (k[away], y[away], x[away])
+                parts.append((k[away], prow[out], pcol[out], back[k[away]] + n, np.ones(away.sum(), bool)))
+                k, y, x = k[inner], y[inner] + go[code[inner], 0], x[inner] + go[code[inner], 1]
+            if parts:
+                k, *told = (np.concatenate(v) for v in zip(*parts))
+                yield pa.RecordBatch.from_arrays([rows["route_id"].take(pa.array(k)), *(pa.array(v, t) for v, t in zip(told, (pa.int32(), pa.int32(), pa.int32(), pa.bool_())))], names=["route_id", "row", "col", "back", "next"])
+
+    return asked.join(chunks, ["scene_id", "cr", "cc"]).select("route_id", "row", "col", "back", "cr", "cc", "entries", "row0", "col0", "width", "cost").mapInArrow(run, "route_id long, row int, col int, back int, next boolean")
 
 
 def least_cost(cells: DataFrame, routes: DataFrame, chunk: int = CHUNK, paths: bool = True) -> tuple[DataFrame, DataFrame | None]:
@@ -187,25 +256,26 @@ def least_cost(cells: DataFrame, routes: DataFrame, chunk: int = CHUNK, paths: b
     chunks = cut(cost_chunks(cells, chunk))
     routes = cut(routes)
     is_open = cells.where("cost > 0 and cost < double('Infinity')").select("scene_id", "row", "col")
-    ok = routes
+    ends = ["scene_id", "start_row", "start_col", "goal_row", "goal_col"]
+    ok = routes.groupBy(*ends).agg(F.min("route_id").alias("route_id"))
     for end in ("start", "goal"):
         ok = ok.join(is_open.select("scene_id", F.col("row").alias(f"{end}_row"), F.col("col").alias(f"{end}_col")), ["scene_id", f"{end}_row", f"{end}_col"], "left_semi")
     ok = cut(ok)
     entries, best = _search(ok, chunks, chunk)
-    costs = routes.select("route_id").join(best, "route_id", "left")
+    of = routes.join(ok.join(best, "route_id").select(*ends, F.col("route_id").alias("same"), "cost"), ends)
+    costs = routes.select("route_id").join(of.select("route_id", "cost"), "route_id", "left")
     if not paths:
         return costs, None
-    now = ok.join(best.select("route_id"), "route_id").select("route_id", "scene_id", F.col("goal_row").alias("row"), F.col("goal_col").alias("col"), F.lit(0).alias("back"))
+    now = ok.join(best, "route_id").select("route_id", F.col("goal_row").alias("row"), F.col("goal_col").alias("col"), F.lit(0).alias("back"))
+    fields = entries.select("route_id", "scene_id", "cr", "cc", "entries")
     steps = None
-    scenes = ok.select("route_id", "scene_id")
     while True:
-        keys = now.select("route_id", "scene_id", "row", "col", "back", *_at(chunk))
-        part = cut(_walk(_entries(entries, keys), chunks, chunk))
+        part = cut(_walk(now.select("*", *_at(chunk)).join(fields, ["route_id", "cr", "cc"]), chunks, chunk))
         own = part.where("not next").select("route_id", "back", "row", "col")
         steps = own if steps is None else steps.unionByName(own)
-        now = part.where("next").select("route_id", "row", "col", "back").join(scenes, "route_id")
-        if not now.limit(1).count():
+        now = part.where("next").select("route_id", "row", "col", "back")
+        if now.isEmpty():
             break
-    steps = cut(steps)
-    total = steps.groupBy("route_id").agg(F.max("back").alias("last"))
-    return costs, steps.join(total, "route_id").select("route_id", (F.col("last") - F.col("back")).alias("seq"), "row", "col")
+    steps = steps.withColumnRenamed("route_id", "same")
+    total = steps.groupBy("same").agg(F.max("back").alias("last"))
+    return costs, of.select("route_id", "same").join(total, "same").join(steps, "same").select("route_id", (F.col("last") - F.col("back")).alias("seq"), "row", "col")

@@ -84,3 +84,19 @@ def test_no_routes(spark):
     assert costs.count() == paths.count() == 0
     costs, paths = routes.least_cost(cells, spark.createDataFrame([(1, 0, 0, 0, 0, 1), (2, None, 0, 0, 0, 0), (3, 0, 0, 0, 0, 0)], kind))
     assert {r.route_id: r.cost for r in costs.collect()} == {1: None, 2: None, 3: 0.0} and paths.collect()[0].seq == 0
+
+
+def test_equal_routes_are_searched_once(spark, scenes, monkeypatch):
+    """Copies of a route take no search of their own and still have its cost and path."""
+    cells = spark.createDataFrame([(4, r, c, float(v)) for (r, c), v in np.ndenumerate(scenes[4]) if np.isfinite(v)], "scene_id long, row int, col int, cost double")
+    (a, b), *_ = [p for p in (((0, 1), (23, 28)), ((1, 0), (24, 27)), ((2, 2), (20, 20))) if dijkstra(scenes[4], *p)[0]]
+    searched, search = [], routes._search
+    monkeypatch.setattr(routes, "_search", lambda asked, *args: searched.append(asked.count()) or search(asked, *args))
+    table = spark.createDataFrame([(i, 4, *(a if i % 2 else b), *(b if i % 2 else a)) for i in range(20)], "route_id long, scene_id long, start_row int, start_col int, goal_row int, goal_col int")
+    costs, paths = routes.least_cost(cells, table, 16)
+    want = [dijkstra(scenes[4], *p) for p in ((b, a), (a, b))]
+    steps = {}
+    for r in sorted(paths.collect(), key=lambda r: (r.route_id, r.seq)):
+        steps.setdefault(r.route_id, []).append((r.row, r.col))
+    assert {r.route_id: (r.cost, steps[r.route_id]) for r in costs.collect()} == {i: want[i % 2] for i in range(20)}
+    assert searched == [2]
