@@ -100,3 +100,17 @@ def test_equal_routes_are_searched_once(spark, scenes, monkeypatch):
         steps.setdefault(r.route_id, []).append((r.row, r.col))
     assert {r.route_id: (r.cost, steps[r.route_id]) for r in costs.collect()} == {i: want[i % 2] for i in range(20)}
     assert searched == [2]
+
+
+def test_settled_by_sweeps_and_by_heap():
+    """A chunk whose path winds more often than the sweeps allow has the costs of Dijkstra's method to the last bit, beside one that does not."""
+    rng = np.random.default_rng(3)
+    step = rng.random((2, 22, 21)) + 0.01
+    for k in range(1, 21, 2):
+        step[0, k] = math.inf
+        step[0, k, (0, 20)[k // 2 % 2]] = 0.5
+    d = np.full(step.shape, math.inf)
+    d[:, 0, 10] = 0.0
+    want = np.stack([routes._by_heap(a, b) for a, b in zip(d, step)])
+    routes._settle(d, step)
+    assert (d == want).all() and np.isfinite(d[0, 20]).all()
