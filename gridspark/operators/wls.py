@@ -22,6 +22,10 @@ KEY = ["scene_id", "cr", "cc"]
 _SHAPE = "row0 int, col0 int, height int, width int"
 _SYSTEM = ["diag", "right", "down", "left_rim", "up_rim", "b"]
 _STATE = ["x", "r", "p", "s", "u"]
+_RIMS = ["upper", "lower", "leftmost", "rightmost"]
+_FROM = {"from_below": ("upper", -1, 0), "from_above": ("lower", 1, 0), "from_right": ("leftmost", 0, -1), "from_left": ("rightmost", 0, 1)}
+CELLS = 1 << 16
+"""So many cells of chunks are worked on together, more only if a single chunk has more."""
 
 
 def edge_weight(a: np.ndarray, b: np.ndarray, sigma: float) -> np.ndarray:
@@ -69,94 +73,117 @@ def _system(px: DataFrame, lam: float, sigma: float, chunk: int) -> DataFrame:
     return sent.groupBy(*KEY).applyInArrow(apply, schema)
 
 
-class _Chunk:
-    """The equations of a chunk as arrays."""
+def _times(diag: np.ndarray, right: np.ndarray, down: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The own part of the matrix of each chunk times v; what lies beyond counts as 0."""
+    out = diag * v
+    out[:, :, :-1] -= right[:, :, :-1] * v[:, :, 1:]
+    out[:, :, 1:] -= right[:, :, :-1] * v[:, :, :-1]
+    out[:, :-1] -= down[:, :-1] * v[:, 1:]
+    out[:, 1:] -= down[:, :-1] * v[:, :-1]
+    return out
 
-    def __init__(self, row: dict):
-        self.shape = row["height"], row["width"]
-        for n in _SYSTEM:
-            setattr(self, n, np.frombuffer(row[n]).reshape({"left_rim": (-1,), "up_rim": (-1,)}.get(n, self.shape)))
 
-    def vector(self, data: bytes) -> np.ndarray:
-        return np.frombuffer(data).reshape(self.shape)
+def _summed(v: np.ndarray) -> np.ndarray:
+    """The sum over each chunk, in an order that does not depend on the chunks beside it."""
+    return v.reshape(len(v), -1).sum(1)
 
-    def times(self, v: np.ndarray) -> np.ndarray:
-        """The chunk's own part of the matrix times v; what lies beyond counts as 0."""
-        out = self.diag * v
-        out[:, :-1] -= self.right[:, :-1] * v[:, 1:]
-        out[:, 1:] -= self.right[:, :-1] * v[:, :-1]
-        out[:-1] -= self.down[:-1] * v[1:]
-        out[1:] -= self.down[:-1] * v[:-1]
-        return out
 
-    def solved(self, r: np.ndarray) -> np.ndarray:
-        """The chunk's own equations solved for r."""
-        inverse = np.where(self.diag > 1e-12, 1 / np.maximum(self.diag, 1e-12), 0)
-        x, r = np.zeros(self.shape), r.copy()
-        p = z = inverse * r
-        rz = first = float((r * z).sum())
+class _Chunks:
+    """Rows of chunks of one shape as arrays, the chunk first."""
+
+    def __init__(self, rows: pa.RecordBatch, chunk: int):
+        self.rows, self.chunk = rows, chunk
+        self.shape = rows.num_rows, rows["height"][0].as_py(), rows["width"][0].as_py()
+        self.top, self.left = (rows[n].to_numpy() % chunk for n in ("row0", "col0"))
+        self.diag, self.right, self.down = (self.vector(n) for n in ("diag", "right", "down"))
+
+    def vector(self, name: str, shape: tuple = ()) -> np.ndarray:
+        return np.frombuffer(b"".join(self.rows[name].to_pylist())).reshape(shape or self.shape)
+
+    def number(self, name: str) -> np.ndarray:
+        return self.rows[name].fill_null(0).to_numpy(zero_copy_only=False)[:, None, None]
+
+    def times(self, v: np.ndarray) -> np.ndarray:
+        return _times(self.diag, self.right, self.down, v)
+
+    def solved(self, r: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """The own equations of chunks ``which`` solved for r; 0 for others."""
+        out = np.zeros(self.shape)
+        if not len(which):
+            return out
+        diag, right, down, r = (v[which] for v in (self.diag, self.right, self.down, r))
+        inverse = np.where(diag > 1e-12, 1 / np.maximum(diag, 1e-12), 0)
+        x, p = np.zeros(r.shape), inverse * r
+        rz = first = _summed(r * p)
         for _ in range(4000):
-            if rz <= 1e-26 * first or rz <= 1e-300:
-                break
-            q = self.times(p)
-            a = rz / float((p * q).sum())
+            on = (rz > 1e-26 * first) & (rz > 1e-300)
+            if not on.all():
+                out[which[~on]] = x[~on]
+                which, diag, right, down, inverse, x, r, p, rz, first = (v[on] for v in (which, diag, right, down, inverse, x, r, p, rz, first))
+                if not len(which):
+                    return out
+            q = _times(diag, right, down, p)
+            a = (rz / _summed(p * q))[:, None, None]
             x += a * p
             r -= a * q
             z = inverse * r
-            rz, before = float((r * z).sum()), rz
-            p = z + rz / before * p
-        return x
+            rz, before = _summed(r * z), rz
+            p = z + (rz / before)[:, None, None] * p
+        out[which] = x
+        return out
+
+    def rims(self, v: np.ndarray) -> dict[str, np.ndarray]:
+        """The rims of v by ``_RIMS``, each as long as a whole chunk, since neighbours may begin and end elsewhere."""
+        out = {n: np.zeros((len(v), self.chunk)) for n in _RIMS}
+        own = np.arange(len(v))[:, None]
+        for n, rim, first in zip(_RIMS, (v[:, 0], v[:, -1], v[:, :, 0], v[:, :, -1]), (self.left, self.left, self.top, self.top)):
+            out[n][own, first[:, None] + np.arange(rim.shape[1])] = rim
+        return out
+
+    def rim(self, name: str) -> np.ndarray:
+        """What of a neighbour's rim lies at the own one."""
+        none = bytes(8 * self.chunk)
+        whole = np.frombuffer(b"".join(v or none for v in self.rows[name].to_pylist())).reshape(len(self.rows), self.chunk)
+        first, size = (self.left, self.shape[2]) if name in ("from_below", "from_above") else (self.top, self.shape[1])
+        return whole[np.arange(len(whole))[:, None], first[:, None] + np.arange(size)]
 
 
-def _mapped(df: DataFrame, make, names: list[str], numbers: list[str]) -> DataFrame:
-    """``make(chunk, row)`` gives binary columns ``names`` and doubles ``numbers``; a few chunks are held at a time."""
+def _mapped(df: DataFrame, make, names: list[str], numbers: list[str], chunk: int) -> DataFrame:
+    """``make(chunks)`` gives arrays ``names`` and numbers ``numbers`` of each chunk; chunks of one shape are worked on together, a bounded number at a time."""
     schema = "scene_id long, cr long, cc long, " + ", ".join([*(f"{n} binary" for n in names), *(f"{n} double" for n in numbers)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1).to_pylist()[0]
-                made = make(_Chunk(row), row)
-                columns = [*(pa.array([row[n]], pa.int64()) for n in KEY), *(pa.array([made[n].tobytes() if isinstance(made[n], np.ndarray) else made[n]], pa.binary()) for n in names), *(pa.array([made[n]], pa.float64()) for n in numbers)]
-                yield pa.RecordBatch.from_arrays(columns, names=[*KEY, *names, *numbers])
+            shapes = np.stack([batch[n].to_numpy() for n in ("height", "width")], 1)
+            for shape in np.unique(shapes, axis=0):
+                own, most = np.flatnonzero((shapes == shape).all(1)), max(1, CELLS // int(shape.prod()))
+                for k in range(0, len(own), most):
+                    rows = batch.take(pa.array(own[k : k + most]))
+                    made = make(_Chunks(rows, chunk))
+                    columns = [*(rows[n] for n in KEY), *(pa.array([v.tobytes() for v in made[n]], pa.binary()) for n in names), *(pa.array(made[n], pa.float64()) for n in numbers)]
+                    yield pa.RecordBatch.from_arrays(columns, names=[*KEY, *names, *numbers])
 
     return df.mapInArrow(run, schema)
 
 
-def _product(system: DataFrame, state: DataFrame, vector: str, keep: list[str]) -> DataFrame:
-    """``state`` with ``w``: the matrix times ``vector``; rims come from the four neighbours. Also the products gamma = r u, delta = w u, rr and bb of each chunk."""
-    with_shape = state.join(system.select(*KEY, "height", "width"), KEY)
-    schema = "scene_id long, cr long, cc long, side int, rim binary"
+def _product(system: DataFrame, state: DataFrame, vector: str, chunk: int) -> DataFrame:
+    """``w``, the matrix times ``vector`` of ``state``, and of each chunk gamma = r u, delta = w u and rr (0 if vector is not u); rims come from the four neighbours."""
+    # from the chunk below its upper rim, and so on
+    sent = F.inline(F.array(*(F.struct((F.col("cr") + a).alias("cr"), (F.col("cc") + b).alias("cc"), F.lit(n).alias("side"), F.col(rim).alias("rim")) for n, (rim, a, b) in _FROM.items())))
+    met = state.select("scene_id", sent).groupBy(*KEY).agg(*(F.max(F.when(F.col("side") == n, F.col("rim"))).alias(n) for n in _FROM))
 
-    def rims(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                v = np.frombuffer(row[vector]).reshape(row["height"], row["width"])
-                sides = [(-1, 0, v[0]), (1, 0, v[-1]), (0, -1, v[:, 0]), (0, 1, v[:, -1])]  # to the chunk above, below, left, right
-                yield pa.RecordBatch.from_arrays([pa.array([row["scene_id"]] * 4, pa.int64()), pa.array([row["cr"] + a for a, _, _ in sides], pa.int64()), pa.array([row["cc"] + b for _, b, _ in sides], pa.int64()), pa.array(range(4), pa.int32()), pa.array([np.ascontiguousarray(x).tobytes() for _, _, x in sides], pa.binary())], names=[*KEY, "side", "rim"])
-
-    sent = with_shape.select(*KEY, vector, "height", "width").mapInArrow(rims, schema)
-    met = sent.groupBy(*KEY).agg(*(F.max(F.when(F.col("side") == k, F.col("rim"))).alias(n) for k, n in enumerate(("from_below", "from_above", "from_right", "from_left"))))
-
-    def make(c: _Chunk, row: dict) -> dict:
-        v = c.vector(row[vector])
+    def make(c: _Chunks) -> dict:
+        v = c.vector(vector)
         w = c.times(v)
-        rim = lambda n: np.frombuffer(row[n])
-        if row["from_below"]:
-            w[-1] -= c.down[-1] * rim("from_below")
-        if row["from_above"]:
-            w[0] -= c.up_rim * rim("from_above")
-        if row["from_right"]:
-            w[:, -1] -= c.right[:, -1] * rim("from_right")
-        if row["from_left"]:
-            w[:, 0] -= c.left_rim * rim("from_left")
-        out = {n: row[n] for n in keep} | {"w": w, "gamma": 0.0, "delta": 0.0, "rr": 0.0, "bb": float((c.b**2).sum())}
-        if "u" in keep:
-            r, u = c.vector(row["r"]), c.vector(row["u"])
-            out |= {"gamma": float((r * u).sum()), "delta": float((w * u).sum()), "rr": float((r * r).sum())}
-        return out
+        w[:, -1] -= c.down[:, -1] * c.rim("from_below")
+        w[:, 0] -= c.vector("up_rim", (len(v), -1)) * c.rim("from_above")
+        w[:, :, -1] -= c.right[:, :, -1] * c.rim("from_right")
+        w[:, :, 0] -= c.vector("left_rim", (len(v), -1)) * c.rim("from_left")
+        r = c.vector("r") if vector == "u" else np.zeros(c.shape)
+        return {"w": w, "gamma": _summed(r * v), "delta": _summed(w * v), "rr": _summed(r * r)}
 
-    return _mapped(state.join(system, KEY).join(met, KEY, "left"), make, [*keep, "w"], ["gamma", "delta", "rr", "bb"])
+    own = state.select(*KEY, vector, *(["r"] if vector == "u" else []))
+    return _mapped(own.join(system.drop("b"), KEY).join(met, KEY, "left"), make, ["w"], ["gamma", "delta", "rr"], chunk)
 
 
 def wls_refine(px: DataFrame, lam: float = 1.0, sigma: float = 0.1, tol: float = 1e-6, most: int = 120, chunk: int = CHUNK) -> DataFrame:
@@ -168,42 +195,47 @@ def wls_refine(px: DataFrame, lam: float = 1.0, sigma: float = 0.1, tol: float =
     px = px.withColumns({n: F.lit(None).cast("double") for n in ("conf", "start") if n not in px.columns})
     whole = cut(_system(px, lam, sigma, chunk))
     system = whole.drop("x")
-
-    def residual(c: _Chunk, row: dict) -> dict:
-        r = c.b - c.vector(row["w"])
-        zero = np.zeros(c.shape)
-        return {"x": row["x"], "r": r, "p": zero, "s": zero, "u": c.solved(r)}
-
-    begun = cut(_product(system, whole.select(*KEY, "x"), "x", ["x"]))
-    state = cut(_mapped(begun.join(system, KEY), residual, _STATE, []))
-    scalars = None
+    first = _mapped(whole, lambda c: {"x": c.vector("x")} | c.rims(c.vector("x")), ["x", *_RIMS], [], chunk)
+
+    def residual(c: _Chunks) -> dict:
+        b, zero = c.vector("b"), np.zeros(c.shape)
+        r = b - c.vector("w")
+        u = c.solved(r, np.arange(len(r)))
+        return {"x": c.vector("x"), "r": r, "p": zero, "s": zero, "u": u, "bb": _summed(b**2)} | c.rims(u)
+
+    first = cut(first)
+    begun = _product(system, first, "x", chunk).select(*KEY, "w")
+    state = cut(_mapped(begun.join(whole, KEY), residual, [*_STATE, *_RIMS], ["bb"], chunk))
+    forget(first)
+    known = state.groupBy("scene_id").agg(F.sum("bb").alias("bb"), F.lit(None).cast("double").alias("gamma_old"), F.lit(None).cast("double").alias("alpha_old"))
+    system = system.drop("b")
     for round_ in range(most + 1):
-        before, state = state, cut(_product(system, state, "u", _STATE))
-        forget(before)
-        sums = state.groupBy("scene_id").agg(*(F.sum(n).alias(n) for n in ("gamma", "delta", "rr", "bb")))
+        product = cut(_product(system, state, "u", chunk))
+        sums = product.groupBy("scene_id").agg(*(F.sum(n).alias(n) for n in ("gamma", "delta", "rr"))).join(known, "scene_id")
         done = F.sqrt("rr") <= tol * F.greatest(F.sqrt("bb"), F.lit(1e-12))
-        if scalars is None:
-            now = sums.withColumns({"beta": F.lit(0.0), "alpha": F.try_divide(F.col("gamma"), F.col("delta"))})
-        else:
-            now = sums.join(scalars.select("scene_id", F.col("gamma").alias("gamma_old"), F.col("alpha").alias("alpha_old")), "scene_id")
-            now = now.withColumn("beta", F.try_divide(F.col("gamma"), F.col("gamma_old")))
+        if round_:
+            now = sums.withColumn("beta", F.try_divide(F.col("gamma"), F.col("gamma_old")))
             now = now.withColumn("alpha", F.try_divide(F.col("gamma"), F.col("delta") - F.try_divide(F.col("beta") * F.col("gamma"), F.col("alpha_old"))))
+        else:
+            now = sums.withColumns({"beta": F.lit(0.0), "alpha": F.try_divide(F.col("gamma"), F.col("delta"))})
         now = now.withColumn("done", done | F.col("alpha").isNull() | F.col("beta").isNull())
-        scalars = cut(now.select("scene_id", "gamma", "alpha", "beta", "done"))
-        if round_ == most or not scalars.where("not done").limit(1).count():
+        scalars = cut(now.select("scene_id", "bb", "gamma", "alpha", "beta", "done"))
+        if round_ == most or scalars.where("not done").isEmpty():
             break
 
-        def advance(c: _Chunk, row: dict) -> dict:
-            if row["done"]:
-                return row
-            a, b = row["alpha"], row["beta"]
-            p = c.vector(row["u"]) + b * c.vector(row["p"])
-            s = c.vector(row["w"]) + b * c.vector(row["s"])
-            r = c.vector(row["r"]) - a * s
-            return {"x": c.vector(row["x"]) + a * p, "r": r, "p": p, "s": s, "u": c.solved(r)}
+        def advance(c: _Chunks) -> dict:
+            old = {n: c.vector(n) for n in _STATE}
+            ended, a, b = c.rows["done"].to_numpy(zero_copy_only=False), c.number("alpha"), c.number("beta")
+            p, s = old["u"] + b * old["p"], c.vector("w") + b * old["s"]
+            r = old["r"] - a * s
+            new = {"x": old["x"] + a * p, "r": r, "p": p, "s": s, "u": c.solved(r, np.flatnonzero(~ended))}
+            new = {n: np.where(ended[:, None, None], old[n], v) for n, v in new.items()}
+            return new | c.rims(new["u"])
 
-        before, state = state, cut(_mapped(state.select(*KEY, *_STATE, "w").join(scalars, "scene_id").join(system, KEY), advance, _STATE, []))
-        forget(before)
+        before = state
+        state = cut(_mapped(state.select(*KEY, *_STATE).join(product.select(*KEY, "w"), KEY).join(scalars, "scene_id").join(system, KEY), advance, [*_STATE, *_RIMS], [], chunk))
+        forget(before, product)
+        known = scalars.select("scene_id", "bb", F.col("gamma").alias("gamma_old"), F.col("alpha").alias("alpha_old"))
 
     def pixels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,6 +245,6 @@ def wls_refine(px: DataFrame, lam: float = 1.0, sigma: float = 0.1, tol: float =
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(h * w, row["scene_id"])), pa.array((y + row["row0"]).astype(np.int32)), pa.array((x + row["col0"]).astype(np.int32)), pa.array(np.frombuffer(row["x"]))], names=["scene_id", "row", "col", "x"])
 
     made = state.select(*KEY, "x").join(system.select(*KEY, "row0", "col0", "height", "width"), KEY).mapInArrow(pixels, "scene_id long, row int, col int, x double")
-    known = px.where(" and ".join(f"{c} is not null and not isnan({c}) and abs({c}) < double('Infinity')" for c in ("z", "red", "green", "blue"))).select("scene_id", "row", "col")
-    there = px.select("scene_id", "row", "col").join(known.withColumn("ok", F.lit(True)), ["scene_id", "row", "col"], "left")
+    with_value = px.where(" and ".join(f"{c} is not null and not isnan({c}) and abs({c}) < double('Infinity')" for c in ("z", "red", "green", "blue"))).select("scene_id", "row", "col")
+    there = px.select("scene_id", "row", "col").join(with_value.withColumn("ok", F.lit(True)), ["scene_id", "row", "col"], "left")
     return there.join(made, ["scene_id", "row", "col"]).select("scene_id", "row", "col", F.when(F.col("ok"), F.col("x")).alias("x"))
