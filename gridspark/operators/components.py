@@ -6,11 +6,14 @@ contraction. A label is the place of a component's first pixel in row-major orde
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridspark.functions.runs import whole_groups
 from gridspark.plans.graph import connected_components
 from gridspark.plans.lineage import cut
 
@@ -38,19 +41,51 @@ def _local_labels(mask: np.ndarray, conn: int) -> np.ndarray:
             return lab
 
 
-def label_components(mask: DataFrame, conn: int = 4, chunk: int = CHUNK) -> DataFrame:
-    """``(scene_id, row, col, label_row, label_col)`` of each pixel of ``mask(scene_id, row, col)``, over 4 or 8 neighbours; single pixels are components too."""
-    px = mask.select(*KEYS).distinct().withColumns({"cr": F.floor(F.col("row") / chunk), "cc": F.floor(F.col("col") / chunk)})
+def _labels_at_once(chunk_of: np.ndarray, row: np.ndarray, col: np.ndarray, chunk: int, conn: int) -> np.ndarray:
+    """For pixels sorted by chunk, row and column within it the place of the first pixel of their component in their chunk.
+
+    Neighbours are looked up, so it takes memory for pixels only. A label hooks on to the least that it meets and all labels then
+    follow to their end, until those of no two neighbours differ.
+    """
+    wide = chunk + 1
+    place = (chunk_of.astype(np.int64) * wide + row) * wide + col
+    lab = np.arange(len(place))
+    a, b = [], []
+    for step in (1, wide) + ((wide + 1, wide - 1) if conn == 8 else ()):
+        at = np.minimum(np.searchsorted(place, place + step), len(place) - 1)
+        met = np.flatnonzero(place[at] == place + step)
+        a.append(met)
+        b.append(at[met])
+    a, b = np.concatenate(a), np.concatenate(b)
+    while True:
+        u, v = lab[a], lab[b]
+        apart = u != v
+        if not apart.any():
+            return lab
+        a, b, u, v = a[apart], b[apart], u[apart], v[apart]
+        np.minimum.at(lab, np.maximum(u, v), np.minimum(u, v))
+        while (lab[lab] != lab).any():
+            lab = lab[lab]
 
-    def apply(table: pa.Table) -> pa.Table:
-        row, col = table["row"].to_numpy(), table["col"].to_numpy()
-        r0, c0 = row.min(), col.min()
-        grid = np.zeros((row.max() - r0 + 1, col.max() - c0 + 1), bool)
-        grid[row - r0, col - c0] = True
-        at = _local_labels(grid, conn)[row - r0, col - c0]
-        return pa.table({"scene_id": table["scene_id"], "row": table["row"], "col": table["col"], "lr": pa.array(at // grid.shape[1] + r0, pa.int32()), "lc": pa.array(at % grid.shape[1] + c0, pa.int32())})
 
-    local = cut(px.groupBy("scene_id", "cr", "cc").applyInArrow(apply, "scene_id long, row int, col int, lr int, lc int"))
+def label_components(mask: DataFrame, conn: int = 4, chunk: int = CHUNK) -> DataFrame:
+    """``(scene_id, row, col, label_row, label_col)`` of each pixel of ``mask(scene_id, row, col)``, over 4 or 8 neighbours; single pixels are components too."""
+    of = ["scene_id", "cr", "cc"]
+    px = mask.select(*KEYS, F.floor(F.col("row") / chunk).alias("cr"), F.floor(F.col("col") / chunk).alias("cc"))
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, first in whole_groups(batches, of):
+            row, col = table["row"].to_numpy(), table["col"].to_numpy()
+            chunk_of = np.repeat(np.arange(len(first)), np.diff(first, append=len(row)))
+            once = np.ones(len(row), bool)
+            once[1:] = (np.diff(chunk_of) != 0) | (np.diff(row) != 0) | (np.diff(col) != 0)
+            table, row, col, chunk_of = table.filter(pa.array(once)), row[once], col[once], chunk_of[once]
+            at = _labels_at_once(chunk_of, row - table["cr"].to_numpy() * chunk, col - table["cc"].to_numpy() * chunk, chunk, conn)
+            own = pa.table({"scene_id": table["scene_id"], "row": table["row"], "col": table["col"], "lr": pa.array(row[at], pa.int32()), "lc": pa.array(col[at], pa.int32())})
+            yield from own.to_batches()
+
+    # chunks meet whole, many to a task, and are labelled as arrays
+    local = cut(px.repartition(*of).sortWithinPartitions(*of, "row", "col").mapInArrow(apply, "scene_id long, row int, col int, lr int, lc int"))
     steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if conn == 8 else [])
     edge = (F.col("row") % chunk).isin(0, chunk - 1) | (F.col("col") % chunk).isin(0, chunk - 1)
     node = F.struct("scene_id", F.col("lr").alias("row"), F.col("lc").alias("col"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridspark.operators import components, levels, outlines, picking, planar, rectangles
 from gridspark.plans.kernel_queries import _ALL4, _mask
+from gridspark.plans.lineage import cut
 from gridspark.plans.registry import query
 from gridspark.sources import fixtures as fx
 
@@ -67,6 +68,7 @@ def _blocks(spark, d) -> tuple[DataFrame, DataFrame]:
 def g09_object_levels(spark, d):
     """Upper levels of every component; compared with plain Python in tests."""
     labels, px = _blocks(spark, d)
+    labels = cut(labels)
     objects = labels.select(*components.LABEL, F.lit(0.0).alias("base"), F.lit(0.5).alias("height")).distinct()
     return levels.object_levels(labels, px.withColumn("z", F.col("truth") / 10), objects, least=5, chunk=CHUNK)[0]
 

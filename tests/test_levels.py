@@ -95,6 +95,37 @@ def test_levels(spark, scene, chunk):
     assert n == {x[:4]: x[5] for x in got}
 
 
+def plain_means(vals, gap):
+    """Size of the upper cluster and both centres by numpy, or nothing."""
+    lo, hi = vals.min(), vals.max()
+    if len(vals) < 30 or hi - lo < gap:
+        return None
+    a, b, n_up = lo + 0.25 * (hi - lo), lo + 0.75 * (hi - lo), 0
+    for _ in range(24):
+        low = abs(vals - a) <= abs(vals - b)
+        if low.all() or not low.any():
+            return None
+        n_up, na, nb = int((~low).sum()), vals[low].mean(), vals[~low].mean()
+        if abs(na - a) < 1e-3 and abs(nb - b) < 1e-3:
+            break
+        a, b = na, nb
+    return n_up, round(a, 6), round(b, 6)
+
+
+@pytest.mark.parametrize("bound", [1 << 16, 200, 0])
+def test_two_means(spark, monkeypatch, bound):
+    """Small and large objects have the same clusters, and only large ones take a Spark job a round."""
+    rnd = np.random.default_rng(8)
+    kinds = [rnd.normal(0, 1, 400), np.concatenate((rnd.normal(0, 1, 150), rnd.normal(9, 2, 40))), np.full(50, 3.0), rnd.normal(0, 5, 29), np.array([0.0] * 29 + [2.0]), rnd.random(300) ** 4 * 50, np.array([0.0, 1.0, 2.0] * 20), rnd.random(90)]
+    rel = spark.createDataFrame([(i % 2, i, 3, float(v)) for i, vals in enumerate(kinds) for v in vals] + [(5, 5, 5, None)] * 40, "scene_id long, label_row int, label_col int, rel double")
+    cuts, cut = [], levels.cut
+    monkeypatch.setattr(levels, "cut", lambda df: cuts.append(1) or cut(df))
+    got = {(r.scene_id, r.label_row, r.label_col): (r.n, r.n_up, round(r.c_lo, 6), round(r.c_hi, 6)) for r in levels.two_means(rel, 2.0, bound=bound).collect()}
+    want = {(i % 2, i, 3): (len(vals), *found) for i, vals in enumerate(kinds) if (found := plain_means(vals, 2.0))}
+    assert got == want and len(got) == 5
+    assert (len(cuts) <= 2) == (bound > 400)
+
+
 def plain_plane(x, y, z, rounds=4):
     a = np.stack([x, y, np.ones_like(x)], 1)
     w = np.ones(len(z))
