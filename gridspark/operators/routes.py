@@ -3,7 +3,8 @@
 Within a chunk costs spread from those at which the chunk can be entered until none falls; many routes and chunks are settled
 at once as arrays. Between chunks only the entries are exchanged. A round runs the chunks whose entries have fallen and offers
 their neighbours new ones, until none falls. What is kept is a row for each entered chunk of each route with the border cells of its
-entries, never a route's whole field. Equal routes are searched once. Equal costs are decided by the first neighbour in
+entries, never a route's whole field. Nothing that costs more than the goal does already is offered, and settled routes are put aside,
+so later rounds go with the routes still open. Equal routes are searched once. Equal costs are decided by the first neighbour in
 row-major order, so neither cost nor path depends on the size of chunks.
 """
 
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 from math import inf, sqrt
 
 import numpy as np
@@ -25,6 +27,8 @@ CELLS = 1 << 17
 """So many cells of chunks are settled at once, more only if a single chunk has more."""
 _AROUND = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
 _OUTSIDE, _START = len(_AROUND), len(_AROUND) + 1
+_PLAIN = {"parquet.enable.dictionary": "false"}
+"""Costs repeat so much that a dictionary makes files a small part of their rows; joins are chosen by the size of files."""
 
 
 def _shifted(a: int, b: int) -> tuple[tuple, tuple]:
@@ -186,11 +190,13 @@ _CELL = "row int, col int, d double, prow int, pcol int"
 
 
 def _spread(asked: DataFrame, chunks: DataFrame, chunk: int) -> DataFrame:
-    """What each asked chunk offers to cells of its neighbours, and the cost of the goal in it (``goal``)."""
+    """What each asked chunk offers to cells of its neighbours, up to the cost ``bound`` of its route, and the cost of the goal in it (``goal``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, fields in _fields(batches, chunk):
-            k, row, col, d, prow, pcol = fields.offers()
+            offers = fields.offers()
+            useful = offers[3] <= rows["bound"].to_numpy()[offers[0]]
+            k, row, col, d, prow, pcol = (v[useful] for v in offers)
             own, y, x = fields.place(rows["goal_row"].to_numpy(), rows["goal_col"].to_numpy())
             none = np.full(len(own), -1)
             told = [np.concatenate(v) for v in ((row, rows["goal_row"].to_numpy()[own]), (col, rows["goal_col"].to_numpy()[own]), (d, fields.d[own, y, x]), (prow, none), (pcol, none))]
@@ -199,27 +205,43 @@ def _spread(asked: DataFrame, chunks: DataFrame, chunk: int) -> DataFrame:
             cells = [pa.array(v, t, mask=goal if n > 2 else None) for n, (v, t) in enumerate(zip(told, (pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.int32())))]
             yield pa.RecordBatch.from_arrays([*of.columns, *cells, pa.array(goal)], names=[*ROUTE, "row", "col", "d", "prow", "pcol", "goal"])
 
-    return asked.join(chunks, ["scene_id", "cr", "cc"]).select(*ROUTE, "cr", "cc", "entries", "row0", "col0", "width", "cost").mapInArrow(run, f"route_id long, scene_id long, goal_row int, goal_col int, {_CELL}, goal boolean")
+    return asked.join(chunks, ["scene_id", "cr", "cc"]).select(*ROUTE, "cr", "cc", "bound", "entries", "row0", "col0", "width", "cost").mapInArrow(run, f"route_id long, scene_id long, goal_row int, goal_col int, {_CELL}, goal boolean")
 
 
-def _search(routes: DataFrame, chunks: DataFrame, chunk: int) -> tuple[DataFrame, DataFrame]:
-    """Final entries of every route, by chunk, and ``(route_id, cost)`` of its goal. A chunk whose new entries all cost more than the goal does already is not run."""
+def _search(routes: DataFrame, chunks: DataFrame, chunk: int, paths: bool = True) -> tuple[DataFrame | None, DataFrame]:
+    """Final entries of every route, by chunk, if ``paths`` are asked, and ``(route_id, cost)`` of its goal.
+
+    A chunk whose new entries all cost more than the goal does already is not run. A route without a chunk to run is settled; once half
+    of the routes that rounds carry are, these are put aside.
+    """
     own = F.struct(F.col("start_row").alias("row"), F.col("start_col").alias("col"), F.lit(0.0).alias("d"), F.lit(None).cast("int").alias("prow"), F.lit(None).cast("int").alias("pcol"), F.lit(True).alias("fell"))
-    state = cut(routes.select(*ROUTE, *_at(chunk, "start_row", "start_col"), F.lit(False).alias("goal"), F.array(own).alias("entries")))
+    state = cut(routes.select(*ROUTE, *_at(chunk, "start_row", "start_col"), F.lit(False).alias("goal"), F.array(own).alias("entries"), F.lit(0.0).alias("front")))
+    front = lambda of: F.min(F.when(of, F.col("front")))
+    settled, fields = [], []
     while True:
-        best = state.where("goal").groupBy("route_id").agg(F.min(F.col("entries")[0]["d"]).alias("cost"))
-        active = state.where("not goal").where("exists(entries, e -> e.fell)").join(best, "route_id", "left").where("cost is null or exists(entries, e -> e.fell and e.d <= cost)").drop("cost")
-        if active.isEmpty():
-            return state.where("not goal").drop("goal"), best
+        bound = F.coalesce(front(F.col("goal")), F.lit(inf))
+        ends = cut(state.groupBy("route_id").agg(bound.alias("bound"), F.coalesce(front(~F.col("goal")) <= bound, F.lit(False)).alias("open")))
+        carried, left = ends.agg(F.count("*"), F.count_if("open")).first()
+        if not left:
+            break
+        active = cut(state.where("not goal").join(ends.where("open"), "route_id").where("front <= bound").drop("goal", "front", "open"), **_PLAIN)
+        kept = state
+        if aside := 2 * left <= carried:
+            settled.append(ends.where("not open"))
+            if paths:
+                fields.append(cut(state.join(ends.where("not open"), "route_id", "left_semi")))
+            kept = state.join(ends.where("open"), "route_id", "left_semi")
         told = _spread(active, chunks, chunk).select(*ROUTE, *_at(chunk), "goal", "row", "col", "d", "prow", "pcol", F.lit(False).alias("known"))
-        kept = state.select(*STATE, F.inline("entries")).drop("fell").withColumn("known", F.lit(True))
+        kept = kept.select(*STATE, F.inline("entries")).drop("fell").withColumn("known", F.lit(True))
         # dealt by route and chunk once, for cells and for chunks
         both = told.unionByName(kept).repartition("route_id", "cr", "cc")
         least = both.groupBy(*STATE, "row", "col").agg(F.min(F.struct("d", "prow", "pcol")).alias("x"), F.min(F.when(F.col("known"), F.col("d"))).alias("before"))
         fell = F.col("before").isNull() | (F.col("x.d") < F.col("before"))
         entry = F.struct("row", "col", "x.d", "x.prow", "x.pcol", fell.alias("fell"))
-        old, state = state, cut(least.groupBy(*STATE).agg(F.collect_list(entry).alias("entries")))
-        forget(old)
+        old, state = state, cut(least.groupBy(*STATE).agg(F.collect_list(entry).alias("entries"), F.min(F.when(F.col("goal") | fell, F.col("x.d"))).alias("front")))
+        forget(old, active, *([] if aside else [ends]))
+    best = reduce(DataFrame.unionByName, [*settled, ends]).where("bound < double('Infinity')").select("route_id", F.col("bound").alias("cost"))
+    return reduce(DataFrame.unionByName, [*fields, state]).where("not goal").drop("goal", "front") if paths else None, best
 
 
 def _walk(asked: DataFrame, chunks: DataFrame, chunk: int) -> DataFrame:
@@ -253,7 +275,7 @@ def least_cost(cells: DataFrame, routes: DataFrame, chunk: int = CHUNK, paths: b
     cut. Blocked cells (see ``cost_chunks``) are not entered; a route whose start or goal is blocked, null or outside its scene, or
     whose goal cannot be reached, has a null cost and no path. Paths run from the start (seq 0) to the goal. Route ids are unique.
     """
-    chunks = cut(cost_chunks(cells, chunk))
+    chunks = cut(cost_chunks(cells, chunk), **_PLAIN)
     routes = cut(routes)
     is_open = cells.where("cost > 0 and cost < double('Infinity')").select("scene_id", "row", "col")
     ends = ["scene_id", "start_row", "start_col", "goal_row", "goal_col"]
@@ -261,7 +283,7 @@ def least_cost(cells: DataFrame, routes: DataFrame, chunk: int = CHUNK, paths: b
     for end in ("start", "goal"):
         ok = ok.join(is_open.select("scene_id", F.col("row").alias(f"{end}_row"), F.col("col").alias(f"{end}_col")), ["scene_id", f"{end}_row", f"{end}_col"], "left_semi")
     ok = cut(ok)
-    entries, best = _search(ok, chunks, chunk)
+    entries, best = _search(ok, chunks, chunk, paths)
     of = routes.join(ok.join(best, "route_id").select(*ends, F.col("route_id").alias("same"), "cost"), ends)
     costs = routes.select("route_id").join(of.select("route_id", "cost"), "route_id", "left")
     if not paths:

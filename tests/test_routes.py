@@ -114,3 +114,25 @@ def test_settled_by_sweeps_and_by_heap():
     want = np.stack([routes._by_heap(a, b) for a, b in zip(d, step)])
     routes._settle(d, step)
     assert (d == want).all() and np.isfinite(d[0, 20]).all()
+
+
+def test_settled_routes_are_put_aside(spark, scenes, monkeypatch):
+    """Rounds for one long winding route carry no longer the many short ones that are settled, and all keep their costs and paths."""
+    cells = spark.createDataFrame([(8, r, c, float(v)) for (r, c), v in np.ndenumerate(scenes[8]) if np.isfinite(v)], "scene_id long, row int, col int, cost double")
+    asked = [((0, 0), (14, 14)), *(((0, c), (1, c)) for c in range(12))]
+    carried, written = [], routes.cut
+
+    def count(df, **options):
+        out = written(df, **options)
+        if "entries" in out.columns and "goal" in out.columns and not options:
+            carried.append(out.select("route_id").distinct().count())
+        return out
+
+    monkeypatch.setattr(routes, "cut", count)
+    table = spark.createDataFrame([(i, 8, *a, *b) for i, (a, b) in enumerate(asked)], "route_id long, scene_id long, start_row int, start_col int, goal_row int, goal_col int")
+    costs, paths = routes.least_cost(cells, table, 8)
+    assert carried[0] == 13 and carried[-1] == 1
+    steps = {}
+    for r in sorted(paths.collect(), key=lambda r: (r.route_id, r.seq)):
+        steps.setdefault(r.route_id, []).append((r.row, r.col))
+    assert {r.route_id: (r.cost, steps[r.route_id]) for r in costs.collect()} == {i: dijkstra(scenes[8], a, b) for i, (a, b) in enumerate(asked)}
