@@ -277,11 +277,12 @@ def least_cost(cells: DataFrame, routes: DataFrame, chunk: int = CHUNK, paths: b
     """
     chunks = cut(cost_chunks(cells, chunk), **_PLAIN)
     routes = cut(routes)
-    is_open = cells.where("cost > 0 and cost < double('Infinity')").select("scene_id", "row", "col")
     ends = ["scene_id", "start_row", "start_col", "goal_row", "goal_col"]
     ok = routes.groupBy(*ends).agg(F.min("route_id").alias("route_id"))
     for end in ("start", "goal"):
-        ok = ok.join(is_open.select("scene_id", F.col("row").alias(f"{end}_row"), F.col("col").alias(f"{end}_col")), ["scene_id", f"{end}_row", f"{end}_col"], "left_semi")
+        y, x = F.col(f"{end}_row") - F.col("row0"), F.col(f"{end}_col") - F.col("col0")
+        is_open = (y >= 0) & (x >= 0) & (x < F.col("width")) & (F.get("cost", y * F.col("width") + x) < inf)
+        ok = ok.select("*", *_at(chunk, f"{end}_row", f"{end}_col")).join(chunks, ["scene_id", "cr", "cc"]).where(is_open).select(*ends, "route_id")
     ok = cut(ok)
     entries, best = _search(ok, chunks, chunk, paths)
     of = routes.join(ok.join(best, "route_id").select(*ends, F.col("route_id").alias("same"), "cost"), ends)
